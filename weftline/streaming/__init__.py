@@ -1,0 +1 @@
+"""No streaming operators: every source this library covers is a bounded read."""
