@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,21 +42,29 @@ def group_sizes(df: DataFrame, keys: list[str] | tuple[str, ...]) -> GroupSizes:
     return GroupSizes(row["rows"] or 0, row["groups"] or 0, row["largest"] or 0)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the session's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the session names it in ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` is used as the session has it.  Only a local
-    session without the setting gets a folder of its own.
+    Only a local session without the setting gets a folder of its own.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return _own_folder()
+
+
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="weftline-")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder: a lost executor does not bring the old plan back."""
+    sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="weftline-checkpoint-")
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
