@@ -62,7 +62,7 @@ def rounded(df: DataFrame, digits: int = DIGITS, columns: list[str] | None = Non
 
 def r(expr: str, name: str | None = None, digits: int = DIGITS) -> str:
     """SQL of a rounded column."""
-    return f"round({expr}, {digits}) + 0.0 AS {name or expr}"
+    return f"round(CAST({expr} AS DOUBLE), {digits}) + 0.0 AS {name or expr}"
 
 
 def rs(columns: Mapping[str, str] | list[str] | tuple[str, ...], digits: int = DIGITS) -> str:

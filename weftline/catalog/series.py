@@ -141,11 +141,11 @@ def _(spark, sf):
 
 @query(
     "linear_recurrence",
-    f"""WITH RECURSIVE {NUMBERED}, {recursive("e", "close AS y", "0.7 * y.y + b.close")}
+    f"""WITH RECURSIVE {NUMBERED}, {recursive("e", "close AS y", "y.y * 2 / 3 + b.close")}
     SELECT ticker, bar_ts, {r("y", "y")} FROM b JOIN e USING (ticker, i)""",
 )
 def _(spark, sf):
-    line = S.linear_recurrence(bar_line(spark, sf), {"y": (F.col("close"), 0.7)})
+    line = S.linear_recurrence(bar_line(spark, sf), {"y": (F.col("close"), 2 / 3)})
     return rounded(line.map(lambda d: d.drop(*VALUES)).result())
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -18,6 +19,8 @@ TREES = 100
 ROUNDS = 100
 SEED = 42
 
+ROWS_PER_PARTITION = 20_000
+
 
 @dataclass(frozen=True)
 class Fitted:
@@ -53,7 +56,9 @@ def _fit(train: DataFrame, features: Sequence[str], label: str, tree, scale: boo
     # fitting reads the rows many times; what does not fit in memory goes to disk
     rows = train.select(*features, label).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = Pipeline(stages=[*stages, tree]).fit(rows)
+        # hundreds of short jobs follow: small tables get few partitions
+        parts = max(1, math.ceil(rows.count() / ROWS_PER_PARTITION))
+        model = Pipeline(stages=[*stages, tree]).fit(rows.coalesce(parts))
     finally:
         rows.unpersist()
     return Fitted(model, tuple(features), label)

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from weftline.plans.sizing import (
+    GroupSizes,
     checkpointed,
     group_sizes,
     join_null_safe,
@@ -75,11 +76,13 @@ class Line:
         keys: str | list[str] | tuple[str, ...],
         order: str | list[str] | tuple[str, ...],
         limit: int | None = None,
+        sizes: GroupSizes | None = None,
     ) -> Line:
+        """Checks the largest key and picks the plan; known ``sizes`` (upper bounds do) save the check."""
         keys = (keys,) if isinstance(keys, str) else tuple(keys)
         order = (order,) if isinstance(order, str) else tuple(order)
         limit = limit or rows_per_task(df.sparkSession)
-        sizes = group_sizes(df, keys)
+        sizes = sizes or group_sizes(df, keys)
         if sizes.largest <= limit:
             return Line(df, keys, order, False, limit)
         placed = _place(df, keys, order, max(2, 2 * math.ceil(sizes.rows / limit)))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.text import strip
+
 CELLS = "table_no int, row_no int, col_no int, text string, is_header boolean"
 
 
@@ -76,7 +78,7 @@ def html_cells(pages: DataFrame, page_id: str, html: str, kind: str = "table") -
             yield pd.DataFrame(rows, columns=[page_id, "table_no", "row_no", "col_no", "text", "is_header"])
 
     cells = pages.select(page_id, html).mapInPandas(run, f"`{page_id}` {id_type}, {CELLS}")
-    return cells.withColumn("text", F.btrim("text"))
+    return cells.withColumn("text", strip(F.col("text")))
 
 
 def tables_matching(cells: DataFrame, page_id: str, text: str) -> DataFrame:
