@@ -1,7 +1,7 @@
 """Technical indicators on bars (open, high, low, close, volume).
 
-Each indicator exists as a builder ``(df, frame) -> df`` with its reach in
-rows, so that any number of them shares one shuffle and one sort.  Where two
+An indicator is a short list of stages with its reach in rows, so that any
+number of them shares one shuffle and one pass over the rows.  Where two
 formulas are in use for one name, ``variant`` picks one.
 """
 
@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,22 +37,64 @@ GARCH_BETA = 0.85
 SPECTRUM_ROWS = 60
 
 
+Columns = Callable[[Frame], dict[str, Column]]
+Terms = dict[str, tuple[Column, float]]
+
+
+@dataclass(frozen=True)
+class Recursion:
+    """Recurrences of one kind: ``recursive``/``adjusted`` means (x, alpha) or ``plain`` (b, decay)."""
+
+    kind: str
+    terms: Terms
+
+    def decays(self) -> list[float]:
+        return [a if self.kind == "plain" else 1.0 - a for _, a in self.terms.values()]
+
+
+RUN = {"recursive": S.ewm_recursive, "adjusted": S.ewm_adjusted, "plain": S.recurrence}
+
+
 @dataclass(frozen=True)
 class Indicator:
-    """A builder and how many rows before the current one it depends on."""
+    """Stages to run one after the other, the rows they look back on, and the columns that stay.
+
+    A stage is a set of columns or a recurrence.  Scratch columns start with
+    two underscores; equal names mean equal values and are computed once.
+    """
 
-    build: Callable[[DataFrame, Frame], DataFrame]
+    stages: tuple[Columns | Recursion, ...]
     reach: int
     outputs: tuple[str, ...]
 
 
 def add(line: Line, *indicators: Indicator) -> Line:
-    """Put indicators on a line, all in the same pass."""
+    """Put indicators on a line, all in the same pass.
+
+    The stages of all indicators are run level by level: one projection, one
+    window operator and one recurrence per level, whatever their number.
+    """
+    levels = list(zip_longest(*[i.stages for i in indicators]))
+    decays = [d for level in levels for s in level if isinstance(s, Recursion) for d in s.decays()]
 
     def build(d: DataFrame, f: Frame) -> DataFrame:
-        for i in indicators:
-            d = i.build(d, f)
-        return d
+        before = set(d.columns)
+        if decays:
+            d, f = S.chunked(d, f, decays)
+        for level in levels:
+            columns: dict[str, Column] = {}
+            recursions: dict[str, Terms] = {}
+            for stage in level:
+                if isinstance(stage, Recursion):
+                    recursions.setdefault(stage.kind, {}).update(stage.terms)
+                elif stage is not None:
+                    columns.update(stage(f))
+            if columns:
+                d = d.withColumns(columns)
+            for kind, terms in recursions.items():
+                d = RUN[kind](d, f, terms)
+        kept = {o for i in indicators for o in i.outputs}
+        return d.drop(*[c for c in d.columns if c.startswith("__") and c not in before and c not in kept])
 
     return line.roll(build, before=max(i.reach for i in indicators))
 
@@ -60,79 +104,98 @@ def _strength_index(gain: Column, loss: Column) -> Column:
     return F.when(loss != 0, 100 - 100 / (1 + gain / loss)).when(gain > 0, F.lit(100.0))
 
 
+def _move(f: Frame) -> dict[str, Column]:
+    return {"__move": S.diff(F.col("close"), f)}
+
+
+def _typical(f: Frame) -> dict[str, Column]:
+    return {"__tp": (F.col("high") + F.col("low") + F.col("close")) / 3.0}
+
+
+def _extremes(n: int) -> Columns:
+    """Lowest low and highest high of the last ``n`` rows."""
+
+    def columns(f: Frame) -> dict[str, Column]:
+        return {
+            f"__low_{n}": S.rolling(F.col("low"), n, "min", f),
+            f"__high_{n}": S.rolling(F.col("high"), n, "max", f),
+        }
+
+    return columns
+
+
 def rsi(variant: str = "wilder", n: int = RSI_ROWS, out: str = "rsi") -> Indicator:
     """Relative strength index: ``wilder`` smoothing (alpha 1/n) or ``sma``."""
+    g, l = f"__{out}_gain", f"__{out}_loss"
+    u, v = f"__{out}_up", f"__{out}_down"
+    move = F.col("__move")
 
-    def wilder(d: DataFrame, f: Frame) -> DataFrame:
-        d = d.withColumn("__d", S.diff(F.col("close"), f))
-        up, down = F.greatest("__d", F.lit(0.0)), F.greatest(-F.col("__d"), F.lit(0.0))
-        known = F.col("__d").isNotNull()
-        a = 1.0 / n
-        d = S.ewm_recursive(d, f, {"__g": (F.when(known, up), a), "__l": (F.when(known, down), a)})
-        return d.withColumn(out, _strength_index(F.col("__g"), F.col("__l"))).drop("__d", "__g", "__l")
-
-    def sma(d: DataFrame, f: Frame) -> DataFrame:
-        d = d.withColumn("__d", S.diff(F.col("close"), f))
-        d = d.withColumns(
-            {
-                "__u": F.when(F.col("__d") > 0, F.col("__d")).otherwise(0.0),
-                "__v": F.when(F.col("__d") < 0, -F.col("__d")).otherwise(0.0),
-            }
-        )
-        g, l = S.rolling(F.col("__u"), n, "mean", f), S.rolling(F.col("__v"), n, "mean", f)
-        d = d.withColumns({"__g": g, "__l": l})
-        return d.withColumn(out, _strength_index(F.col("__g"), F.col("__l"))).drop("__d", "__u", "__v", "__g", "__l")
+    def index(f: Frame) -> dict[str, Column]:
+        return {out: _strength_index(F.col(g), F.col(l))}
 
     if variant == "wilder":
-        return Indicator(wilder, 1 + S.ewm_reach(1.0 / n), (out,))
+        up = F.when(move.isNotNull(), F.greatest(move, F.lit(0.0)))
+        down = F.when(move.isNotNull(), F.greatest(-move, F.lit(0.0)))
+        smooth = Recursion("recursive", {g: (up, 1.0 / n), l: (down, 1.0 / n)})
+        return Indicator((_move, smooth, index), 1 + S.ewm_reach(1.0 / n), (out,))
+
+    def sides(f: Frame) -> dict[str, Column]:
+        return {u: F.when(move > 0, move).otherwise(0.0), v: F.when(move < 0, -move).otherwise(0.0)}
+
+    def means(f: Frame) -> dict[str, Column]:
+        return {g: S.rolling(F.col(u), n, "mean", f), l: S.rolling(F.col(v), n, "mean", f)}
+
     if variant == "sma":
-        return Indicator(sma, n, (out,))
+        return Indicator((_move, sides, means, index), n, (out,))
     raise ValueError("variant is 'wilder' or 'sma'")
 
 
 def macd(variant: str = "recursive", prefix: str = "macd") -> Indicator:
     """Fast minus slow exponential mean, its signal line and (recursive form) the difference."""
+    if variant not in ("recursive", "adjusted"):
+        raise ValueError("variant is 'recursive' or 'adjusted'")
     fast, slow, sign = (S.alpha_of(span=s) for s in MACD_SPANS)
-    ewm = {"recursive": S.ewm_recursive, "adjusted": S.ewm_adjusted}[variant]
     line, signal, hist = f"{prefix}_line", f"{prefix}_signal", f"{prefix}_hist"
-
-    def build(d: DataFrame, f: Frame) -> DataFrame:
-        d = ewm(d, f, {"__fast": (F.col("close"), fast), "__slow": (F.col("close"), slow)})
-        d = d.withColumn(line, F.col("__fast") - F.col("__slow")).drop("__fast", "__slow")
-        d = ewm(d, f, {signal: (F.col(line), sign)})
-        return d.withColumn(hist, F.col(line) - F.col(signal)) if variant == "recursive" else d
-
-    outs = (line, signal, hist) if variant == "recursive" else (line, signal)
-    return Indicator(build, S.ewm_reach(fast, slow) + S.ewm_reach(sign), outs)
+    a, b = f"__{prefix}_fast", f"__{prefix}_slow"
+    stages = (
+        Recursion(variant, {a: (F.col("close"), fast), b: (F.col("close"), slow)}),
+        lambda f: {line: F.col(a) - F.col(b)},
+        Recursion(variant, {signal: (F.col(line), sign)}),
+    )
+    outs = (line, signal)
+    if variant == "recursive":
+        stages, outs = (*stages, lambda f: {hist: F.col(line) - F.col(signal)}), (*outs, hist)
+    return Indicator(stages, S.ewm_reach(fast, slow) + S.ewm_reach(sign), outs)
 
 
 def atr(variant: str = "true_range", n: int = ATR_ROWS, out: str = "atr") -> Indicator:
     """Mean range: ``true_range`` takes the gap to the close before into account, ``simple`` does not."""
+    if variant not in ("true_range", "simple"):
+        raise ValueError("variant is 'true_range' or 'simple'")
+    tr = f"__{out}_range"
 
-    def build(d: DataFrame, f: Frame) -> DataFrame:
+    def spans(f: Frame) -> dict[str, Column]:
         span = F.col("high") - F.col("low")
         if variant == "true_range":
             before = S.shift(F.col("close"), 1, f)
             span = F.greatest(span, F.abs(F.col("high") - before), F.abs(F.col("low") - before))
-        d = d.withColumn("__tr", span)
-        return d.withColumn(out, S.rolling(F.col("__tr"), n, "mean", f)).drop("__tr")
+        return {tr: span}
 
-    if variant not in ("true_range", "simple"):
-        raise ValueError("variant is 'true_range' or 'simple'")
-    return Indicator(build, n, (out,))
+    return Indicator((spans, lambda f: {out: S.rolling(F.col(tr), n, "mean", f)}), n, (out,))
 
 
 def bollinger(n: int = BAND_ROWS, width: float = 2.0, prefix: str = "bb") -> Indicator:
-    mid, upper, lower = f"{prefix}_mid", f"{prefix}_upper", f"{prefix}_lower"
+    """Rolling mean, and the lines ``width`` deviations above and below it."""
+    mid, upper, lower, dev = f"{prefix}_mid", f"{prefix}_upper", f"{prefix}_lower", f"__{prefix}_dev"
 
-    def build(d: DataFrame, f: Frame) -> DataFrame:
-        d = d.withColumns(
-            {mid: S.rolling(F.col("close"), n, "mean", f), "__sd": S.rolling(F.col("close"), n, "std", f)}
-        )
-        band = F.lit(width) * F.col("__sd")
-        return d.withColumns({upper: F.col(mid) + band, lower: F.col(mid) - band}).drop("__sd")
+    def spread(f: Frame) -> dict[str, Column]:
+        return {mid: S.rolling(F.col("close"), n, "mean", f), dev: S.rolling(F.col("close"), n, "std", f)}
 
-    return Indicator(build, n - 1, (mid, upper, lower))
+    def bands(f: Frame) -> dict[str, Column]:
+        band = F.lit(width) * F.col(dev)
+        return {upper: F.col(mid) + band, lower: F.col(mid) - band}
+
+    return Indicator((spread, bands), n - 1, (mid, upper, lower))
 
 
 def stochastic(variant: str = "guarded", n: int = STOCHASTIC_ROWS, prefix: str = "stoch") -> Indicator:
@@ -140,137 +203,127 @@ def stochastic(variant: str = "guarded", n: int = STOCHASTIC_ROWS, prefix: str =
 
     ``guarded`` adds 1e-9 to the range; ``plain`` gives null on a flat range.
     """
-    k, dd = f"{prefix}_k", f"{prefix}_d"
-
-    def build(d: DataFrame, f: Frame) -> DataFrame:
-        d = d.withColumns(
-            {"__lo": S.rolling(F.col("low"), n, "min", f), "__hi": S.rolling(F.col("high"), n, "max", f)}
-        )
-        span = F.col("__hi") - F.col("__lo")
-        rise = F.col("close") - F.col("__lo")
-        share = rise / (span + EPS) if variant == "guarded" else F.try_divide(rise, span)
-        d = d.withColumn(k, share * 100).drop("__lo", "__hi")
-        return d.withColumn(dd, S.rolling(F.col(k), STOCHASTIC_MEAN, "mean", f))
-
     if variant not in ("guarded", "plain"):
         raise ValueError("variant is 'guarded' or 'plain'")
-    return Indicator(build, n + STOCHASTIC_MEAN - 2, (k, dd))
+    k, d = f"{prefix}_k", f"{prefix}_d"
 
+    def place(f: Frame) -> dict[str, Column]:
+        span = F.col(f"__high_{n}") - F.col(f"__low_{n}")
+        rise = F.col("close") - F.col(f"__low_{n}")
+        return {k: (rise / (span + EPS) if variant == "guarded" else F.try_divide(rise, span)) * 100}
 
-def _typical() -> Column:
-    return (F.col("high") + F.col("low") + F.col("close")) / 3.0
+    def mean(f: Frame) -> dict[str, Column]:
+        return {d: S.rolling(F.col(k), STOCHASTIC_MEAN, "mean", f)}
+
+    return Indicator((_extremes(n), place, mean), n + STOCHASTIC_MEAN - 2, (k, d))
 
 
 def mfi(n: int = MFI_ROWS, out: str = "mfi") -> Indicator:
     """Money flow index: flow counts as positive or negative by the move of the typical price."""
+    dt, p, q = f"__{out}_move", f"__{out}_in", f"__{out}_out"
 
-    def build(d: DataFrame, f: Frame) -> DataFrame:
-        d = d.withColumn("__tp", _typical())
-        d = d.withColumn("__dt", S.diff(F.col("__tp"), f))
+    def move(f: Frame) -> dict[str, Column]:
+        return {dt: S.diff(F.col("__tp"), f)}
+
+    def flows(f: Frame) -> dict[str, Column]:
         flow = F.col("__tp") * F.col("volume")
-        d = d.withColumns(
-            {
-                "__in": F.when(F.col("__dt") > 0, flow).otherwise(0.0),
-                "__out": F.when(F.col("__dt") < 0, flow).otherwise(0.0),
-            }
-        )
-        d = d.withColumns(
-            {"__p": S.rolling(F.col("__in"), n, "sum", f), "__q": S.rolling(F.col("__out"), n, "sum", f)}
-        )
-        d = d.withColumn(out, 100 - 100 / (1 + F.col("__p") / (F.col("__q") + EPS)))
-        return d.drop("__tp", "__dt", "__in", "__out", "__p", "__q")
+        return {p: F.when(F.col(dt) > 0, flow).otherwise(0.0), q: F.when(F.col(dt) < 0, flow).otherwise(0.0)}
+
+    def index(f: Frame) -> dict[str, Column]:
+        gain, loss = S.rolling(F.col(p), n, "sum", f), S.rolling(F.col(q), n, "sum", f)
+        return {out: 100 - 100 / (1 + gain / (loss + EPS))}
 
-    return Indicator(build, n, (out,))
+    return Indicator((_typical, move, flows, index), n, (out,))
 
 
 def cci(n: int = CCI_ROWS, out: str = "cci") -> Indicator:
     """Commodity channel index; the deviation is the mean of each row's distance to its own mean."""
+    dev = f"__{out}_dev"
 
-    def build(d: DataFrame, f: Frame) -> DataFrame:
-        d = d.withColumn("__tp", _typical())
-        d = d.withColumn("__dev", F.col("__tp") - S.rolling(F.col("__tp"), n, "mean", f))
-        d = d.withColumn("__md", S.rolling(F.abs("__dev"), n, "mean", f))
-        return d.withColumn(out, F.try_divide(F.col("__dev"), F.lit(CCI_SCALE) * F.col("__md"))).drop(
-            "__tp", "__dev", "__md"
-        )
+    def distance(f: Frame) -> dict[str, Column]:
+        return {dev: F.col("__tp") - S.rolling(F.col("__tp"), n, "mean", f)}
+
+    def index(f: Frame) -> dict[str, Column]:
+        mean = S.rolling(F.abs(F.col(dev)), n, "mean", f)
+        return {out: F.try_divide(F.col(dev), F.lit(CCI_SCALE) * mean)}
 
-    return Indicator(build, 2 * (n - 1), (out,))
+    return Indicator((_typical, distance, index), 2 * (n - 1), (out,))
 
 
 def williams_r(n: int = STOCHASTIC_ROWS, out: str = "williams_r") -> Indicator:
-    def build(d: DataFrame, f: Frame) -> DataFrame:
-        d = d.withColumns(
-            {"__lo": S.rolling(F.col("low"), n, "min", f), "__hi": S.rolling(F.col("high"), n, "max", f)}
-        )
-        share = (F.col("__hi") - F.col("close")) / (F.col("__hi") - F.col("__lo") + EPS)
-        return d.withColumn(out, share * -100).drop("__lo", "__hi")
+    """Distance of the close to the n-row high, in percent of the range, negative."""
 
-    return Indicator(build, n - 1, (out,))
+    def index(f: Frame) -> dict[str, Column]:
+        hi, lo = F.col(f"__high_{n}"), F.col(f"__low_{n}")
+        return {out: (hi - F.col("close")) / (hi - lo + EPS) * -100}
+
+    return Indicator((_extremes(n), index), n - 1, (out,))
 
 
 def roc(n: int = ROC_ROWS, out: str = "roc") -> Indicator:
-    return Indicator(lambda d, f: d.withColumn(out, S.pct_change(F.col("close"), f, n) * 100), n, (out,))
+    return Indicator((lambda f: {out: S.pct_change(F.col("close"), f, n) * 100},), n, (out,))
 
 
 def returns(out: str = "ret", scale: float = 1.0) -> Indicator:
     """Relative change to the row before, 0 in the first row."""
 
-    def build(d: DataFrame, f: Frame) -> DataFrame:
-        return d.withColumn(out, F.coalesce(S.pct_change(F.col("close"), f), F.lit(0.0)) * scale)
+    def change(f: Frame) -> dict[str, Column]:
+        return {out: F.coalesce(S.pct_change(F.col("close"), f), F.lit(0.0)) * scale}
 
-    return Indicator(build, 1, (out,))
+    return Indicator((change,), 1, (out,))
 
 
 def return1(out: str = "return1") -> Indicator:
     return returns(out, 100.0)
 
 
-def signed_volume(out: str = "__flow") -> Indicator:
+def signed_volume(out: str = "signed_volume") -> Indicator:
     """Volume with the sign of the price move; the summand of on-balance volume."""
 
-    def build(d: DataFrame, f: Frame) -> DataFrame:
+    def flow(f: Frame) -> dict[str, Column]:
         move = F.coalesce(S.diff(F.col("close"), f), F.lit(0.0))
-        return d.withColumn(out, F.signum(move) * F.col("volume"))
+        return {out: F.signum(move) * F.col("volume")}
 
-    return Indicator(build, 1, (out,))
+    return Indicator((flow,), 1, (out,))
 
 
 def obv(line: Line, out: str = "obv") -> Line:
     """On-balance volume: running sum of signed volume."""
-    line = S.cumsum(add(line, signed_volume()), {out: F.col("__flow")})
+    line = S.cumsum(add(line, signed_volume("__flow")), {out: F.col("__flow")})
     return line.map(lambda d: d.drop("__flow"))
 
 
-def garch_vol(line: Line, ret: str | None = None, out: str = "garch_vol") -> Line:
+def variance_path(ret: str, v0: str, out: str = "garch_vol") -> Indicator:
+    """GARCH(1,1) volatility from a return column and its whole-series variance."""
+    level = F.col(v0) * max(0.0, 1 - GARCH_ALPHA - GARCH_BETA)
+    v = f"__{out}_v"
+
+    def start(f: Frame) -> dict[str, Column]:
+        return {f"__{out}_first": F.lag(F.lit(1), 1).over(f.spec()).isNull()}
+
+    b = F.when(F.col(f"__{out}_first"), F.col(v0)).otherwise(level + GARCH_ALPHA * F.col(ret) * F.col(ret))
+    stages = (
+        start,
+        Recursion("plain", {v: (b, GARCH_BETA)}),
+        lambda f: {out: F.when(F.col(v0).isNotNull(), F.sqrt(v))},
+    )
+    return Indicator(stages, S.reach(GARCH_BETA), (out,))
+
+
+def garch_vol(line: Line, out: str = "garch_vol") -> Line:
     """GARCH(1,1) volatility of returns.
 
     The start value and the level come from the variance of the whole series,
     so early rows know later ones.
     """
-    name = ret or "__ret"
-    if ret is None:
-        line = add(line, returns(name))
-    line = line.whole({"__v0": F.var_samp(name)})
-    level = F.col("__v0") * max(0.0, 1 - GARCH_ALPHA - GARCH_BETA)
-
-    def build(d: DataFrame, f: Frame) -> DataFrame:
-        start = F.lag(F.lit(1), 1).over(f.spec()).isNull()
-        b = F.when(start, F.col("__v0")).otherwise(level + GARCH_ALPHA * F.col(name) * F.col(name))
-        d = S.recurrence(d, f, {out: (b, GARCH_BETA)})
-        return d.withColumn(out, F.when(F.col("__v0").isNotNull(), F.sqrt(out)))
-
-    drop = ["__v0"] + (["__ret"] if ret is None else [])
-    return line.roll(build, before=S.reach(GARCH_BETA)).map(lambda d: d.drop(*drop))
+    line = add(line, returns("__r")).whole({"__v0": F.var_samp("__r")})
+    return add(line, variance_path("__r", "__v0", out)).map(lambda d: d.drop("__r", "__v0"))
 
 
 def raw_period(n: int = SPECTRUM_ROWS, out: str = "dominant_period") -> Indicator:
     """Spectral period of the ``n`` closes before the row."""
     udf = period_of(n)
-
-    def build(d: DataFrame, f: Frame) -> DataFrame:
-        return d.withColumn(out, udf(S.window_list(F.col("close"), n, f)))
-
-    return Indicator(build, n, (out,))
+    return Indicator((lambda f: {out: udf(S.window_list(F.col("close"), n, f))},), n, (out,))
 
 
 def smooth_period(line: Line, column: str = "dominant_period") -> Line:
@@ -298,11 +351,12 @@ GROUPED_FEATURES = (
 
 def feature_frame(line: Line, target: str = "up_next") -> DataFrame:
     """All indicators, complete rows only, and whether the next complete row closes higher."""
+    line = add(line, returns("__r")).whole({"__v0": F.var_samp("__r")})
     line = add(
         line,
         rsi("wilder"),
         macd("recursive"),
-        returns("__r"),
+        variance_path("__r", "__v0"),
         atr("true_range"),
         bollinger(),
         stochastic("guarded"),
@@ -310,16 +364,13 @@ def feature_frame(line: Line, target: str = "up_next") -> DataFrame:
         cci(),
         williams_r(),
         roc(),
-        signed_volume(),
+        signed_volume("__flow"),
         raw_period(),
     )
-    line = garch_vol(line, ret="__r")
     line = S.cumsum(line, {"obv": F.col("__flow")})
     line = smooth_period(line)
-    line = line.map(lambda d: d.withColumn("return1", F.col("__r") * 100).drop("__r", "__flow"))
-    whole = F.lit(True)
-    for c in FEATURES:
-        whole = whole & F.col(c).isNotNull()
+    line = line.map(lambda d: d.withColumn("return1", F.col("__r") * 100).drop("__r", "__v0", "__flow"))
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in FEATURES])
     line = line.scan(nexts={"__next": F.when(whole, F.col("close"))}, strict=True)
     up = F.coalesce(F.col("__next") > F.col("close"), F.lit(False)).cast("int")
     return line.result().na.drop(subset=list(FEATURES)).withColumn(target, up).drop("__next")
@@ -334,7 +385,7 @@ def feature_frame_grouped(line: Line, target: str = "target") -> DataFrame:
         atr("simple"),
         bollinger(),
         stochastic("plain"),
-        signed_volume(),
+        signed_volume("__flow"),
     )
     line = S.cumsum(line, {"obv": F.col("__flow")}).map(lambda d: d.drop("__flow"))
     line = S.target_next(line, "close", 5, target)

@@ -66,41 +66,54 @@ def reach(decay: float) -> int:
     return 0 if decay <= 0 else math.ceil(math.log(TINY) / math.log(decay))
 
 
-def recurrence(df: DataFrame, f: Frame, terms: dict[str, tuple[Column, float]], chunk: int | None = None) -> DataFrame:
-    """``y[t] = d * y[t-1] + b[t]`` for every ``out: (b, d)``, null b counting as 0.
+CHUNK, STEP = "__chunk", "__j"
 
-    Inside a chunk of rows y is ``d^j`` times a running sum of ``b * d^-j``.
-    Chunks are long enough that ``d^chunk`` vanishes, so the only thing a chunk
-    needs from the past is the end value of the chunk before it.  All of it is
-    window sums: no Python, and no state larger than one row.
+
+def chunked(df: DataFrame, f: Frame, decays: list[float], chunk: int | None = None) -> tuple[DataFrame, Frame]:
+    """Number the chunks of rows a recurrence works in, for all ``decays`` at once.
+
+    Chunks are so long that ``d^chunk`` vanishes and so short that ``d^-chunk``
+    is still a double.
     """
-    decays = [d for _, d in terms.values()]
     if any(not 0 < d < 1 for d in decays):
         raise ValueError("decay must lie strictly between 0 and 1")
     chunk = chunk or min(int(WIDEST / -math.log10(d)) for d in decays)
     if chunk < max(reach(d) for d in decays):
         raise ValueError("decays lie too far apart, or chunk is too short; use separate calls")
+    df = df.withColumn("__i", F.row_number().over(f.spec()) - 1)
+    df = df.withColumns({CHUNK: F.floor(F.col("__i") / chunk), STEP: (F.col("__i") % chunk).cast("double")})
+    return df.drop("__i"), Frame(f.parts, (CHUNK, *f.order), chunk)
+
+
+def recurrence(df: DataFrame, f: Frame, terms: dict[str, tuple[Column, float]], chunk: int | None = None) -> DataFrame:
+    """``y[t] = d * y[t-1] + b[t]`` for every ``out: (b, d)``, null b counting as 0.
+
+    Inside a chunk of rows y is ``d^j`` times a running sum of ``b * d^-j``.
+    As ``d^chunk`` vanishes, the only thing a chunk needs from the past is the
+    end value of the chunk before it.  All of it is window sums: no Python, and
+    no state larger than one row.
+    """
+    own = f.chunk is None
+    if own:
+        df, f = chunked(df, f, [d for _, d in terms.values()], chunk)
     b = {o: f"__b_{o}" for o in terms}
     df = df.withColumns({b[o]: F.coalesce(c, F.lit(0.0)) for o, (c, _) in terms.items()})
-    df = df.withColumn("__i", F.row_number().over(f.spec()) - 1)
-    df = df.withColumns({"__chunk": F.floor(F.col("__i") / chunk), "__j": (F.col("__i") % chunk).cast("double")})
-    within = Window.partitionBy(*f.parts, "__chunk").orderBy(*f.order).rowsBetween(Window.unboundedPreceding, 0)
-    j = F.col("__j")
+    within = Window.partitionBy(*f.parts, CHUNK).orderBy(*f.order[1:]).rowsBetween(Window.unboundedPreceding, 0)
+    j = F.col(STEP)
     df = df.withColumns(
         {
             o: F.pow(F.lit(d), j) * F.sum(F.col(b[o]) * F.pow(F.lit(d), -j)).over(within)
             for o, (_, d) in terms.items()
         }
     )
-    ends = {f"__end_{o}": F.last(F.when(j == chunk - 1, F.col(o)), True).over(f.past()) for o in terms}
-    df = df.withColumns(ends)
+    ends = {o: F.last(F.when(j == f.chunk - 1, F.col(o)), True).over(f.past()) for o in terms}
     df = df.withColumns(
         {
-            o: F.col(o) + F.pow(F.lit(d), j + 1) * F.coalesce(F.col(f"__end_{o}"), F.lit(0.0))
+            o: F.col(o) + F.pow(F.lit(d), j + 1) * F.coalesce(ends[o], F.lit(0.0))
             for o, (_, d) in terms.items()
         }
     )
-    return df.drop("__i", "__chunk", "__j", *b.values(), *ends)
+    return df.drop(*b.values(), *([CHUNK, STEP] if own else []))
 
 
 def alpha_of(span: float | None = None, alpha: float | None = None) -> float:
@@ -115,13 +128,19 @@ def ewm_recursive(df: DataFrame, f: Frame, terms: dict[str, tuple[Column, float]
     ``terms`` is ``out: (x, a)``.  Leading nulls stay null; x must be known
     from its first value on.
     """
-    x = {o: f"__x_{o}" for o in terms}
-    df = df.withColumns({x[o]: c for o, (c, _) in terms.items()})
-    begun = {o: F.count(x[o]).over(f.past()) > 0 for o in terms}
-    rec = {o: (F.when(begun[o], F.lit(a) * F.col(x[o])).otherwise(F.col(x[o])), 1.0 - a) for o, (_, a) in terms.items()}
+    x, k = {o: f"__x_{o}" for o in terms}, {o: f"__k_{o}" for o in terms}
+    df = df.withColumns(
+        {
+            **{x[o]: c for o, (c, _) in terms.items()},
+            **{k[o]: F.count(c).over(f.upto()) for o, (c, _) in terms.items()},
+        }
+    )
+    rec = {
+        o: (F.when(F.col(k[o]) > 1, F.lit(a) * F.col(x[o])).otherwise(F.col(x[o])), 1.0 - a)
+        for o, (_, a) in terms.items()
+    }
     df = recurrence(df, f, rec)
-    seen = {o: F.when(F.count(x[o]).over(f.upto()) > 0, F.col(o)) for o in terms}
-    return df.withColumns(seen).drop(*x.values())
+    return df.withColumns({o: F.when(F.col(k[o]) > 0, F.col(o)) for o in terms}).drop(*x.values(), *k.values())
 
 
 def ewm_adjusted(df: DataFrame, f: Frame, terms: dict[str, tuple[Column, float]]) -> DataFrame:

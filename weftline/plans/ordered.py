@@ -38,10 +38,16 @@ CUT = "__cut"
 
 @dataclass(frozen=True)
 class Frame:
-    """Where a window expression runs: its partition columns and its row order."""
+    """Where a window expression runs: its partition columns and its row order.
+
+    ``chunk`` is the length of the chunks a recurrence works in; the chunk
+    number then leads the order, which keeps the rows in the same sequence, so
+    windows per chunk and windows per part share one sort.
+    """
 
     parts: tuple[str, ...]
     order: tuple[str, ...]
+    chunk: int | None = None
 
     def spec(self) -> WindowSpec:
         return Window.partitionBy(*self.parts).orderBy(*self.order)
