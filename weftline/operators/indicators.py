@@ -326,16 +326,16 @@ def raw_period(n: int = SPECTRUM_ROWS, out: str = "dominant_period") -> Indicato
     return Indicator((lambda f: {out: udf(S.window_list(F.col("close"), n, f))},), n, (out,))
 
 
-def smooth_period(line: Line, column: str = "dominant_period") -> Line:
-    """Fill gaps between known periods, then take the centred mean of three."""
-    line = S.interpolate(line, [column], mode="inside")
+def smooth(line: Line, column: str) -> Line:
+    """Centred mean of three."""
     return line.roll(
         lambda d, f: d.withColumn(column, S.rolling_centered(F.col(column), 3, "mean", f)), before=1, after=1
     )
 
 
 def dominant_period(line: Line, n: int = SPECTRUM_ROWS, out: str = "dominant_period") -> Line:
-    return smooth_period(add(line, raw_period(n, out)), out)
+    """Spectral period with the gaps between known values filled, smoothed."""
+    return smooth(S.interpolate(add(line, raw_period(n, out)), [out], mode="inside"), out)
 
 
 FEATURES = (
@@ -367,9 +367,18 @@ def feature_frame(line: Line, target: str = "up_next") -> DataFrame:
         signed_volume("__flow"),
         raw_period(),
     )
-    line = S.cumsum(line, {"obv": F.col("__flow")})
-    line = smooth_period(line)
-    line = line.map(lambda d: d.withColumn("return1", F.col("__r") * 100).drop("__r", "__v0", "__flow"))
+    # running volume and the gaps of the period need the whole key: one scan for both
+    period = ["dominant_period"]
+    lasts, nexts = S.gap_ends(period, "__at")
+    line = line.with_position("__at").scan(sums={"obv": F.col("__flow")}, lasts=lasts, nexts=nexts)
+    line = line.map(
+        lambda d: S.fill_gaps(d, period, "__at", "inside")
+        .withColumns(
+            {"obv": F.when(F.col("__flow").isNotNull(), F.col("obv")), "return1": F.col("__r") * 100}
+        )
+        .drop("__at", "__r", "__v0", "__flow")
+    )
+    line = smooth(line, "dominant_period")
     whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in FEATURES])
     line = line.scan(nexts={"__next": F.when(whole, F.col("close"))}, strict=True)
     up = F.coalesce(F.col("__next") > F.col("close"), F.lit(False)).cast("int")

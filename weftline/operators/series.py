@@ -186,7 +186,32 @@ def ewm(line: Line, terms: dict[str, tuple[Column, float]], adjust: bool = True)
     return line.roll(lambda d, f: fn(d, f, terms), before=ewm_reach(*[a for _, a in terms.values()]))
 
 
-def interpolate(line: Line, columns: list[str], mode: str = "forward", suffix: str = "") -> Line:
+def gap_ends(columns: list[str], at: str) -> tuple[dict[str, Column], dict[str, Column]]:
+    """The known point (value, position) before and after a gap, as terms of a scan."""
+    points = {
+        c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).cast("double").alias("v"), F.col(at).alias("p")))
+        for c in columns
+    }
+    return {f"__lo_{c}": p for c, p in points.items()}, {f"__hi_{c}": p for c, p in points.items()}
+
+
+def fill_gaps(df: DataFrame, columns: list[str], at: str, mode: str) -> DataFrame:
+    """Straight line between the points that ``gap_ends`` found."""
+    made = {}
+    for c in columns:
+        lo, hi = F.col(f"__lo_{c}"), F.col(f"__hi_{c}")
+        gap = (hi["p"] - lo["p"]).cast("double")
+        share = (F.col(at) - lo["p"]).cast("double") / gap
+        value = (
+            F.when(F.col(c).isNotNull(), F.col(c).cast("double"))
+            .when(lo.isNull(), F.lit(None))
+            .when(hi.isNotNull(), lo["v"] + (hi["v"] - lo["v"]) * share)
+        )
+        made[c] = value.otherwise(lo["v"]) if mode == "forward" else value
+    return df.withColumns(made).drop(*[f"__{side}_{c}" for side in ("lo", "hi") for c in columns])
+
+
+def interpolate(line: Line, columns: list[str], mode: str = "forward") -> Line:
     """Linear in row position between known values.
 
     ``forward`` also carries the last value into a trailing gap, ``inside``
@@ -194,29 +219,9 @@ def interpolate(line: Line, columns: list[str], mode: str = "forward", suffix: s
     """
     if mode not in ("forward", "inside"):
         raise ValueError("mode is 'forward' or 'inside'")
-    line = line.with_position("__at")
-    lasts, nexts = {}, {}
-    for c in columns:
-        point = F.when(F.col(c).isNotNull(), F.struct(F.col(c).cast("double").alias("v"), F.col("__at").alias("p")))
-        lasts[f"__lo_{c}"] = point
-        nexts[f"__hi_{c}"] = point
-    line = line.scan(lasts=lasts, nexts=nexts)
-
-    def fill(d: DataFrame) -> DataFrame:
-        made = {}
-        for c in columns:
-            lo, hi = F.col(f"__lo_{c}"), F.col(f"__hi_{c}")
-            gap = (hi["p"] - lo["p"]).cast("double")
-            share = (F.col("__at") - lo["p"]).cast("double") / gap
-            value = (
-                F.when(F.col(c).isNotNull(), F.col(c).cast("double"))
-                .when(lo.isNull(), F.lit(None))
-                .when(hi.isNotNull(), lo["v"] + (hi["v"] - lo["v"]) * share)
-            )
-            made[c + suffix] = value.otherwise(lo["v"]) if mode == "forward" else value
-        return d.withColumns(made).drop("__at", *lasts, *nexts)
-
-    return line.map(fill)
+    lasts, nexts = gap_ends(columns, "__at")
+    line = line.with_position("__at").scan(lasts=lasts, nexts=nexts)
+    return line.map(lambda d: fill_gaps(d, columns, "__at", mode).drop("__at"))
 
 
 def ffill(line: Line, columns: list[str]) -> Line:

@@ -164,6 +164,10 @@ class Line:
 
         df = df.withColumn(BLOCK, F.floor(F.col(POS) / self.block).cast("long"))
         f = Frame((*self.keys, BLOCK), (POS,))
+        df = df.withColumns(self._local_scan(f, src, sums, lasts, nexts, strict))
+        # read twice from here on (block ends, then rows): written once, so that
+        # a chain of scans does not work out its past again for every branch
+        df = checkpointed(df)
         known = {o: F.when(F.col(src[o]).isNotNull(), F.col(POS)) for o in (*lasts, *nexts)}
         ends = df.groupBy(*self.keys, BLOCK).agg(
             F.count(F.lit(1)).alias("__n"),
@@ -181,7 +185,6 @@ class Line:
             *[F.last(f"__e_{o}", True).over(across.rowsBetween(*prior)).alias(f"__c_{o}") for o in lasts],
             *[F.last(f"__e_{o}", True).over(back.rowsBetween(*prior)).alias(f"__c_{o}") for o in nexts],
         )
-        df = df.withColumns(self._local_scan(f, src, sums, lasts, nexts, strict))
         df = join_null_safe(df, carry, (*self.keys, BLOCK), "left")
         joined = {
             **{
