@@ -83,8 +83,6 @@ def scan_csv(
     cell, empty ones included, as it is written.
     """
     reader = spark.read.option("header", header).option("inferSchema", False)
-    if not na_filter:
-        reader = reader.option("emptyValue", "").option("nullValue", "\u0000")
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     if schema is not None:
@@ -99,6 +97,8 @@ def scan_csv(
         cell = F.col(c)
         if na_filter and na_values:
             cell = F.when(~cell.isin(na_values), cell)
+        if not na_filter and dict(df.dtypes)[c] == "string":
+            cell = F.coalesce(cell, F.lit(""))
         out.append((cell.cast(types[c]) if c in types else cell).alias(c))
     df = df.select(*out)
     return df.limit(nrows) if nrows is not None else df
