@@ -154,7 +154,7 @@ def _(spark, sf):
 
 CHANCES = f"""{BARS},
 a AS (SELECT ticker, bar_ts, (close - low + 1) / (high - low + 2) AS p FROM bars),
-c AS (SELECT ticker, bar_ts, volume / (volume + close + 1) AS p FROM bars WHERE volume > 10),
+c AS (SELECT ticker, bar_ts, volume / (volume + close + 1) AS p FROM bars),
 e AS (SELECT ticker, bar_ts, a.p AS p_first, c.p AS p_second, (a.p + c.p) / 2 AS p_up FROM a JOIN c USING (ticker, bar_ts))"""
 
 
@@ -163,7 +163,7 @@ def chances(spark, sf):
     first = (F.col("close") - F.col("low") + 1) / (F.col("high") - F.col("low") + 2)
     second = F.col("volume") / (F.col("volume") + F.col("close") + 1)
     a = b.select("ticker", "bar_ts", first.alias("p"))
-    c = b.filter("volume > 10").select("ticker", "bar_ts", second.alias("p"))
+    c = b.select("ticker", "bar_ts", second.alias("p"))
     return decide.ensemble_kelly(a, c, ["ticker", "bar_ts"])
 
 

@@ -6,18 +6,17 @@ from weftline.catalog.registry import BARS, bars, query, r, rounded, table
 from weftline.operators import joins, labelled
 
 SIDES = """
-l AS (SELECT nullif(o_custkey, 5) AS key, o_orderkey, o_totalprice AS amount FROM orders WHERE o_totalprice > 250000),
-r AS (SELECT nullif(c_custkey, 7) AS key, c_name, c_acctbal AS amount FROM customer WHERE c_acctbal > 1000)"""
+l AS (SELECT nullif(o_custkey + 40, 55) AS key, o_orderkey, o_totalprice AS amount FROM orders),
+r AS (SELECT nullif(c_custkey, 7) AS key, c_name, c_acctbal AS amount FROM customer)"""
 
 
 def sides(spark, sf):
-    left = table(spark, sf, "orders").filter(F.col("o_totalprice") > 250000)
-    right = table(spark, sf, "customer").filter(F.col("c_acctbal") > 1000)
+    """Keys are moved against each other, so that both sides have rows without partner and null keys."""
+    left = F.nullif(F.col("o_custkey") + 40, F.lit(55)).alias("key")
+    right = F.nullif(F.col("c_custkey"), F.lit(7)).alias("key")
     return (
-        left.select(
-            F.nullif(F.col("o_custkey"), F.lit(5)).alias("key"), "o_orderkey", F.col("o_totalprice").alias("amount")
-        ),
-        right.select(F.nullif(F.col("c_custkey"), F.lit(7)).alias("key"), "c_name", F.col("c_acctbal").alias("amount")),
+        table(spark, sf, "orders").select(left, "o_orderkey", F.col("o_totalprice").alias("amount")),
+        table(spark, sf, "customer").select(right, "c_name", F.col("c_acctbal").alias("amount")),
     )
 
 
@@ -60,13 +59,13 @@ def _(spark, sf):
 
 
 COLS = """
-a AS (SELECT c_custkey AS id, c_acctbal AS v FROM customer WHERE c_acctbal > 3000),
+a AS (SELECT c_custkey + 50 AS id, c_acctbal AS v FROM customer),
 b AS (SELECT s_suppkey AS id, s_acctbal AS e FROM supplier),
 c AS (SELECT o_custkey AS id, max(o_totalprice) AS v FROM orders GROUP BY 1)"""
 
 
 def three(spark, sf):
-    a = table(spark, sf, "customer").filter("c_acctbal > 3000").selectExpr("c_custkey AS id", "c_acctbal AS v")
+    a = table(spark, sf, "customer").selectExpr("c_custkey + 50 AS id", "c_acctbal AS v")
     b = table(spark, sf, "supplier").selectExpr("s_suppkey AS id", "s_acctbal AS e")
     c = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_totalprice").alias("v"))
     return [a, b, c]
@@ -145,10 +144,10 @@ def _(spark, sf):
     "arith_col_series",
     f"""WITH o AS (SELECT o_custkey AS id, sum(o_totalprice) AS value FROM orders GROUP BY 1)
     SELECT id, {r("c_acctbal + value", "c_acctbal", 3)}, {r("c_nationkey + value", "c_nationkey", 3)}
-    FROM (SELECT c_custkey AS id, c_acctbal, c_nationkey FROM customer WHERE c_acctbal > 0) FULL JOIN o USING (id)""",
+    FROM (SELECT c_custkey + 10 AS id, c_acctbal, c_nationkey FROM customer) FULL JOIN o USING (id)""",
 )
 def _(spark, sf):
-    c = table(spark, sf, "customer").filter("c_acctbal > 0").selectExpr("c_custkey AS id", "c_acctbal", "c_nationkey")
+    c = table(spark, sf, "customer").selectExpr("c_custkey + 10 AS id", "c_acctbal", "c_nationkey")
     o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.sum("o_totalprice").alias("value"))
     return rounded(labelled.arith_col_series(c, o, "add", "id"), 3)
 
@@ -164,7 +163,7 @@ def _(spark, sf):
 
 NATIONS = """
 s AS (SELECT s_nationkey AS n, sum(s_acctbal) AS v, count(*) AS k FROM supplier GROUP BY 1),
-c AS (SELECT c_nationkey AS n, sum(c_acctbal) AS v, count(*) AS k FROM customer WHERE c_acctbal > 5000 GROUP BY 1)"""
+c AS (SELECT c_nationkey + 3 AS n, sum(c_acctbal) AS v, count(*) AS k FROM customer GROUP BY 1)"""
 
 
 @query(
@@ -175,12 +174,12 @@ c AS (SELECT c_nationkey AS n, sum(c_acctbal) AS v, count(*) AS k FROM customer
     FROM s FULL JOIN c USING (n)""",
 )
 def _(spark, sf):
-    def per(name, key, bal, where):
-        t = table(spark, sf, name).filter(where)
-        return t.groupBy(F.col(key).alias("n")).agg(F.sum(bal).alias("v"), F.count(F.lit(1)).alias("k"))
+    def per(name, key, bal):
+        t = table(spark, sf, name).groupBy(key.alias("n"))
+        return t.agg(F.sum(bal).alias("v"), F.count(F.lit(1)).alias("k"))
 
-    s = per("supplier", "s_nationkey", "s_acctbal", F.lit(True))
-    c = per("customer", "c_nationkey", "c_acctbal", F.col("c_acctbal") > 5000)
+    s = per("supplier", F.col("s_nationkey"), "s_acctbal")
+    c = per("customer", F.col("c_nationkey") + 3, "c_acctbal")
     div = labelled.binary(s, c, "rdiv", "n", fill=1).toDF("n", "k_rdiv", "v_rdiv")
     add = labelled.binary(s, c, "add", "n").select("n", F.col("v").alias("v_add"))
     sub = labelled.binary(s, c, "rsub", "n").select("n", F.col("v").alias("v_rsub"))

@@ -34,6 +34,9 @@ from weftline.plans.sizing import (
 POS = "__pos"
 BLOCK = "__block"
 CUT = "__cut"
+# range partitions of the positioning shuffle; above it they get longer (and
+# spill), as the number of shuffle blocks would outgrow the scheduler
+MOST_CUTS = 32_768
 
 
 @dataclass(frozen=True)
@@ -91,7 +94,7 @@ class Line:
         sizes = sizes or group_sizes(df, keys)
         if sizes.largest <= limit:
             return Line(df, keys, order, False, limit)
-        placed = _place(df, keys, order, max(2, 2 * math.ceil(sizes.rows / limit)))
+        placed = _place(df, keys, order, min(max(2, 2 * math.ceil(sizes.rows / limit)), MOST_CUTS))
         return Line(placed, keys, order, True, limit)
 
     # -- plumbing ---------------------------------------------------------

@@ -80,5 +80,8 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str] | tuple[st
 
 
 def one_row(df: DataFrame, aggs: dict[str, Column]) -> dict[str, Column]:
-    """Whole-table aggregates as scalar subqueries: lazy, one row, no join."""
-    return {name: df.agg(agg.alias(name)).scalar() for name, agg in aggs.items()}
+    """Whole-table aggregates as one scalar subquery of one row: lazy, and no join."""
+    if not aggs:
+        return {}
+    row = df.agg(F.struct(*[agg.alias(name) for name, agg in aggs.items()]).alias("row")).scalar()
+    return {name: row[name] for name in aggs}

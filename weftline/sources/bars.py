@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.plans.sizing import one_row
+
 VALUE_COLUMNS = ("open", "high", "low", "close", "volume")
 
 
@@ -35,10 +37,9 @@ def bars_grid(priced: DataFrame, step: str = "interval 1 hour") -> DataFrame:
     The grid is unfolded per ticker from its two end points, so no join of all
     tickers with all steps is made before the (ticker, step) key exists.
     """
-    first = priced.agg(F.min("bar_ts").alias("lo")).scalar()
-    last = priced.agg(F.max("bar_ts").alias("hi")).scalar()
-    start = F.to_date(first).cast("timestamp_ntz")
-    stop = F.date_add(F.to_date(last), 1).cast("timestamp_ntz") - F.expr(step)
+    ends = one_row(priced, {"first": F.min("bar_ts"), "last": F.max("bar_ts")})
+    start = F.to_date(ends["first"]).cast("timestamp_ntz")
+    stop = F.date_add(F.to_date(ends["last"]), 1).cast("timestamp_ntz") - F.expr(step)
     grid = (
         priced.select("ticker")
         .distinct()
