@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline import Line
-from weftline.operators import groups, ordering, select
+from weftline.operators import groups, joins, ordering, select
 from weftline.operators import series as S
 from weftline.plans.quantile import quantiles
 from weftline.plans.sizing import ROWS_PER_TASK_KEY
@@ -103,6 +103,24 @@ def test_duplicates_do_not_gather_equal_rows(skewed):
     assert sorted(r.id for r in last.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+def test_joins_with_a_hot_key(spark, how):
+    a = spark.createDataFrame([(None if i % 7 == 0 else (1 if i % 3 else i), i) for i in range(60)], "k int, a int")
+    b = spark.createDataFrame([(None if i % 9 == 0 else (1 if i % 2 else -i), i) for i in range(40)], "k int, b int")
+    plain = joins.merge(a, b, "k", how).collect()
+    three = joins.concat_cols([a, b, a.withColumnRenamed("a", "c")], "k").collect()
+    spark.conf.set(ROWS_PER_TASK_KEY, "5")
+    try:
+        cut = joins.merge(a, b, "k", how).collect()
+        three_cut = joins.concat_cols([a, b, a.withColumnRenamed("a", "c")], "k").collect()
+    finally:
+        spark.conf.unset(ROWS_PER_TASK_KEY)
+    assert sorted(map(str, plain)) == sorted(map(str, cut))
+    assert sorted(map(str, three)) == sorted(map(str, three_cut))
+    pa, pb = a.toPandas(), b.toPandas()
+    assert len(plain) == len(pa.merge(pb, on="k", how=how))
+
+
 def test_scan_is_pruned_and_filtered(spark):
     df = files.scan_parquet(spark, "/root/testdata/sf0.001/lineitem.parquet", ["l_orderkey"], F.col("l_quantity") > 49)
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.plans.joining import join_null_safe, left_join, outer_join, outer_join_all
+
 
 def merge(
     left: DataFrame,
@@ -18,37 +20,29 @@ def merge(
 ) -> DataFrame:
     """Equi-join where null keys match each other and shared columns get suffixes.
 
-    A right or outer join with a hot key cannot be split by adaptive execution
-    on the side that is not kept, so it is written as an inner join (which is
-    split on both sides) plus the rows that have no partner; the partners are
-    looked up in a list of distinct keys.
+    The form of the join depends on the largest key of each side (see
+    ``plans.joining``).
     """
     on = [on] if isinstance(on, str) else list(on)
     shared = [c for c in left.columns if c in right.columns and c not in on]
     left = left.withColumnsRenamed({c: c + suffixes[0] for c in shared})
     right = right.withColumnsRenamed({c: c + suffixes[1] for c in shared})
-    mine = [c for c in left.columns if c not in on]
-    theirs = [c for c in right.columns if c not in on]
-    sided = right.withColumnsRenamed({k: f"__r_{k}" for k in on})
-
-    def matched(kind: str, other: DataFrame) -> DataFrame:
-        cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[f"__r_{k}"]) for k in on])
-        return left.join(other, cond, kind)
-
-    if how in ("inner", "left"):
-        return matched(how, sided).select(*on, *mine, *theirs)
-    if how not in ("right", "outer"):
+    if how == "inner":
+        out = join_null_safe(left, right, on, how)
+    elif how == "left":
+        out = left_join(left, right, on)
+    elif how == "right":
+        out = left_join(right, left, on)
+    elif how == "outer":
+        out = outer_join(left, right, on)
+    else:
         raise ValueError("how is 'left', 'right', 'outer' or 'inner'")
-    both = matched("inner" if how == "right" else "left", sided).select(*on, *mine, *theirs)
-    have = left.select(*[F.col(k).alias(f"__l_{k}") for k in on]).distinct()
-    cond = reduce(lambda a, b: a & b, [right[k].eqNullSafe(have[f"__l_{k}"]) for k in on])
-    alone = right.join(have, cond, "left_anti")
-    return both.unionByName(alone, allowMissingColumns=True)
+    return out.select(*on, *[c for c in (*left.columns, *right.columns) if c not in on])
 
 
 def join_index(left: DataFrame, right: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Left join on labels."""
-    return left.join(right, key, "left")
+    return left_join(left, right, key)
 
 
 def concat_rows(frames: Sequence[DataFrame], keys: Sequence[str] | None = None, key: str = "source") -> DataFrame:
@@ -66,5 +60,8 @@ def concat_cols(frames: Sequence[DataFrame], key: str, join: str = "outer") -> D
         names = {c: f"{c}_{i}" for c in f.columns if c != key and c in seen}
         seen.update(c for c in f.columns if c != key)
         named.append(f.withColumnsRenamed(names))
-    how = {"outer": "full", "inner": "inner"}[join]
-    return reduce(lambda a, b: a.join(b, key, how), named)
+    if join not in ("outer", "inner"):
+        raise ValueError("join is 'outer' or 'inner'")
+    if join == "outer":
+        return outer_join_all(named, key)
+    return reduce(lambda a, b: join_null_safe(a, b, [key], "inner"), named)

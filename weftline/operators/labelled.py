@@ -8,7 +8,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.plans.sizing import join_null_safe, one_row
+from weftline.plans.joining import join_null_safe, outer_join, without_partner
+from weftline.plans.sizing import one_row
 
 
 @dataclass(frozen=True)
@@ -107,8 +108,8 @@ def _side_by_side(left: DataFrame, right: DataFrame, key: str, join: str) -> tup
         ]
         return df.select(F.col(key), *cells)
 
-    pair = side(left, mine, "l").join(side(right, theirs, "r"), key, "full" if join == "outer" else "inner")
-    return pair, columns
+    both = side(left, mine, "l"), side(right, theirs, "r")
+    return (outer_join(*both, key) if join == "outer" else join_null_safe(*both, [key], "inner")), columns
 
 
 # Operators by name.
@@ -185,7 +186,7 @@ def arith_col_series(df: DataFrame, series: DataFrame, op: str, key: str, value:
     """Every column against a series with the same labels; labels are united."""
     fn = _operation(op)
     cells = [c for c in df.columns if c != key]
-    joined = df.join(series.select(key, F.col(value).alias("__v")), key, "full")
+    joined = outer_join(df, series.select(key, F.col(value).alias("__v")), key)
     return joined.select(key, *[fn(F.col(c), F.col("__v")).alias(c) for c in cells])
 
 
@@ -208,11 +209,9 @@ def compare_same(left: DataFrame, right: DataFrame, op: str, key: str) -> DataFr
     """Operator form: refuses tables whose labels or columns differ."""
     if sorted(left.columns) != sorted(right.columns):
         raise ValueError("tables have different columns")
-    odd = join_null_safe(
-        left.select(key).withColumn("__l", F.lit(1)), right.select(key).withColumn("__r", F.lit(1)), [key], "full"
-    )
-    if odd.filter(F.col("__l").isNull() | F.col("__r").isNull()).limit(1).count():
-        raise ValueError("tables have different labels")
+    for a, b in ((left, right), (right, left)):
+        if not without_partner(a.select(key), b, [key]).isEmpty():
+            raise ValueError("tables have different labels")
     return compare(left, right, op, key)
 
 
@@ -220,7 +219,7 @@ def compare_col_series(df: DataFrame, series: DataFrame, op: str, key: str, valu
     """Every column against a series with the same labels; a missing side is false (true for ``ne``)."""
     fn, absent = COMPARISON[op], F.lit(op == "ne")
     cells = [c for c in df.columns if c != key]
-    joined = df.join(series.select(key, F.col(value).alias("__v")), key, "full")
+    joined = outer_join(df, series.select(key, F.col(value).alias("__v")), key)
     return joined.select(key, *[F.coalesce(fn(F.col(c), F.col("__v")), absent).alias(c) for c in cells])
 
 

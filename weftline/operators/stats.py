@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.plans.joining import join_null_safe
 from weftline.plans.quantile import quantiles
-from weftline.plans.sizing import join_null_safe, one_row
+from weftline.plans.sizing import one_row
 
 STATS: dict[str, Callable[[Column], Column]] = {
     "sum": lambda c: F.coalesce(F.sum(c), F.lit(0)),

@@ -22,11 +22,11 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from weftline.plans.joining import join_null_safe
 from weftline.plans.sizing import (
     GroupSizes,
     checkpointed,
     group_sizes,
-    join_null_safe,
     one_row,
     rows_per_task,
 )

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.plans.joining import join_null_safe
 from weftline.plans.ordered import Line
-from weftline.plans.sizing import GroupSizes, checkpointed, group_sizes, join_null_safe, rows_per_task
+from weftline.plans.sizing import GroupSizes, checkpointed, group_sizes, rows_per_task
 
 BINS = 4096
 FEW_GROUPS = 10_000

@@ -35,8 +35,8 @@ def group_sizes(df: DataFrame, keys: list[str] | tuple[str, ...]) -> GroupSizes:
         return GroupSizes(n, 1, n)
     row = (
         df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.sum("n").alias("rows"), F.count("n").alias("groups"), F.max("n").alias("largest"))
+        .agg(F.count(F.lit(1)).alias("__size"))
+        .agg(F.sum("__size").alias("rows"), F.count("__size").alias("groups"), F.max("__size").alias("largest"))
         .first()
     )
     return GroupSizes(row["rows"] or 0, row["groups"] or 0, row["largest"] or 0)
@@ -68,17 +68,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str] | tuple[str, ...], how: str) -> DataFrame:
-    """Join on equally named keys where null matches null; the right keys are dropped."""
-    names = {k: f"__r_{k}" for k in keys}
-    right = right.withColumnsRenamed(names)
-    cond: Column | None = None
-    for k, r in names.items():
-        c = left[k].eqNullSafe(right[r])
-        cond = c if cond is None else cond & c
-    return left.join(right, cond, how).drop(*names.values())
-
-
 def one_row(df: DataFrame, aggs: dict[str, Column]) -> dict[str, Column]:
     """Whole-table aggregates as one scalar subquery of one row: lazy, and no join."""
     if not aggs:
