@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from weftline.catalog.registry import BARS, NUMBERED, OVER, bar_line, bars, query, r, rounded, rs, table
+from weftline.catalog.registry import BARS, NUMBERED, OVER, TICKERS, bar_line, bars, query, r, rounded, rs, table
 from weftline.catalog.series import LOG_RET
 from weftline.operators import decide, models, paths
 from weftline.operators import indicators as I
@@ -108,6 +108,20 @@ def _(spark, sf):
     return fitted.score(d).select("ticker", "bar_ts", "part", "target", "prediction", "probability")
 
 
+@query("ml_forest_per_ticker")
+def _(spark, sf):
+    d = grouped_features(spark, sf)
+    scored = models.forest_per_key(d, "ticker", TICKERS, I.GROUPED_FEATURES, "target")
+    return decide.accuracy(scored.filter("part = 'test'"), "target", "prediction", ["ticker"])
+
+
+@query("ml_report")
+def _(spark, sf):
+    d = grouped_features(spark, sf)
+    fitted = models.forest(d.filter("part = 'train'"), I.GROUPED_FEATURES, "target")
+    return decide.stocks_report(fitted.score(d))
+
+
 @query("ml_forest_importance")
 def _(spark, sf):
     d = grouped_features(spark, sf)

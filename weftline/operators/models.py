@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from weftline.plans.sizing import checkpointed
+
 # Model sizes and seed.
 TREES = 100
 ROUNDS = 100
@@ -80,11 +82,12 @@ def forest_per_key(
     """One forest for each of the named keys, scored on that key's rows.
 
     The loop runs over the keys the caller names; every fit is a Spark job over
-    that key's rows.
+    that key's rows.  The rows are read twice per key, so they are written once.
     """
+    rows = checkpointed(df)
     scored = None
     for k in keys:
-        mine = df.filter(F.col(key) == k)
+        mine = rows.filter(F.col(key) == k)
         fitted = forest(mine.filter(F.col(part) == "train"), features, label)
         out = fitted.score(mine)
         scored = out if scored is None else scored.unionByName(out)
