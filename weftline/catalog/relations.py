@@ -59,13 +59,13 @@ def _(spark, sf):
 
 
 COLS = """
-a AS (SELECT c_custkey + 50 AS id, c_acctbal AS v FROM customer),
+a AS (SELECT c_custkey + 5 AS id, c_acctbal AS v FROM customer),
 b AS (SELECT s_suppkey AS id, s_acctbal AS e FROM supplier),
 c AS (SELECT o_custkey AS id, max(o_totalprice) AS v FROM orders GROUP BY 1)"""
 
 
 def three(spark, sf):
-    a = table(spark, sf, "customer").selectExpr("c_custkey + 50 AS id", "c_acctbal AS v")
+    a = table(spark, sf, "customer").selectExpr("c_custkey + 5 AS id", "c_acctbal AS v")
     b = table(spark, sf, "supplier").selectExpr("s_suppkey AS id", "s_acctbal AS e")
     c = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_totalprice").alias("v"))
     return [a, b, c]
