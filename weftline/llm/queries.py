@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import mixing, sharding
+from weftline.llm import decontaminate, mixing, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +35,24 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf, "documents"), shards=SHARDS)
 
 
+@query("op3_warc_revisits", """
+WITH p AS (
+  SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages
+), o AS (SELECT payload_digest, max(page_id) AS original FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, p.payload_digest,
+       CASE WHEN original IS NOT NULL AND original IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN original IS DISTINCT FROM page_id THEN original END AS refers_to
+FROM p LEFT JOIN o ON p.payload_digest = o.payload_digest
+""")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.deduplicate(table(spark, sf, "pages"))
+
+
+@query("op6_item_automaton")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query("op8_hash_threshold_mix", r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
