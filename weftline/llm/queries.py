@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, mixing, sharding, warc
+from weftline.llm import decontaminate, mixing, neardup, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,6 +48,11 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return warc.deduplicate(table(spark, sf, "pages"))
 
 
+@query("op4_fast_similarity_sketch")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf, "documents"))
+
+
 @query("op6_item_automaton")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
