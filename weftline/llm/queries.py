@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, mixing, neardup, sharding, warc
+from weftline.llm import decontaminate, linecrf, mixing, neardup, pu, sharding, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +35,11 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf, "documents"), shards=SHARDS)
 
 
+@query("op2_folded_lexicon")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query("op3_warc_revisits", """
 WITH p AS (
   SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages
@@ -53,6 +58,11 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf, "documents"))
 
 
+@query("op5_line_crf")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return linecrf.apply_rules(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query("op6_item_automaton")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
@@ -100,3 +110,8 @@ FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 """)
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"), **MIX)
+
+
+@query("op10_positive_unlabelled")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return pu.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
