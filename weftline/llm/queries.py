@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, linecrf, mixing, neardup, pu, sharding, toxicity, warc
+from weftline.llm import decontaminate, linecrf, mixing, neardup, pu, sharding, substrings, suffixarray, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -68,6 +68,11 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query("op7_reference_automata")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf, "documents"))
+
+
 @query("op8_hash_threshold_mix", r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -112,6 +117,11 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"), **MIX)
 
 
+@query("op9_shard_suffix_arrays")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixarray.remove_repeats(table(spark, sf, "documents"))
+
+
 @query("op10_positive_unlabelled")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return pu.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
