@@ -5,7 +5,7 @@ choice that depends on the window's tokens only.  Neighbouring windows mostly sh
 2 / (length - gram + 2) anchors for a token.  The windows of one anchor occurrence make a segment of at most
 ``2 * length - gram`` tokens.
 
-1. Documents are packed into rows of about a megabyte (compressed, with all their ids) and written.
+1. Documents are packed into rows of about half a megabyte (compressed, with all their ids) and written.
 2. Each pack sends its distinct anchors, dealt by hash into parts: key, hash of the segment (or a sign that the pack
    has several), smallest id.  A pack combines first, so an anchor that a third of all documents share is one entry
    for each pack.  A part answers for each entry: nowhere else; everywhere the same segment, and whether a smaller id
@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import U64, _BASE, _INVERSE, _powers, map_arrow, mix, pieces, texts, within, written
 
-PACK_BYTES = 1 << 20
-PART_ANCHORS = 1_000_000
+PACK_BYTES = 1 << 19
+PART_ANCHORS = 400_000
+HASH_TOKENS = 1 << 18
 HOT = 4000
 NO_ID = np.iinfo(np.int64).max
 ALONE, FIRST, LATER, DIFFER, WIDE = range(5)
@@ -102,16 +103,25 @@ class Plan:
     schema: str
 
 
+_UP, _DOWN = _powers(_BASE, PACK_BYTES + 1), _powers(_INVERSE, PACK_BYTES + 1)
+
+
+def _value(code: np.ndarray, salt: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        if code.dtype == np.uint8:
+            return _value(np.arange(256, dtype=U64), salt)[code]
+        return mix(code * U64(0xD1342543DE82EF95) + U64(2 * salt + 1))
+
+
 class Hasher:
     """Hashes of any token range of one sequence, from prefix sums."""
 
     def __init__(self, code: np.ndarray, salt: int = 0):
         n = len(code) + 1
+        up, self.down = (_UP[:n], _DOWN[:n]) if n <= len(_UP) else (_powers(_BASE, n), _powers(_INVERSE, n))
+        self.run = np.zeros(n, U64)
         with np.errstate(over="ignore"):
-            value = mix(code.astype(U64) * U64(0xD1342543DE82EF95) + U64(2 * salt + 1))
-            self.run = np.zeros(n, U64)
-            np.cumsum(value * _powers(_BASE, n)[:-1], out=self.run[1:])
-        self.down = _powers(_INVERSE, n)
+            np.cumsum(_value(code, salt) * up[:-1], out=self.run[1:])
 
     def ranges(self, start: np.ndarray, size) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -130,9 +140,10 @@ def _slide(x: np.ndarray, w: int) -> np.ndarray:
 
 @dataclass
 class Anchors:
-    """Anchor occurrences of a pack in order: key, first window, number of windows, hash of the segment, document."""
+    """Anchor occurrences of a pack in order: key, place, first window, number of windows, hash of the segment, document."""
 
     key: np.ndarray
+    at: np.ndarray
     start: np.ndarray
     count: np.ndarray
     segment: np.ndarray
@@ -144,7 +155,7 @@ def anchors(t: Tokens, length: int, gram: int) -> Anchors:
     ok = within(t.first, length, total)
     if not ok.any():
         none = np.zeros(0, np.int64)
-        return Anchors(none.astype(U64), none, none, none.astype(U64), none)
+        return Anchors(none.astype(U64), none, none, none, none.astype(U64), none)
     hasher = Hasher(t.code)
     grams = hasher.ranges(np.arange(total - gram + 1), gram)
     marked = (grams & U64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=U64)
@@ -158,7 +169,8 @@ def anchors(t: Tokens, length: int, gram: int) -> Anchors:
     at = place[start]
     with np.errstate(over="ignore"):
         segment = mix(hasher.ranges(start, count + length - 1) + (at - start).astype(U64) * U64(_BASE))
-    return Anchors(grams[at], start, count, segment, np.searchsorted(t.first, start, "right") - 1)
+    # smallest hashes are not spread evenly: mixed again, keys are
+    return Anchors(mix(grams[at] ^ U64(_BASE)), at, start, count, segment, np.searchsorted(t.first, start, "right") - 1)
 
 
 @dataclass
@@ -284,7 +296,8 @@ def _differing(plan: Plan, parts: int):
             part = e.part[e.of]
             for chosen, at in _by_part(code, part):
                 size = a.count[chosen] + plan.length - 1
-                rows.append((at, squeeze(ids[a.doc[chosen]], size, t.code[_windows(a.start[chosen], size)])))
+                place = (a.at[chosen] - a.start[chosen]).astype(np.uint8)
+                rows.append((at, squeeze(ids[a.doc[chosen]], size, place, t.code[_windows(a.start[chosen], size)])))
             wide = np.flatnonzero(code == WIDE)
             h1 = h2 = low = np.zeros(0, np.int64)
             if len(wide):
@@ -322,9 +335,8 @@ def _by_part(code: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, i
 def _compared(plan: Plan):
     def work(messages: pa.Table) -> pa.Table:
         packs = messages.column("pack").to_pylist()
-        got = [spread(b, np.int64, np.int64, plan.kind) for b in messages.column("body").to_pylist()]
-        docs, sizes, codes = (np.concatenate([g[k] for g in got]) for k in range(3))
-        mask = distinct_compare(plan, docs, sizes, codes)
+        got = [spread(b, np.int64, np.int64, np.uint8, plan.kind) for b in messages.column("body").to_pylist()]
+        mask = distinct_compare(plan, *(np.concatenate([g[k] for g in got]) for k in range(4)))
         bodies = [squeeze(m) for m in np.split(mask, np.cumsum([len(g[0]) for g in got])[:-1])]
         return pa.table(
             {
@@ -338,17 +350,50 @@ def _compared(plan: Plan):
     return work
 
 
-def distinct_compare(plan: Plan, docs: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Bit masks of dead windows; of equal segments only the one with the smallest id is compared."""
+def _range_hashes(codes: np.ndarray, at: np.ndarray, start: np.ndarray, size: np.ndarray, salt: int) -> np.ndarray:
+    """Hash of one range inside each segment (``at``: bounds of the segments), block by block."""
+    out = np.empty(len(start), U64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + HASH_TOKENS, "right")) - 1)
+        out[i:j] = Hasher(codes[at[i] : at[j]], salt).ranges(start[i:j] - at[i], size[i:j])
+        i = j
+    return out
+
+
+def _shared(value: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """True for known values that are there twice or more."""
+    _, of, number = np.unique(value[known], return_inverse=True, return_counts=True)
+    out = np.zeros(len(value), bool)
+    out[known] = number[of] > 1
+    return out
+
+
+def distinct_compare(plan: Plan, docs: np.ndarray, sizes: np.ndarray, place: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Bit masks of dead windows.
+
+    Of equal segments only the one with the smallest id is compared.  A window has half of what it holds besides the
+    anchor on one side of it at least, so a segment is compared only if it shares the anchor with that much to the
+    left, or to the right, with another one.
+    """
     at = np.concatenate(([0], np.cumsum(sizes)))
-    h1, h2 = (Hasher(codes, s).ranges(at[:-1], sizes) for s in (1, 2))
+    h1, h2 = (_range_hashes(codes, at, at[:-1], sizes, s) for s in (1, 2))
     order = np.lexsort((docs, h2, h1))
     new = np.concatenate(([True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])))
     rep = order[new]
     of = np.empty(len(docs), np.int64)
     of[order] = np.cumsum(new) - 1
-    tokens = codes[_windows(at[:-1][rep], sizes[rep])]
-    mask = plan.compare(docs[rep], sizes[rep], tokens, plan.length)
+    codes, size, place = codes[_windows(at[:-1][rep], sizes[rep])], sizes[rep], place[rep].astype(np.int64)
+    at = np.concatenate(([0], np.cumsum(size)))
+    side = -(-(plan.length - plan.gram) // 2)
+    candidate = np.zeros(len(rep), bool)
+    for known, start in ((place >= side, place - side), (place + plan.gram + side <= size, place)):
+        n = np.where(known, plan.gram + side, 0)
+        candidate |= _shared(_range_hashes(codes, at, at[:-1] + np.where(known, start, 0), n, 3), known)
+    some = np.flatnonzero(candidate)
+    mask = np.zeros(len(rep), U64)
+    if len(some):
+        mask[some] = plan.compare(docs[rep][some], size[some], codes[_windows(at[:-1][some], size[some])], plan.length)
     whole = (U64(1) << (sizes - plan.length + 1).astype(U64)) - U64(1)
     return np.where(docs > docs[rep][of], whole, mask[of]).astype(U64)
 

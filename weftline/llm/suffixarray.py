@@ -1,7 +1,7 @@
 """Byte-substring deduplication with suffix arrays of shards.
 
 A byte goes where a 50-byte string that covers it also starts in a document with a smaller id.  Candidate segments meet
-by anchor (see ``repeats``); the segments of a part are cut into shards of about a megabyte.  Each shard gets a suffix
+by anchor (see ``repeats``); the segments of a part are cut into shards of about a quarter of a megabyte.  Each shard gets a suffix
 array by Larsson-Sadakane refinement (ranks by seven bytes, then doubled; only groups that are not yet sorted are
 sorted again) and common prefixes by Kasai's scan.  Neighbours in the array that share 50 bytes are one class, whose
 smallest id counts.  The classes of the shards are merged in sorted order by binary search.
@@ -23,7 +23,7 @@ from weftline.llm.common import U64, cover
 from weftline.llm.repeats import Plan, Tokens, _windows, find_repeats
 
 LENGTH, GRAM = 50, 20
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 18
 STEP = 7
 
 
@@ -59,28 +59,32 @@ def suffix_array(data: np.ndarray, end: np.ndarray, depth: int) -> tuple[np.ndar
     return array, rank
 
 
-def common_prefixes(data: np.ndarray, end: np.ndarray, array: np.ndarray, most: int) -> np.ndarray:
-    """Kasai's scan: bytes that each suffix shares with the one before it in the array, up to ``most``."""
+def common_prefixes(data: np.ndarray, at: np.ndarray, array: np.ndarray, most: int) -> np.ndarray:
+    """Kasai's scan: bytes that each suffix shares with the one before it in the array, up to ``most``.
+
+    A suffix shares at least one byte less than the suffix one place to its left in the text.  All segments (bounded
+    by ``at``) are scanned at once, place by place.
+    """
     n = len(array)
     place = np.empty(n, np.int64)
     place[array] = np.arange(n)
-    before = np.where(place > 0, array[place - 1], -1).tolist()
-    raw, stop, where = data.tobytes(), end.tolist(), place.tolist()
+    before = np.where(place > 0, array[place - 1], -1)
+    stop = np.repeat(at[1:], np.diff(at))
     out = np.zeros(n, np.int32)
-    shared = 0
-    for i in range(n):
+    shared = np.zeros(len(at) - 1, np.int64)
+    for k in range(int(np.diff(at).max(initial=0))):
+        own = np.flatnonzero(at[:-1] + k < at[1:])
+        i = at[own] + k
         j = before[i]
-        if j < 0:
-            shared = 0
-            continue
-        limit = min(most, stop[i] - i, stop[j] - j)
-        if shared > limit:
-            shared = limit
-        while shared < limit and raw[i + shared] == raw[j + shared]:
-            shared += 1
-        out[where[i]] = shared
-        if shared:
-            shared -= 1
+        limit = np.where(j < 0, 0, np.minimum(most, np.minimum(stop[i] - i, stop[j] - j)))
+        size = np.minimum(np.maximum(shared[own] - 1, 0), limit)
+        going = np.flatnonzero(size < limit)
+        while len(going):
+            going = going[data[i[going] + size[going]] == data[j[going] + size[going]]]
+            size[going] += 1
+            going = going[size[going] < limit[going]]
+        out[place[i]] = size
+        shared[own] = size
     return out
 
 
@@ -90,7 +94,7 @@ def classes(docs: np.ndarray, sizes: np.ndarray, data: np.ndarray, length: int)
     end = np.repeat(at[1:], sizes)
     # to the full depth: Kasai's scan needs true order, equal suffixes by position
     array, _ = suffix_array(data, end, int(sizes.max()))
-    shared = common_prefixes(data, end, array, length)
+    shared = common_prefixes(data, at, array, length)
     full = array + length <= end[array]
     window, joined = array[full], shared[full] >= length
     number = np.cumsum(~joined) - 1
