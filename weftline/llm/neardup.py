@@ -12,9 +12,11 @@ different texts only.
 Links: every member of a band is compared with the band's smallest id on full shingle sets, which is linear in the
 number of members.  That gives components.  What could still be missing are links between members of different
 components, so bands that hold several are looked at again: members outside of the band's largest component are
-compared with all members, first by sketch and then on full sets.  Pairs inside one component need no look: they
-can't change the result.  A large band is cut into blocks of members, and only the members outside of the
-largest component are copied to each, so no group is gathered and no component is paired with itself.
+compared with members of other components, first by sketch and then by hashed sets, each pair only in the first band
+that it shares.  A found link joins two components at once, and pairs inside one component need no look, as they
+can't change the result: a band gives fewer links than it has members, never its pairs.  These links are confirmed on
+full sets as well.  A large band is cut into blocks of members, and only the members outside of the largest component
+are copied to each, so no group is gathered and no component is paired with itself.
 
 Cases: null or empty text has no shingles, is linked with nothing and kept; rows with equal ids count as one document
 (their links join, and they are kept or dropped together); a null id is linked with nothing, has a null component and
@@ -104,7 +106,7 @@ def _sketch_batch(n: int):
                 for r in range(ROWS):
                     joined = joined * U64(_BASE) + matrix[:, r::ROWS]
                 joined = mix(joined + np.arange(BINS // ROWS, dtype=U64) * U64(0xD1342543DE82EF95))
-            small = (mix(matrix) & U64(0xFFFF)).astype(np.uint16)
+            small = (mix(matrix) & U64(0xFFFFFFFF)).astype(np.uint32)
             some = counts > 0
             yield {
                 "doc_id": ids.slice(i, docs),
@@ -149,43 +151,75 @@ def similar(n: int, percent: int):
     return work
 
 
-def verify(pairs: DataFrame, docs: DataFrame, *, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links on full sets.
-
-    Texts are first cut down to the documents that have a pair; both joins are plain, so that a document with very
-    many pairs is split.
-    """
+def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The documents that have a pair, written."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("id"), "left_semi")
-    own = written(named, "near-texts")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return written(named.join(ids, F.col("doc_id") == F.col("id"), "left_semi"), "near-texts")
+
+
+def verify(pairs: DataFrame, own: DataFrame, *, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links on full sets; both joins are plain, so a document with very many pairs is split."""
     one = own.select(F.col("doc_id").alias("ida"), F.col("text").alias("text_a"))
     two = own.select(F.col("doc_id").alias("idb"), F.col("text").alias("text_b"))
     both = pairs.join(two, F.col("b") == F.col("idb")).join(one, F.col("a") == F.col("ida"))
     return map_arrow(both.select("a", "b", "text_a", "text_b"), similar(n, percent), "a long, b long").distinct()
 
 
-def across(key: tuple, members: pa.Table) -> pa.Table:
-    """Pairs of different components in one block of a band, of which one is outside of the largest component, that
-    have enough equal bins."""
-    doc = members.column("doc").to_numpy()
-    comp = members.column("comp").to_numpy()
-    stray = members.column("stray").to_numpy(zero_copy_only=False).astype(bool)
-    bins = np.frombuffer(b"".join(members.column("bins").to_pylist()), np.uint16).reshape(len(doc), BINS)
-    a, b = [], []
-    for s in np.flatnonzero(stray):
-        equal = (bins == bins[s]).sum(axis=1)
-        with_ = np.flatnonzero((equal >= LEAST_EQUAL) & (comp != comp[s]) & ~(stray & (doc <= doc[s])))
-        a.append(np.minimum(doc[s], doc[with_]))
-        b.append(np.maximum(doc[s], doc[with_]))
-    none = [np.zeros(0, np.int64)]
-    return pa.table({"a": pa.array(np.concatenate(a or none)), "b": pa.array(np.concatenate(b or none))})
-
-
-def cross_pairs(bands: DataFrame, comps: DataFrame, reps: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) between different components of a band (``bands``: key, doc)."""
+def _hashed_sets(n: int):
+    """Arrow step: 32-bit hashes of each document's shingles, ascending."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[dict]:
+        data, offsets = texts(batch.column("text"))
+        for i, j in pieces(offsets):
+            keys = shingles(words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], LOWER), n)
+            first = np.searchsorted(keys, np.arange(j - i + 1, dtype=U64) << U64(52))
+            small = ((keys >> U64(20)) & U64(0xFFFFFFFF)).astype(np.uint32)
+            sets = [small[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield {"d": batch.column("doc_id").slice(i, j - i), "hashes": pa.array(sets, pa.binary())}
+
+    return work
+
+
+def across(percent: int):
+    """Group step: links between different components in one block of a band, fewer than its members."""
+
+    def work(key: tuple, members: pa.Table) -> pa.Table:
+        block, band = key[1].as_py(), members.column("band")[0].as_py()
+        doc = members.column("doc").to_numpy()
+        stray = members.column("stray").to_numpy(zero_copy_only=False).astype(bool)
+        _, comp = np.unique(members.column("comp").to_numpy(), return_inverse=True)
+        bins = np.frombuffer(b"".join(members.column("bins").to_pylist()), np.uint32).reshape(len(doc), BINS)
+        sets = [np.frombuffer(x, np.uint32) for x in members.column("hashes").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        found = []
+        for s in np.flatnonzero(stray):
+            other = np.flatnonzero((comp != comp[s]) & ((block == 0) & (doc > doc[s]) | ~stray))
+            equal = bins[other] == bins[s]
+            near = equal.sum(axis=1) >= LEAST_EQUAL
+            first = equal[near].reshape(-1, BINS // ROWS, ROWS).all(axis=2).argmax(axis=1) == band
+            with_ = other[near][first]
+            if not len(with_):
+                continue
+            joined = np.concatenate([sets[k] for k in with_])
+            at = np.minimum(np.searchsorted(sets[s], joined), size[s] - 1)
+            same = np.add.reduceat(sets[s][at] == joined, np.concatenate(([0], np.cumsum(size[with_])[:-1])))
+            linked = with_[100 * same >= percent * (size[with_] + size[s] - same)]
+            for k in linked:
+                if comp[k] != comp[s]:
+                    found.append((min(doc[s], doc[k]), max(doc[s], doc[k])))
+                    comp[comp == comp[k]] = comp[s]
+        a, b = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return work
+
+
+def cross_links(bands: DataFrame, comps: DataFrame, reps: DataFrame, own: DataFrame, *, n: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components of a band (``bands``: key, band, doc)."""
     named = comps.select(F.col("node").alias("n"), "component")
     labelled = bands.join(named, F.col("doc") == F.col("n"), "left")
-    labelled = labelled.select("key", "doc", F.coalesce("component", "doc").alias("comp"))
+    labelled = labelled.select("key", "band", "doc", F.coalesce("component", "doc").alias("comp"))
     parts = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("key").agg(
         F.count(F.lit(1)).alias("parts"), F.sum("n").alias("size"), F.max_by("comp", F.struct("n", "comp")).alias("main")
@@ -194,11 +228,16 @@ def cross_pairs(bands: DataFrame, comps: DataFrame, reps: DataFrame) -> DataFram
     inside = labelled.join(mixed, F.col("key") == F.col("k"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     stray = F.col("comp") != F.col("main")
-    own = F.array(F.pmod(F.xxhash64("doc"), blocks).cast("int"))
-    inside = inside.select("key", "doc", "comp", stray.alias("stray"), F.explode(F.when(stray, F.sequence(F.lit(0), blocks - 1)).otherwise(own)).alias("block"))
-    bins = reps.select(F.col("doc_id").alias("d"), "bins")
-    members = inside.join(bins, F.col("doc") == F.col("d")).select("key", "block", "doc", "comp", "stray", "bins")
-    return members.groupBy("key", "block").applyInArrow(across, "a long, b long").distinct()
+    place = F.array(F.pmod(F.xxhash64("doc"), blocks).cast("int"))
+    every = F.sequence(F.lit(0), blocks - 1)
+    inside = inside.select("key", "band", "doc", "comp", stray.alias("stray"), F.explode(F.when(stray, every).otherwise(place)).alias("block"))
+    inside = written(inside, "near-inside")
+    wanted = own.join(inside.select("doc").distinct(), F.col("doc_id") == F.col("doc"), "left_semi").dropDuplicates(["doc_id"])
+    sets = map_arrow(wanted, _hashed_sets(n), "d long, hashes binary")
+    bins = reps.select(F.col("doc_id").alias("r"), "bins").dropDuplicates(["r"])
+    known = written(sets.join(bins, F.col("d") == F.col("r")).select("d", "bins", "hashes"), "near-known")
+    members = inside.join(known, F.col("doc") == F.col("d")).drop("d")
+    return members.groupBy("key", "block").applyInArrow(across(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, n: int = 4, percent: int = 80) -> DataFrame:
@@ -210,15 +249,15 @@ def near_duplicates(docs: DataFrame, *, n: int = 4, percent: int = 80) -> DataFr
     same = (F.col("set_hi") == F.col("h")) & (F.col("set_lo") == F.col("l")) & (F.col("n_shingles") == F.col("s"))
     joined = sketched.join(many, same, "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     reps = joined.filter("n_shingles > 0 AND rep = doc_id")
-    narrow = reps.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("key"))
+    narrow = reps.select(F.col("doc_id").alias("doc"), F.posexplode("bands").alias("band", "key"))
     lead = narrow.groupBy("key").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).filter("last > lead")
     lead = written(lead.select(F.col("key").alias("k"), "lead"), "near-leads")
-    bands = written(narrow.join(lead, F.col("key") == F.col("k")).select("key", "doc", "lead"), "near-bands")
+    bands = written(narrow.join(lead, F.col("key") == F.col("k")).select("key", "band", "doc", "lead"), "near-bands")
     pairs = written(bands.filter("doc > lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), "near-pairs")
-    links = written(verify(pairs, docs, n=n, percent=percent), "near-links")
-    comps = components(links)
-    rest = written(cross_pairs(bands.select("key", "doc"), comps, reps), "near-cross")
-    more = written(verify(rest.join(pairs, ["a", "b"], "left_anti"), docs, n=n, percent=percent), "near-links")
+    own = texts_of(docs, pairs)
+    links = written(verify(pairs, own, n=n, percent=percent), "near-links")
+    more = written(cross_links(bands, components(links), reps, own, n=n, percent=percent), "near-cross")
+    more = written(verify(more, own, n=n, percent=percent), "near-links")
     # rows with equal ids and different sets link those sets
     own = joined.filter("rep != doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     shared = sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
