@@ -152,10 +152,13 @@ def similar(n: int, percent: int):
 
 
 def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The documents that have a pair, written."""
+    """The documents that have a pair, written.
+
+    The ids grow with the documents, so the join is a sort-merge one at every size, not a broadcast on small inputs.
+    """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(named.join(ids, F.col("doc_id") == F.col("id"), "left_semi"), "near-texts")
+    return written(named.join(ids.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi"), "near-texts")
 
 
 def verify(pairs: DataFrame, own: DataFrame, *, n: int, percent: int) -> DataFrame:
@@ -236,7 +239,7 @@ def cross_links(bands: DataFrame, comps: DataFrame, reps: DataFrame, own: DataFr
     sets = map_arrow(wanted, _hashed_sets(n), "d long, hashes binary")
     bins = reps.select(F.col("doc_id").alias("r"), "bins").dropDuplicates(["r"])
     known = written(sets.join(bins, F.col("d") == F.col("r")).select("d", "bins", "hashes"), "near-known")
-    members = inside.join(known, F.col("doc") == F.col("d")).drop("d")
+    members = inside.join(known.hint("merge"), F.col("doc") == F.col("d")).drop("d")
     return members.groupBy("key", "block").applyInArrow(across(percent), "a long, b long").distinct()
 
 
@@ -252,7 +255,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 4, percent: int = 80) -> DataFr
     narrow = reps.select(F.col("doc_id").alias("doc"), F.posexplode("bands").alias("band", "key"))
     lead = narrow.groupBy("key").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).filter("last > lead")
     lead = written(lead.select(F.col("key").alias("k"), "lead"), "near-leads")
-    bands = written(narrow.join(lead, F.col("key") == F.col("k")).select("key", "band", "doc", "lead"), "near-bands")
+    bands = written(narrow.join(lead.hint("merge"), F.col("key") == F.col("k")).select("key", "band", "doc", "lead"), "near-bands")
     pairs = written(bands.filter("doc > lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), "near-pairs")
     own = texts_of(docs, pairs)
     links = written(verify(pairs, own, n=n, percent=percent), "near-links")
