@@ -41,7 +41,7 @@ def multi4(spark):
 
 @pytest.fixture(scope="module")
 def pivot6(spark):
-    data = [("red", "x", 1, 1), ("red", "x", 0, 1), ("black", "y", 0, 2), ("red", "y", 1, 0), ("red", "y", 2, 0), ("black", "x", 2, 1)]
+    data = [("oak", "n", 4, 7), ("oak", "n", 1, 5), ("ash", "s", 3, 2), ("oak", "s", 6, 1), ("oak", "s", 2, 8), ("ash", "n", 9, 3)]
     return spark.createDataFrame(data, "A string, B string, C int, D int")
 
 
@@ -118,11 +118,11 @@ def test_levels(multi4):
 
 def test_pivots(pivot6):
     sums = rows(reshape.pivot_table(pivot6, ["A"], "B", {"C": "sum", "D": "sum"}), "A")
-    assert sums == [("black", 2, 0, 1, 2), ("red", 1, 3, 2, 0)]
+    assert sums == [("ash", 9, 3, 3, 2), ("oak", 5, 8, 12, 9)]
     many = reshape.pivot_table(pivot6, ["A"], "B", {"C": "sum", "D": ["min", "max", "mean"]})
-    assert many.columns == ["A", "C_x", "C_y", "D_min_x", "D_min_y", "D_max_x", "D_max_y", "D_mean_x", "D_mean_y"]
-    assert rows(many, "A") == [("black", 2, 0, 1, 2, 1, 2, 1.0, 2.0), ("red", 1, 3, 1, 0, 1, 0, 1.0, 0.0)]
-    assert rows(reshape.pivot_table(pivot6, ["A"], "B", {"C": "max"}), "A") == [("black", 2, 0), ("red", 1, 2)]
+    assert many.columns == ["A", "C_n", "C_s", "D_min_n", "D_min_s", "D_max_n", "D_max_s", "D_mean_n", "D_mean_s"]
+    assert rows(many, "A") == [("ash", 9, 3, 3, 2, 3, 2, 3.0, 2.0), ("oak", 5, 8, 5, 1, 7, 8, 6.0, 4.5)]
+    assert rows(reshape.pivot_table(pivot6, ["A"], "B", {"C": "max"}), "A") == [("ash", 9, 3), ("oak", 4, 6)]
 
 
 def test_dtypes(spark):
@@ -186,20 +186,22 @@ def test_null_keys_match(spark):
 
 
 def test_tidy(spark):
-    data = [[34, 22, 14], [22, 43, 22], [14, 32, 15], [15, 22, 15]]
-    names = ["Pens", "Notebooks", "USBSticks"]
-    df = frames.frame(spark, data, names, ["Sales", "HelpDesk", "HumanResource", "Store"], "Department")
-    long = reshape.melt(df, ["Department"], names, "Gadgets", "Amount")
-    assert long.count() == 12 and long.agg(F.sum("Amount")).first()[0] == 270
-    stacked = reshape.stack(df, ["Department"], names, "Gadgets", "Amount")
-    assert rows(stacked, "Department", "Gadgets") == rows(long, "Department", "Gadgets")
-    back = reshape.unstack(stacked, ["Department"], "Gadgets", "Amount", names)
-    assert rows(back, "Department") == rows(df, "Department")
+    data = [[5, 8, 13], [21, 3, 1], [7, 2, 40], [11, 6, 9]]
+    names = ["oak", "elm", "ash"]
+    df = frames.frame(spark, data, names, ["south", "east", "north", "west"], "side")
+    long = reshape.melt(df, ["side"], names, "tree", "stems")
+    assert long.count() == 12 and long.agg(F.sum("stems")).first()[0] == 126
+    stacked = reshape.stack(df, ["side"], names, "tree", "stems")
+    assert rows(stacked, "side", "tree") == rows(long, "side", "tree")
+    back = reshape.unstack(stacked, ["side"], "tree", "stems", names)
+    assert rows(back, "side") == rows(df, "side")
     with pytest.raises(ValueError, match="more than once"):
-        reshape.unstack(long.unionByName(long), ["Department"], "Gadgets", "Amount")
-    turned = reshape.transpose(df, "Department", names, kind="long")
-    assert turned.columns == ["column", "HelpDesk", "HumanResource", "Sales", "Store"]
-    assert rows(turned, "column")[1] == ("Pens", 22, 14, 34, 15)
+        reshape.unstack(long.unionByName(long), ["side"], "tree", "stems")
+    with pytest.raises(ValueError, match="not in the list"):
+        reshape.unstack(stacked, ["side"], "tree", "stems", names[:2])
+    turned = reshape.transpose(df, "side", names, kind="long")
+    assert turned.columns == ["column", "east", "north", "south", "west"]
+    assert rows(turned, "column")[2] == ("oak", 21, 7, 5, 11)
 
 
 def test_message(spark):

@@ -151,3 +151,19 @@ def test_first_valid_rows(spark):
             "garch_vol", "dominant_period"]
     got = out.filter("ticker = 'click'").agg(*[F.min(F.when(F.col(c).isNotNull(), F.col("at"))).alias(c) for c in cols])
     assert list(got.first()) == [1, 0, 13, 19, 13, 38, 13, 10, 13, 15, 0, 0, 59]
+
+
+def test_recursive_mean_refuses_gaps(spark):
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate([None, 10.0, None, 12.0])], "k string, i int, x double")
+    line = S.ewm(Line.of(df, "k", "i"), {"y": (F.col("x"), 0.5)}, adjust=False)
+    with pytest.raises(Exception, match="gap"):
+        line.result().collect()
+    known = S.ewm(Line.of(df.filter("i != 2"), "k", "i"), {"y": (F.col("x"), 0.5)}, adjust=False)
+    assert [r["y"] for r in known.result().orderBy("i").collect()] == [None, 10.0, 11.0]
+
+
+def test_split_random_is_a_partition(spark):
+    df = spark.range(3000).repartition(7)
+    train, test = S.split_random(df, ["id"], share=0.25)
+    assert train.count() + test.count() == 3000 and train.join(test, "id").count() == 0
+    assert 600 < test.count() < 900

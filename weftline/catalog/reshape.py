@@ -37,7 +37,7 @@ def _(spark, sf):
     per = table(spark, sf, "customer").groupBy("c_mktsegment").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("c_nationkey").alias("nations")
     )
-    return reshape.transpose(per, "c_mktsegment", ["n", "nations"], SEGMENTS)
+    return reshape.transpose(per, "c_mktsegment", ["n", "nations"])
 
 
 PER_NATION = """n AS (SELECT c_nationkey, max(c_acctbal) FILTER (c_acctbal > 9900) AS rich, count(*)::DOUBLE AS k,
@@ -90,7 +90,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     long = table(spark, sf, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.max("o_totalprice").alias("top"))
-    return reshape.unstack(long, ["o_custkey"], "o_orderstatus", "top", STATUSES)
+    return reshape.unstack(long, ["o_custkey"], "o_orderstatus", "top")
 
 
 @query(
@@ -116,7 +116,7 @@ def spread(agg, column, name, labels=PRIORITIES, digits=2):
 )
 def _(spark, sf):
     o = table(spark, sf, "orders").withColumn("k", F.col("o_custkey").cast("double"))
-    out = reshape.pivot_table(o, ["o_orderstatus"], "o_orderpriority", {"o_totalprice": "sum", "k": "sum"}, PRIORITIES)
+    out = reshape.pivot_table(o, ["o_orderstatus"], "o_orderpriority", {"o_totalprice": "sum", "k": "sum"})
     return rounded(out, 2)
 
 
@@ -164,12 +164,14 @@ def _(spark, sf):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query("dropna_cols", f"WITH {GRID} SELECT ticker, bar_ts, 1 AS whole FROM grid")
+@query(
+    "dropna_cols",
+    f"""WITH {GRID} SELECT ticker, bar_ts, CAST(hour(bar_ts) AS INTEGER) AS hour_of_day, greatest(coalesce(close, 0), 0) AS filled
+        FROM grid""",
+)
 def _(spark, sf):
-    g = grid(spark, sf).withColumns(
-        {"whole": F.lit(1), "volume": F.when(F.col("bar_ts") > F.lit("1990-01-01"), F.lit(None).cast("double"))}
-    )
-    return clean.dropna_cols(g, ["volume", "whole"], key=["ticker", "bar_ts"])
+    g = grid(spark, sf).withColumns({"hour_of_day": F.hour("bar_ts"), "filled": F.greatest(F.coalesce("close", F.lit(0.0)), F.lit(0.0))})
+    return clean.dropna_cols(g, ["close", "volume", "hour_of_day", "filled"], key=["ticker", "bar_ts"])
 
 
 @query(

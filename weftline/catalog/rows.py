@@ -234,11 +234,14 @@ def _(spark, sf):
 
 @query(
     "describe_schema",
-    """SELECT * FROM (VALUES ('ticker', 'string'), ('bar_ts', 'timestamp_ntz'), ('open', 'double'), ('high', 'double'),
-                             ('low', 'double'), ('close', 'double'), ('volume', 'double')) v(col_name, data_type)""",
+    f"WITH {BARS} "
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS col_name, '{k}' AS data_type, count(*) AS n_rows, count({c}) AS known_cells FROM bars"
+        for c, k in {"ticker": "string", "bar_ts": "timestamp_ntz", **dict.fromkeys(VALUES, "double")}.items()
+    ),
 )
 def _(spark, sf):
-    return select.describe_schema(bars(spark, sf), "described_bars")
+    return select.describe_schema(bars(spark, sf))
 
 
 # -- filters -----------------------------------------------------------------
@@ -344,9 +347,9 @@ def _(spark, sf):
     return ordering.topk(o, "o_totalprice", 10, ["o_orderkey"])
 
 
-@query("sample_rows")
+@query("sample_rows", "SELECT * FROM orders ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 10")
 def _(spark, sf):
-    return ordering.sample_rows(table(spark, sf, "orders"), 10, seed=42)
+    return ordering.sample_rows(table(spark, sf, "orders"), 10, 42, ["o_orderkey"])
 
 
 @query(

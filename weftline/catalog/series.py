@@ -198,9 +198,13 @@ def _(spark, sf):
     return S.split_by_hash(table(spark, sf, "events").select("event_id", "value"), F.col("event_id"))
 
 
-@query("split_random_seeded")
+@query(
+    "split_random_seeded",
+    f"""WITH {BARS} SELECT *, CASE WHEN ('0x' || substr(md5('42|' || ticker || '|' || CAST(bar_ts AS VARCHAR)), 1, 8))::BIGINT % 10000 < 2000
+        THEN 'test' ELSE 'train' END AS part FROM bars""",
+)
 def _(spark, sf):
-    train, test = S.split_random(bars(spark, sf))
+    train, test = S.split_random(bars(spark, sf), ["ticker", "bar_ts"])
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 

@@ -104,7 +104,7 @@ def _(spark, sf):
 def _(spark, sf):
     return table(spark, sf, "part").select(
         "p_partkey",
-        X.isdigit(F.substring("p_brand", 7, 99)).alias("brand_digits"),
+        X.isdigit(F.substr("p_brand", F.lit(7))).alias("brand_digits"),
         X.isalnum(F.col("p_brand")).alias("brand_alnum"),
         X.isalnum(F.col("p_type")).alias("type_alnum"),
     )

@@ -27,7 +27,8 @@ def cat(a: Column, b: Column, sep: str = "") -> Column:
 def cat_list(df: DataFrame, column: str, order: Sequence[str], words: Sequence[str], sep: str = "", out: str = "joined") -> DataFrame:
     """Word by row position; rows beyond the list get null."""
     line = Line.of(df, (), tuple(order)).with_position("__at")
-    word = F.get(F.array(*[F.lit(w) for w in words]), F.col("__at").cast("int"))
+    at = F.least(F.col("__at"), F.lit(len(words))).cast("int")  # compared before the cast: positions may pass 2^31
+    word = F.get(F.array(*[F.lit(w) for w in words]), at)
     return line.result().withColumn(out, F.concat(F.col(column), F.lit(sep), word)).drop("__at")
 
 

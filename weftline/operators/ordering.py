@@ -29,9 +29,10 @@ def topk(df: DataFrame, by: str, k: int, key: Sequence[str] = (), largest: bool
     return df.orderBy(first, *[F.asc_nulls_last(c) for c in key]).limit(k)
 
 
-def sample_rows(df: DataFrame, n: int, seed: int) -> DataFrame:
-    """Exactly ``n`` random rows (all rows when there are fewer)."""
-    return df.withColumn("__r", F.rand(seed)).orderBy("__r").limit(n).drop("__r")
+def sample_rows(df: DataFrame, n: int, seed: int, keys: Sequence[str]) -> DataFrame:
+    """Exactly ``n`` random rows (all rows when there are fewer): the first by a hash of seed and key, whatever the files."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    return df.withColumn("__r", F.md5(text)).orderBy("__r", *keys).limit(n).drop("__r")
 
 
 def _kept(df: DataFrame, columns: Sequence[str], order: str, keep: str) -> DataFrame:

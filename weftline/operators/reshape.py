@@ -60,9 +60,20 @@ def labels_of(df: DataFrame, column: str, most: int = MOST_LABELS) -> list:
     return sorted(v for v in found if v is not None)
 
 
+def _labels(df: DataFrame, column: str, labels: Sequence | None) -> list:
+    """The labels of a column; a given list must hold them all, as rows of others would be lost."""
+    found = labels_of(df, column)
+    if labels is None:
+        return found
+    lost = set(found) - set(labels)
+    if lost:
+        raise ValueError(f"labels of {column} that are not in the list: {sorted(map(str, lost))[:5]}")
+    return list(labels)
+
+
 def unstack(df: DataFrame, key: Sequence[str], column: str, value: str, labels: Sequence | None = None, check: bool = True) -> DataFrame:
     """Labels of one level become columns; a repeated (key, label) pair is an error."""
-    labels = labels_of(df, column) if labels is None else labels
+    labels = _labels(df, column, labels)
     if check:
         twice = df.groupBy(*key, column).count().filter(F.col("count") > 1).limit(1).count()
         if twice:
@@ -72,7 +83,7 @@ def unstack(df: DataFrame, key: Sequence[str], column: str, value: str, labels:
 
 def transpose(df: DataFrame, key: str, columns: Sequence[str], labels: Sequence | None = None, kind: str = "string") -> DataFrame:
     """Columns become rows, row labels become columns."""
-    labels = labels_of(df, key) if labels is None else labels
+    labels = _labels(df, key, labels)
     long = df.select(key, *[F.col(c).cast(kind) for c in columns]).unpivot([key], list(columns), "column", "value")
     wide = long.groupBy("column").pivot(key, list(labels)).agg(F.first("value"))
     return wide.toDF("column", *[str(x) for x in labels])
@@ -90,7 +101,7 @@ def pivot_table(
     Outputs are ``<value>_<label>`` for one statistic and
     ``<value>_<stat>_<label>`` for a list; a pair that does not occur is null.
     """
-    labels = labels_of(df, columns) if labels is None else labels
+    labels = _labels(df, columns, labels)
     df = df.na.drop(subset=[*index, columns])
     plan = []
     for value, stats in aggs.items():

@@ -95,10 +95,12 @@ def cast_cols(df: DataFrame, types: dict[str, str], errors: str = "raise") -> Da
     )
 
 
-def describe_schema(df: DataFrame, view: str) -> DataFrame:
-    """Column names and types as a table."""
-    df.createOrReplaceTempView(view)
-    return df.sparkSession.sql(f"DESCRIBE `{view}`").select("col_name", "data_type")
+def describe_schema(df: DataFrame) -> DataFrame:
+    """Column names and types with the rows of the table and the known cells of each column, from one aggregate."""
+    kinds = F.create_map(*[F.lit(x) for pair in df.dtypes for x in pair])
+    known = df.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    long = known.unpivot(["n_rows"], df.columns, "col_name", "known_cells")
+    return long.select("col_name", kinds[F.col("col_name")].alias("data_type"), "n_rows", "known_cells")
 
 
 # -- rows by label -----------------------------------------------------------

@@ -125,8 +125,8 @@ def alpha_of(span: float | None = None, alpha: float | None = None) -> float:
 def ewm_recursive(df: DataFrame, f: Frame, terms: dict[str, tuple[Column, float]]) -> DataFrame:
     """Exponential mean ``y[t] = (1-a) y[t-1] + a x[t]`` with ``y = x`` at the first known x.
 
-    ``terms`` is ``out: (x, a)``.  Leading nulls stay null; x must be known
-    from its first value on.
+    ``terms`` is ``out: (x, a)``.  Leading nulls stay null; a null after the
+    first known x fails the job (the adjusted form takes gaps).
     """
     x, k = {o: f"__x_{o}" for o in terms}, {o: f"__k_{o}" for o in terms}
     df = df.withColumns(
@@ -135,6 +135,8 @@ def ewm_recursive(df: DataFrame, f: Frame, terms: dict[str, tuple[Column, float]
             **{k[o]: F.count(c).over(f.upto()) for o, (c, _) in terms.items()},
         }
     )
+    gap = F.raise_error(F.lit("a recursive mean has no value for a gap; use the adjusted form or fill it")).cast("double")
+    df = df.withColumns({x[o]: F.when(F.col(x[o]).isNull() & (F.col(k[o]) > 0), gap).otherwise(F.col(x[o])) for o in terms})
     rec = {
         o: (F.when(F.col(k[o]) > 1, F.lit(a) * F.col(x[o])).otherwise(F.col(x[o])), 1.0 - a)
         for o, (_, a) in terms.items()
@@ -256,10 +258,12 @@ def split_by_time(line: Line, share: float = 0.8, out: str = "part") -> Line:
     )
 
 
-def split_random(df: DataFrame, share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Random train and test tables."""
-    train, test = df.randomSplit([1.0 - share, share], seed)
-    return train, test
+def split_random(df: DataFrame, keys: list[str], share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Train and test tables by a hash of the row's key: a row is in one of them, however often the input is read."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    draw = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % 10_000
+    test = draw < round(share * 10_000)
+    return df.filter(~test), df.filter(test)
 
 
 def split_by_hash(df: DataFrame, key: Column, buckets: int = 5, out: str = "part") -> DataFrame:
