@@ -1,8 +1,10 @@
 """Return statistics, paths, classifiers and decisions."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weftline.catalog.registry import BARS, NUMBERED, OVER, TICKERS, bar_line, bars, query, r, rounded, rs, table
+from weftline.catalog.indicators import FEATURE_SQL, GROUPED_SQL
+from weftline.catalog.registry import BARS, NUMBERED, OVER, bar_line, bars, query, r, rounded, rs, table
 from weftline.catalog.series import LOG_RET
 from weftline.operators import decide, models, paths
 from weftline.operators import indicators as I
@@ -98,42 +100,72 @@ def _(spark, sf):
 
 def grouped_features(spark, sf):
     d = I.feature_frame_grouped(bar_line(spark, sf))
-    return S.split_by_hash(d, F.xxhash64("ticker", "bar_ts"))
+    key = F.concat_ws("|", "ticker", F.col("bar_ts").cast("string"))
+    return S.split_by_hash(d, F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"))
 
 
-@query("ml_forest")
+# what a fitted model can't change: rows, parts and labels, and that its answers fit together
+SPLIT = f"""WITH g AS ({GROUPED_SQL}), split AS (
+    SELECT *, CASE WHEN ('0x' || substr(md5(ticker || '|' || CAST(bar_ts AS VARCHAR)), 1, 8))::BIGINT % 5 = 0
+                   THEN 'test' ELSE 'train' END AS part FROM g)"""
+
+
+def sound(df):
+    """Whether the probability is one, and the prediction its larger side."""
+    p = F.col("probability")
+    return df.withColumns(
+        {"in_range": p.between(0.0, 1.0), "agrees": (p == 0.5) | (F.col("prediction") == (p > 0.5).cast("int"))}
+    )
+
+
+@query("ml_forest", f"{SPLIT} SELECT ticker, bar_ts, part, target, true AS in_range, true AS agrees FROM split")
 def _(spark, sf):
     d = grouped_features(spark, sf)
     fitted = models.forest(d.filter("part = 'train'"), I.GROUPED_FEATURES, "target")
-    return fitted.score(d).select("ticker", "bar_ts", "part", "target", "prediction", "probability")
+    return sound(fitted.score(d)).select("ticker", "bar_ts", "part", "target", "in_range", "agrees")
 
 
-@query("ml_forest_per_ticker")
+@query("ml_forest_per_ticker", f"{SPLIT} SELECT ticker, true AS in_range FROM split WHERE part = 'test' GROUP BY 1")
 def _(spark, sf):
     d = grouped_features(spark, sf)
-    scored = models.forest_per_key(d, "ticker", TICKERS, I.GROUPED_FEATURES, "target")
-    return decide.accuracy(scored.filter("part = 'test'"), "target", "prediction", ["ticker"])
+    tickers = sorted(r[0] for r in d.select("ticker").distinct().collect())
+    scored = models.forest_per_key(d, "ticker", tickers, I.GROUPED_FEATURES, "target")
+    right = decide.accuracy(scored.filter("part = 'test'"), "target", "prediction", ["ticker"])
+    return right.select("ticker", F.col("accuracy").between(0.0, 1.0).alias("in_range"))
 
 
-@query("ml_report")
+@query(
+    "ml_report",
+    f"{SPLIT} SELECT ticker, true AS in_range, true AS fits, {r('max_by(close, bar_ts)', 'current_price')} FROM split GROUP BY 1",
+)
 def _(spark, sf):
     d = grouped_features(spark, sf)
     fitted = models.forest(d.filter("part = 'train'"), I.GROUPED_FEATURES, "target")
-    return decide.stocks_report(fitted.score(d))
+    report = decide.stocks_report(fitted.score(d))
+    fits = (F.col("recommendation") == "Sell") == F.col("reentry_price").isNotNull()
+    return rounded(report.select("ticker", F.col("probability").between(0.0, 1.0).alias("in_range"), fits.alias("fits"), "current_price"))
 
 
-@query("ml_forest_importance")
+@query(
+    "ml_forest_importance",
+    "SELECT feature, true AS in_range, 1.0::DOUBLE AS total FROM (VALUES "
+    + ", ".join(f"('{x}')" for x in I.GROUPED_FEATURES)
+    + ") v(feature)",
+)
 def _(spark, sf):
     d = grouped_features(spark, sf)
-    return models.forest(d.filter("part = 'train'"), I.GROUPED_FEATURES, "target").importances(spark)
+    weights = models.forest(d.filter("part = 'train'"), I.GROUPED_FEATURES, "target").importances(spark)
+    total = F.sum("importance").over(Window.partitionBy())
+    return rounded(weights.select("feature", F.col("importance").between(0.0, 1.0).alias("in_range"), total.alias("total")))
 
 
-@query("ml_boost")
+@query("ml_boost", f"WITH x AS ({FEATURE_SQL}) SELECT ticker, true AS in_range FROM x GROUP BY 1")
 def _(spark, sf):
     frame = I.feature_frame(bar_line(spark, sf))
     d = S.split_by_time(Line.of(frame, "ticker", "bar_ts")).result()
     scored = models.boost(d.filter("part = 'train'"), I.FEATURES, "up_next").score(d.filter("part = 'test'"))
-    return decide.accuracy(scored, "up_next", "prediction", ["ticker"])
+    right = decide.accuracy(scored, "up_next", "prediction", ["ticker"])
+    return right.select("ticker", F.col("accuracy").between(0.0, 1.0).alias("in_range"))
 
 
 @query(

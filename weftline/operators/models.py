@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -21,7 +20,8 @@ TREES = 100
 ROUNDS = 100
 SEED = 42
 
-ROWS_PER_PARTITION = 20_000
+#: Partitions of the rows that a model is fitted on; a model depends on it, so it is an argument, not a count of rows.
+PARTITIONS = 8
 
 
 @dataclass(frozen=True)
@@ -49,31 +49,31 @@ class Fitted:
         return spark.createDataFrame(rows, "feature string, importance double")
 
 
-def _fit(train: DataFrame, features: Sequence[str], label: str, tree, scale: bool) -> Fitted:
+def _fit(train: DataFrame, features: Sequence[str], label: str, tree, scale: bool, partitions: int = PARTITIONS) -> Fitted:
     assemble = VectorAssembler(inputCols=list(features), outputCol="raw_features" if scale else "scaled")
     stages = [assemble]
     if scale:
         stages.append(StandardScaler(inputCol="raw_features", outputCol="scaled", withMean=True, withStd=True))
     tree.setFeaturesCol("scaled").setLabelCol(label).setProbabilityCol("class_probability")
     # fitting reads the rows many times; what does not fit in memory goes to disk
-    rows = train.select(*features, label).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = train.select(*features, label)
+    # bagging and split sampling follow the partitions: dealt by the row's values and sorted, they don't follow the files
+    rows = rows.repartition(partitions, *features).sortWithinPartitions(*features, label).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        # hundreds of short jobs follow: small tables get few partitions
-        parts = max(1, math.ceil(rows.count() / ROWS_PER_PARTITION))
-        model = Pipeline(stages=[*stages, tree]).fit(rows.coalesce(parts))
+        model = Pipeline(stages=[*stages, tree]).fit(rows)
     finally:
         rows.unpersist()
     return Fitted(model, tuple(features), label)
 
 
-def forest(train: DataFrame, features: Sequence[str], label: str, trees: int = TREES, seed: int = SEED) -> Fitted:
+def forest(train: DataFrame, features: Sequence[str], label: str, trees: int = TREES, seed: int = SEED, partitions: int = PARTITIONS) -> Fitted:
     """Scaled features and a random forest, one model for all keys together."""
-    return _fit(train, features, label, RandomForestClassifier(numTrees=trees, seed=seed), scale=True)
+    return _fit(train, features, label, RandomForestClassifier(numTrees=trees, seed=seed), scale=True, partitions=partitions)
 
 
-def boost(train: DataFrame, features: Sequence[str], label: str, rounds: int = ROUNDS, seed: int = SEED) -> Fitted:
+def boost(train: DataFrame, features: Sequence[str], label: str, rounds: int = ROUNDS, seed: int = SEED, partitions: int = PARTITIONS) -> Fitted:
     """Boosted trees on the plain features."""
-    return _fit(train, features, label, GBTClassifier(maxIter=rounds, seed=seed), scale=False)
+    return _fit(train, features, label, GBTClassifier(maxIter=rounds, seed=seed), scale=False, partitions=partitions)
 
 
 def forest_per_key(
