@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.catalog.indicators import FEATURE_SQL, GROUPED_SQL
-from weftline.catalog.registry import BARS, NUMBERED, OVER, bar_line, bars, query, r, rounded, rs, table
+from weftline.catalog.registry import BARS, NUMBERED, OVER, bar_line, bars, last_rows, query, r, rounded, rs, table
 from weftline.catalog.series import LOG_RET
 from weftline.operators import decide, models, paths
 from weftline.operators import indicators as I
@@ -38,9 +38,16 @@ def _(spark, sf):
     return rounded(paths.normal_fit(return_line(spark, sf).result(), ["ticker"]))
 
 
-@query("vol_regime")
+@query(
+    "vol_regime",
+    f"""WITH {RETURNS} SELECT ticker, bar_ts, true AS in_range, true AS agrees FROM lr
+    QUALIFY count(log_ret) {last_rows(paths.VOL_ROWS)} = {paths.VOL_ROWS}""",
+)
 def _(spark, sf):
-    return paths.vol_regime(return_line(spark, sf)).select("ticker", "bar_ts", "regime", "wild_probability", "vol_weight")
+    got = paths.vol_regime(return_line(spark, sf))
+    wild = F.col("regime") == 1
+    agrees = (wild == (F.col("vol_weight") == 1.5)) & F.col("regime").isin(0, 1)
+    return got.select("ticker", "bar_ts", F.col("wild_probability").between(0.0, 1.0).alias("in_range"), agrees.alias("agrees"))
 
 
 STEPS = """st AS (SELECT user_id AS path_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step,
