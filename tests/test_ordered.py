@@ -162,6 +162,50 @@ def test_recursive_mean_refuses_gaps(spark):
     assert [r["y"] for r in known.result().orderBy("i").collect()] == [None, 10.0, 11.0]
 
 
+def test_means_over_gaps_match_pandas(walk):
+    plain, cut = lines(walk)
+    got = S.ewm_gaps(plain, {"y": (F.col("x"), 0.5), "z": (F.col("x"), 2 / 27)}).result()
+    same(got, S.ewm_gaps(cut, {"y": (F.col("x"), 0.5), "z": (F.col("x"), 2 / 27)}).result())
+    a = frame(got)
+    for out, alpha in (("y", 0.5), ("z", 2 / 27)):
+        want = a.groupby("ticker")["x"].transform(lambda s, q=alpha: s.ewm(alpha=q, adjust=False).mean())
+        np.testing.assert_allclose(a[out], want)
+
+
+def test_mean_over_long_gaps(spark):
+    x = [None, None, 10.0, 11.0, None, None, 12.0, 13.0, None, 14.0] + [None] * 400 + [15.0, None] * 300 + [None] * 900 + [2.0]
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(x)], "ticker string, t long, x double")
+    want = pd.Series(x, dtype=float)
+    alphas = {"half": 0.5, "slow": 2 / 27, "full": 0.9999}
+    for limit in (10**6, 700):
+        got = frame(S.ewm_gaps(Line.of(df, "ticker", "t", limit), {o: (F.col("x"), a) for o, a in alphas.items()}).result())
+        for o, a in alphas.items():
+            np.testing.assert_allclose(got[o], want.ewm(alpha=a, adjust=False).mean())
+    none = S.ewm_gaps(Line.of(df.filter("t < 2"), "ticker", "t"), {"y": (F.col("x"), 0.5)}).result()
+    assert [r.y for r in none.collect()] == [None, None]
+    assert S.ewm_gaps(Line.of(df.limit(0), "ticker", "t"), {"y": (F.col("x"), 0.5)}).result().count() == 0
+
+
+def test_macd_and_rsi_over_gaps(walk):
+    holes = walk.withColumn("close", F.when(F.col("x").isNotNull(), F.col("close")))
+    for line in lines(holes):
+        a = frame(I.rsi_gaps(I.macd_gaps(line)).result())
+        for _, g in a.groupby("ticker"):
+            c = g["close"]
+            m = c.ewm(span=12, adjust=False).mean() - c.ewm(span=26, adjust=False).mean()
+            np.testing.assert_allclose(g["macd_line"], m, atol=1e-9)
+            np.testing.assert_allclose(g["macd_hist"], m - m.ewm(span=9, adjust=False).mean(), atol=1e-9)
+            d = c.diff()
+            up, down = (s.ewm(alpha=1 / 14, adjust=False).mean() for s in (d.clip(lower=0), -d.clip(upper=0)))
+            rsi = (100 - 100 / (1 + up / down)).where(~((down == 0) & (up == 0)))
+            np.testing.assert_allclose(g["rsi"], rsi, atol=1e-7)
+
+
+def test_bars_are_hashed(spark):
+    plan = bars(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
 def test_split_random_is_a_partition(spark):
     df = spark.range(3000).repartition(7)
     train, test = S.split_random(df, ["id"], share=0.25)

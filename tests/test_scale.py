@@ -75,12 +75,25 @@ def test_group_function_in_blocks(skewed):
         return out
 
     schema = "k string, id long, m double, ahead double"
-    plain = groups.group_frames(Line.of(skewed, "k", "id"), add, schema, before=2, after=1)
-    cut = groups.group_frames(Line.of(skewed, "k", "id", 200), add, schema, before=2, after=1)
+    plain = groups.group_rows(Line.of(skewed, "k", "id"), add, schema, before=2, after=1)
+    cut = groups.group_rows(Line.of(skewed, "k", "id", 200), add, schema, before=2, after=1)
     a, b = (d.toPandas().sort_values(["k", "id"], ignore_index=True) for d in (plain, cut))
     pd.testing.assert_frame_equal(a, b)
-    with pytest.raises(ValueError, match="fits no task"):
-        groups.group_frames(Line.of(skewed, "k", "id", 200), add, schema)
+
+
+@pytest.mark.parametrize("limit", [3, 1_000_000])
+def test_group_functions_do_not_follow_the_limit(spark, limit):
+    df = spark.range(40).selectExpr("id % 4 AS k", "id AS t", "cast(id AS double) AS x")
+    line = Line.of(df, "k", "t", limit)
+    want = sorted((i % 4, i) for i in range(40) if i > 18 + i % 4)
+
+    def above(pdf):
+        return pdf.loc[pdf["x"] > pdf["x"].mean(), ["k", "t"]]
+
+    got = groups.group_frames(line, above, "k long, t long")
+    assert sorted((r.k, r.t) for r in got.collect()) == want
+    with pytest.raises(Exception, match="rows for"):
+        groups.group_rows(line, above, "k long, t long", before=1).collect()
 
 
 def test_null_key_is_a_key(spark):

@@ -10,6 +10,7 @@ from weftline.operators import decide, models, paths
 from weftline.operators import indicators as I
 from weftline.operators import series as S
 from weftline.plans.ordered import Line
+from weftline.plans.sizing import one_row, written
 
 VALUES = ("open", "high", "low", "close", "volume")
 RETURNS = f"{BARS}, lr AS (SELECT ticker, bar_ts, {LOG_RET} AS log_ret FROM bars)"
@@ -260,6 +261,50 @@ def _(spark, sf):
     return decide.signal_points(bars(spark, sf), predicted, ["ticker", "bar_ts"])
 
 
+@query(
+    "main_verdict",
+    f"""WITH x AS ({FEATURE_SQL}) SELECT ticker, max(bar_ts) AS bar_ts, true AS in_range, true AS agrees, true AS named
+    FROM x GROUP BY 1""",
+)
+def _(spark, sf):
+    """Features, two models on the earlier part, their mean chance on the later part, stake and verdict of the last row."""
+    frame = written(I.feature_frame(bar_line(spark, sf)), "main-verdict")
+    d = S.split_by_time(Line.of(frame, "ticker", "bar_ts")).result()
+    train, test = d.filter("part = 'train'"), d.filter("part = 'test'")
+    first, second = (
+        fit(train, I.FEATURES, "up_next").score(test).select("ticker", "bar_ts", F.col("probability").alias("p"))
+        for fit in (models.boost, models.forest)
+    )
+    last = decide.latest(decide.ensemble_kelly(first, second, ["ticker", "bar_ts"]), ["ticker"], ["bar_ts"])
+    p, stake = F.col("p_up"), F.col("kelly")
+    mean = F.abs(p - (F.col("p_first") + F.col("p_second")) / 2) < 1e-12
+    bought = decide.verdict(stake).isin("Strong Buy", "Buy") == (stake > 0.1)
+    return last.select(
+        "ticker",
+        "bar_ts",
+        p.between(0.0, 1.0).alias("in_range"),
+        (mean & (F.abs(stake - (2 * p - 1)) < 1e-12)).alias("agrees"),
+        bought.alias("named"),
+    )
+
+
+@query(
+    "pooled_predictor",
+    f"""WITH f AS ({GROUPED_SQL}) SELECT count(DISTINCT ticker) AS offers, true AS in_range, true AS few, true AS within_budget
+    FROM f""",
+)
+def _(spark, sf):
+    """Features of all tickers, one forest, the last row of each, the three likeliest bought while the budget lasts."""
+    frame = written(grouped_features(spark, sf), "pooled-predictor")
+    fitted = models.forest(frame.filter("part = 'train'"), I.GROUPED_FEATURES, "target")
+    last = fitted.score(decide.latest(frame, ["ticker"], ["bar_ts"])).select("ticker", "probability", "close")
+    bought = decide.budget_allocate(last, [], "ticker", "probability", "close", budget=100.0, k=3)
+    spent = bought.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"))
+    offers = last.agg(F.count(F.lit(1)).alias("offers"), F.min(F.col("probability").between(0.0, 1.0)).alias("in_range"))
+    row = one_row(spent, {"n": F.first("n"), "cost": F.first("cost")})
+    return offers.select("offers", "in_range", (row["n"] <= 3).alias("few"), (row["cost"] <= 100.0).alias("within_budget"))
+
+
 def taken(k, spent):
     """Shares of the k-th offer, and whether it fits, as SQL."""
     shares = f"greatest(CAST(round((100 - {spent} - fmod(100 - {spent}, price{k})) / price{k}) AS BIGINT), 1)"

@@ -187,60 +187,55 @@ def _(spark, sf):
     return rounded(rounded(out, 6, ["k_rdiv", "v_rdiv"]), 3, ["v_add", "v_rsub"])
 
 
+# every ticker against itself an hour earlier, so that labels of either side lack a partner
 HALVES = """
-l AS (SELECT bar_ts, open, close FROM bars WHERE ticker = 'click'),
-r AS (SELECT bar_ts, close, high FROM bars WHERE ticker = 'view')"""
+l AS (SELECT ticker, bar_ts, open, close FROM bars),
+r AS (SELECT ticker, bar_ts + INTERVAL 1 HOUR AS bar_ts, close, high FROM bars)"""
+LABEL = ["ticker", "bar_ts"]
 
 
 def halves(spark, sf):
     b = bars(spark, sf)
-    return (
-        b.filter("ticker = 'click'").select("bar_ts", "open", "close"),
-        b.filter("ticker = 'view'").select("bar_ts", "close", "high"),
-    )
+    later = (F.col("bar_ts") + F.expr("INTERVAL 1 HOUR")).alias("bar_ts")
+    return b.select(*LABEL, "open", "close"), b.select("ticker", later, "close", "high")
 
 
 @query(
     "compare_flex",
     f"""WITH {BARS}, {HALVES}
-    SELECT bar_ts, coalesce(l.close < r.close, false) AS close, false AS high, false AS open
-    FROM l FULL JOIN r USING (bar_ts)""",
+    SELECT ticker, bar_ts, coalesce(l.close < r.close, false) AS close, false AS high, false AS open
+    FROM l FULL JOIN r USING (ticker, bar_ts)""",
 )
 def _(spark, sf):
-    return labelled.compare(*halves(spark, sf), "lt", "bar_ts")
+    return labelled.compare(*halves(spark, sf), "lt", LABEL)
 
 
-@query(
-    "compare_same",
-    f"""WITH {BARS}
-    SELECT bar_ts, o.open <> c.close AS price FROM
-      (SELECT * FROM bars WHERE ticker = 'click') o JOIN (SELECT * FROM bars WHERE ticker = 'click') c USING (bar_ts)""",
-)
+@query("compare_same", f"WITH {BARS} SELECT ticker, bar_ts, open <> close AS price FROM bars")
 def _(spark, sf):
-    b = bars(spark, sf).filter("ticker = 'click'")
-    first, last = (b.select("bar_ts", F.col(c).alias("price")) for c in ("open", "close"))
-    return labelled.compare_same(first, last, "ne", "bar_ts")
+    b = bars(spark, sf)
+    first, last = (b.select(*LABEL, F.col(c).alias("price")) for c in ("open", "close"))
+    return labelled.compare_same(first, last, "ne", LABEL)
 
 
 @query(
     "compare_series",
     f"""WITH {BARS}, {HALVES}
-    SELECT bar_ts, coalesce(l.open < r.close, false) AS open, coalesce(l.close < r.close, false) AS close
-    FROM l FULL JOIN r USING (bar_ts)""",
+    SELECT ticker, bar_ts, coalesce(l.open < r.close, false) AS open, coalesce(l.close < r.close, false) AS close
+    FROM l FULL JOIN r USING (ticker, bar_ts)""",
 )
 def _(spark, sf):
     left, right = halves(spark, sf)
-    return labelled.compare_col_series(left, right, "lt", "bar_ts", "close")
+    return labelled.compare_col_series(left, right, "lt", LABEL, "close")
 
 
 @query(
     "mask_compare",
     f"""WITH {BARS}, {HALVES}
-    SELECT bar_ts, CASE WHEN l.close > r.close THEN l.close END AS close, CAST(NULL AS DOUBLE) AS open
-    FROM l FULL JOIN r USING (bar_ts)""",
+    SELECT ticker, bar_ts, CASE WHEN l.close > r.close THEN l.close END AS close, CAST(NULL AS DOUBLE) AS open
+    FROM l FULL JOIN r USING (ticker, bar_ts)""",
 )
 def _(spark, sf):
-    return labelled.mask_compare(*halves(spark, sf), "gt", "bar_ts")
+    return labelled.mask_compare(*halves(spark, sf), "gt", LABEL)
 
 
 PER_NATION = "(SELECT c_nationkey AS n, sum(c_acctbal) AS total, count(*) AS k FROM customer GROUP BY 1)"

@@ -164,14 +164,9 @@ def _(spark, sf):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query(
-    "dropna_cols",
-    f"""WITH {GRID} SELECT ticker, bar_ts, CAST(hour(bar_ts) AS INTEGER) AS hour_of_day, greatest(coalesce(close, 0), 0) AS filled
-        FROM grid""",
-)
+@query("dropna_cols", f"WITH {GRID} SELECT ticker, bar_ts FROM grid")
 def _(spark, sf):
-    g = grid(spark, sf).withColumns({"hour_of_day": F.hour("bar_ts"), "filled": F.greatest(F.coalesce("close", F.lit(0.0)), F.lit(0.0))})
-    return clean.dropna_cols(g, ["close", "volume", "hour_of_day", "filled"], key=["ticker", "bar_ts"])
+    return clean.dropna_cols(grid(spark, sf), ["bar_ts", *VALUES], key=["ticker"])
 
 
 @query(

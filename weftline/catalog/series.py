@@ -17,6 +17,7 @@ from weftline.catalog.registry import (
     table,
 )
 from weftline.catalog.registry import GRID as GRID_SQL
+from weftline.operators import indicators as I
 from weftline.operators import series as S
 
 VALUES = ("open", "high", "low", "close", "volume")
@@ -129,6 +130,59 @@ def _(spark, sf):
     return rounded(S.ewm(bar_line(spark, sf), terms, adjust=False).map(lambda d: d.drop(*VALUES)).result())
 
 
+def over_gaps(name, source, column, alpha):
+    """Recursive mean over a series with gaps, as SQL: the weight of the mean so far shrinks with every row."""
+    q = f"(1 - {alpha})"
+    return f"""{name} AS (
+      SELECT ticker, i, {column} AS y, 1.0::DOUBLE AS w FROM {source} WHERE i = 0
+      UNION ALL SELECT v.ticker, v.i,
+        CASE WHEN v.{column} IS NULL THEN y.y WHEN y.y IS NULL THEN v.{column}
+             ELSE (y.w * {q} * y.y + {alpha} * v.{column}) / (y.w * {q} + {alpha}) END,
+        CASE WHEN v.{column} IS NULL THEN y.w * {q} ELSE 1.0 END
+      FROM {name} y JOIN {source} v ON v.ticker = y.ticker AND v.i = y.i + 1)"""
+
+
+CLOSES = f"{GRID_SQL}, v AS MATERIALIZED (SELECT ticker, i, bar_ts, close FROM g)"
+FAST, SLOW, SIGN, WILDER = "(2.0::DOUBLE / 13)", "(2.0::DOUBLE / 27)", "0.2::DOUBLE", "(1.0::DOUBLE / 14)"
+
+
+@query(
+    "ewm_recursive_gaps",
+    f"""WITH RECURSIVE {CLOSES}, {over_gaps("f", "v", "close", FAST)}, {over_gaps("s", "v", "close", WILDER)}
+    SELECT ticker, bar_ts, {r("f.y", "e12")}, {r("s.y", "a14")}
+    FROM v JOIN f USING (ticker, i) JOIN s USING (ticker, i)""",
+)
+def _(spark, sf):
+    c = F.col("close")
+    terms = {"e12": (c, S.alpha_of(span=12)), "a14": (c, S.alpha_of(alpha=1 / 14))}
+    return rounded(S.ewm_gaps(grid_line(spark, sf), terms).map(lambda d: d.drop(*VALUES)).result())
+
+
+@query(
+    "macd_gaps",
+    f"""WITH RECURSIVE {CLOSES}, {over_gaps("f", "v", "close", FAST)}, {over_gaps("s", "v", "close", SLOW)},
+    m AS MATERIALIZED (SELECT ticker, i, f.y - s.y AS line FROM f JOIN s USING (ticker, i)), {over_gaps("z", "m", "line", SIGN)}
+    SELECT ticker, bar_ts, {r("line", "macd_line")}, {r("z.y", "macd_signal")}, {r("line - z.y", "macd_hist")}
+    FROM v JOIN m USING (ticker, i) JOIN z USING (ticker, i)""",
+)
+def _(spark, sf):
+    return rounded(I.macd_gaps(grid_line(spark, sf)).map(lambda d: d.drop(*VALUES)).result())
+
+
+@query(
+    "rsi_gaps",
+    f"""WITH RECURSIVE {CLOSES},
+    d AS MATERIALIZED (SELECT ticker, i, m, CASE WHEN m IS NOT NULL THEN greatest(m, 0) END AS up,
+                              CASE WHEN m IS NOT NULL THEN greatest(-m, 0) END AS down
+                       FROM (SELECT ticker, i, close - lag(close) {OVER} AS m FROM v)),
+    {over_gaps("u", "d", "up", WILDER)}, {over_gaps("w", "d", "down", WILDER)}
+    SELECT ticker, bar_ts, {r("CASE WHEN w.y <> 0 THEN 100 - 100 / (1 + u.y / w.y) WHEN u.y > 0 THEN 100.0 END", "rsi")}
+    FROM v JOIN u USING (ticker, i) JOIN w USING (ticker, i)""",
+)
+def _(spark, sf):
+    return rounded(I.rsi_gaps(grid_line(spark, sf)).map(lambda d: d.drop(*VALUES)).result())
+
+
 @query(
     "ewm_adjusted",
     f"""WITH RECURSIVE {NUMBERED}, {recursive("e", "close AS n, 1::DOUBLE AS m", "y.n * 11 / 13 + b.close, y.m * 11 / 13 + 1")}

@@ -313,10 +313,21 @@ def _(spark, sf):
         return out
 
     schema = "ticker string, bar_ts timestamp_ntz, mean3 double, change double"
-    out = groups.group_frames(bar_line(spark, sf), add, schema, before=2)
+    out = groups.group_rows(bar_line(spark, sf), add, schema, before=2)
     return rounded(out.withColumns({c: F.nanvl(c, F.lit(None)) for c in ("mean3", "change")}))
 
 
+@query(
+    "udf_group_whole",
+    f"""WITH {BARS} SELECT ticker, bar_ts, close FROM bars QUALIFY close > avg(close) OVER (PARTITION BY ticker)""",
+)
+def _(spark, sf):
+    def above(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.loc[pdf["close"] > pdf["close"].mean(), ["ticker", "bar_ts", "close"]]
+
+    return groups.group_frames(bar_line(spark, sf), above, "ticker string, bar_ts timestamp_ntz, close double")
+
+
 @query("udf_rows", f"SELECT p_partkey, {r('p_size + p_retailprice', 'total')}, {r('p_retailprice - p_size', 'gap')} FROM part")
 def _(spark, sf):
     cols = ["p_size", PRICE]

@@ -54,36 +54,40 @@ def group_level_cols(df: DataFrame, key: Sequence[str], level: int = 0, sep: str
     )
 
 
-def group_frames(
-    line: Line,
-    fn: Callable[[pd.DataFrame], pd.DataFrame],
-    schema: T.StructType | str,
-    before: int | None = None,
-    after: int = 0,
-) -> DataFrame:
-    """A pandas function per group, rows in order.
+def group_frames(line: Line, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str) -> DataFrame:
+    """A pandas function per whole group, rows in order; it may return any number of rows.
 
-    While every group fits one task the function gets whole groups.  Beyond
-    that a hot group goes to it in blocks, each with the ``before``/``after``
-    rows around it; the function must then return one row per row it is given.
-    A function that needs more than that (``before=None``) cannot be cut, and
-    a group that fits no task is refused.
+    A group is one pandas frame on one worker at every size, and none is refused: where groups outgrow a worker, use
+    ``group_rows``, an aggregate or ``Line.scan``.
     """
-    order = list(line.order)
-    if not line.split:
+    order = [POS] if line.split else list(line.order)
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, ignore_index=True)
+        return fn(pdf.drop(columns=[POS], errors="ignore"))
+
+    return line.df.groupBy(*line.keys).applyInPandas(whole, schema)
 
-        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            return fn(pdf.sort_values(order, ignore_index=True))
 
-        return line.df.groupBy(*line.keys).applyInPandas(whole, schema)
-    if before is None:
-        raise ValueError("a group fits no task: give the rows the function looks back on, or use Line.scan")
+def group_rows(
+    line: Line, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str, before: int, after: int = 0
+) -> DataFrame:
+    """A row-for-row pandas function over ordered groups that looks ``before`` and ``after`` rows away at most.
+
+    At every size it is given blocks of positions with the rows around them, and must return one row for each row it
+    is given; anything else fails the job.
+    """
+    if not line.split:
+        line = line.with_position(POS)
     size = max(line.block, before, after)
 
     def part(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(POS, ignore_index=True)
         own = (pdf[POS] // size == pdf[BLOCK]).to_numpy()
-        return fn(pdf.drop(columns=[POS, BLOCK])).reset_index(drop=True)[own]
+        out = fn(pdf.drop(columns=[POS, BLOCK])).reset_index(drop=True)
+        if len(out) != len(own):
+            raise ValueError(f"the function returned {len(out)} rows for {len(own)}; group_frames takes such functions")
+        return out[own]
 
     home = F.floor(F.col(POS) / size).cast("long")
     at = F.col(POS) % size

@@ -168,6 +168,28 @@ def macd(variant: str = "recursive", prefix: str = "macd") -> Indicator:
     return Indicator(stages, S.ewm_reach(fast, slow) + S.ewm_reach(sign), outs)
 
 
+def macd_gaps(line: Line, prefix: str = "macd") -> Line:
+    """Recursive MACD of closes with gaps: both means are carried over a gap, and so are their difference and its mean."""
+    fast, slow, sign = (S.alpha_of(span=s) for s in MACD_SPANS)
+    out, signal, hist = f"{prefix}_line", f"{prefix}_signal", f"{prefix}_hist"
+    line = S.ewm_gaps(line, {"__fast": (F.col("close"), fast), "__slow": (F.col("close"), slow)})
+    line = line.map(lambda d: d.withColumn(out, F.col("__fast") - F.col("__slow")).drop("__fast", "__slow"))
+    line = S.ewm_gaps(line, {signal: (F.col(out), sign)})
+    return line.map(lambda d: d.withColumn(hist, F.col(out) - F.col(signal)))
+
+
+def rsi_gaps(line: Line, n: int = RSI_ROWS, out: str = "rsi") -> Line:
+    """Relative strength index, Wilder smoothing, of closes with gaps; a move is known where both its closes are."""
+    move = F.col("__move")
+    line = line.roll(lambda d, f: d.withColumns(_move(f)), before=1)
+    sides = {"__gain": (F.greatest(move, F.lit(0.0)), 1.0 / n), "__loss": (F.greatest(-move, F.lit(0.0)), 1.0 / n)}
+    sides = {o: (F.when(move.isNotNull(), c), a) for o, (c, a) in sides.items()}
+    line = S.ewm_gaps(line, sides)
+    return line.map(
+        lambda d: d.withColumn(out, _strength_index(F.col("__gain"), F.col("__loss"))).drop("__move", "__gain", "__loss")
+    )
+
+
 def atr(variant: str = "true_range", n: int = ATR_ROWS, out: str = "atr") -> Indicator:
     """Mean range: ``true_range`` takes the gap to the close before into account, ``simple`` does not."""
     if variant not in ("true_range", "simple"):
@@ -365,8 +387,9 @@ def feature_frame(line: Line, target: str = "up_next") -> DataFrame:
         williams_r(),
         roc(),
         signed_volume("__flow"),
-        raw_period(),
     )
+    # the Arrow step loses the partitioning: after all else that needs the rows of a key together
+    line = add(line, raw_period())
     # running volume and the gaps of the period need the whole key: one scan for both
     period = ["dominant_period"]
     lasts, nexts = S.gap_ends(period, "__at")

@@ -90,10 +90,15 @@ def align(left: DataFrame, right: DataFrame, key: str, join: str = "outer") -> t
     )
 
 
-def _side_by_side(left: DataFrame, right: DataFrame, key: str, join: str) -> tuple[DataFrame, list[str]]:
+def _keys(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def _side_by_side(left: DataFrame, right: DataFrame, key: str | Sequence[str], join: str) -> tuple[DataFrame, list[str]]:
     """One row per label pair with the cells of both tables; absent columns are null."""
-    mine = [c for c in left.columns if c != key]
-    theirs = [c for c in right.columns if c != key]
+    keys = _keys(key)
+    mine = [c for c in left.columns if c not in keys]
+    theirs = [c for c in right.columns if c not in keys]
     if join == "outer":
         columns = sorted({*mine, *theirs})
     elif join == "inner":
@@ -106,10 +111,10 @@ def _side_by_side(left: DataFrame, right: DataFrame, key: str, join: str) -> tup
         cells = [
             (F.col(c) if c in names else F.lit(None).cast(types[c])).alias(f"__{tag}_{c}") for c in columns
         ]
-        return df.select(F.col(key), *cells)
+        return df.select(*keys, *cells)
 
     both = side(left, mine, "l"), side(right, theirs, "r")
-    return (outer_join(*both, key) if join == "outer" else join_null_safe(*both, [key], "inner")), columns
+    return (outer_join(*both, key) if join == "outer" else join_null_safe(*both, keys, "inner")), columns
 
 
 # Operators by name.
@@ -196,37 +201,37 @@ def arith_own_column(df: DataFrame, column: str, op: str, key: str) -> DataFrame
     return df.select(key, *[fn(F.col(c), F.col(column)).alias(c) for c in df.columns if c != key])
 
 
-def compare(left: DataFrame, right: DataFrame, op: str, key: str) -> DataFrame:
+def compare(left: DataFrame, right: DataFrame, op: str, key: str | Sequence[str]) -> DataFrame:
     """Flexible comparison: labels and columns are united; a missing cell is false (true for ``ne``)."""
     fn = COMPARISON[op]
     pair, columns = _side_by_side(left, right, key, "outer")
     absent = F.lit(op == "ne")
     cells = [F.coalesce(fn(F.col(f"__l_{c}"), F.col(f"__r_{c}")), absent).alias(c) for c in columns]
-    return pair.select(key, *cells)
+    return pair.select(*_keys(key), *cells)
 
 
-def compare_same(left: DataFrame, right: DataFrame, op: str, key: str) -> DataFrame:
+def compare_same(left: DataFrame, right: DataFrame, op: str, key: str | Sequence[str]) -> DataFrame:
     """Operator form: refuses tables whose labels or columns differ."""
     if sorted(left.columns) != sorted(right.columns):
         raise ValueError("tables have different columns")
     for a, b in ((left, right), (right, left)):
-        if not without_partner(a.select(key), b, [key]).isEmpty():
+        if not without_partner(a.select(*_keys(key)), b, _keys(key)).isEmpty():
             raise ValueError("tables have different labels")
     return compare(left, right, op, key)
 
 
-def compare_col_series(df: DataFrame, series: DataFrame, op: str, key: str, value: str = "value") -> DataFrame:
+def compare_col_series(df: DataFrame, series: DataFrame, op: str, key: str | Sequence[str], value: str = "value") -> DataFrame:
     """Every column against a series with the same labels; a missing side is false (true for ``ne``)."""
     fn, absent = COMPARISON[op], F.lit(op == "ne")
-    cells = [c for c in df.columns if c != key]
-    joined = outer_join(df, series.select(key, F.col(value).alias("__v")), key)
-    return joined.select(key, *[F.coalesce(fn(F.col(c), F.col("__v")), absent).alias(c) for c in cells])
+    cells = [c for c in df.columns if c not in _keys(key)]
+    joined = outer_join(df, series.select(*_keys(key), F.col(value).alias("__v")), key)
+    return joined.select(*_keys(key), *[F.coalesce(fn(F.col(c), F.col("__v")), absent).alias(c) for c in cells])
 
 
-def mask_compare(left: DataFrame, right: DataFrame, op: str, key: str) -> DataFrame:
+def mask_compare(left: DataFrame, right: DataFrame, op: str, key: str | Sequence[str]) -> DataFrame:
     """Cells of ``left`` where the comparison holds; the others are null."""
     fn = COMPARISON[op]
     pair, columns = _side_by_side(left, right, key, "outer")
-    mine = [c for c in left.columns if c != key]
+    mine = [c for c in left.columns if c not in _keys(key)]
     keep = [F.when(fn(F.col(f"__l_{c}"), F.col(f"__r_{c}")), F.col(f"__l_{c}")).alias(c) for c in columns if c in mine]
-    return pair.select(key, *keep)
+    return pair.select(*_keys(key), *keep)

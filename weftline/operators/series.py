@@ -24,6 +24,7 @@ AGGREGATES = {
 
 TINY = 1e-18  # share of a double that no longer changes it
 WIDEST = 200  # powers inside a chunk stay within 1e±200
+DECADES = 150  # decay of a chunk of values with gaps, as a power of ten; a single step has 18 at most
 
 
 # -- column builders --------------------------------------------------------
@@ -126,7 +127,7 @@ def ewm_recursive(df: DataFrame, f: Frame, terms: dict[str, tuple[Column, float]
     """Exponential mean ``y[t] = (1-a) y[t-1] + a x[t]`` with ``y = x`` at the first known x.
 
     ``terms`` is ``out: (x, a)``.  Leading nulls stay null; a null after the
-    first known x fails the job (the adjusted form takes gaps).
+    first known x fails the job (``ewm_gaps`` and the adjusted form take gaps).
     """
     x, k = {o: f"__x_{o}" for o in terms}, {o: f"__k_{o}" for o in terms}
     df = df.withColumns(
@@ -135,7 +136,7 @@ def ewm_recursive(df: DataFrame, f: Frame, terms: dict[str, tuple[Column, float]
             **{k[o]: F.count(c).over(f.upto()) for o, (c, _) in terms.items()},
         }
     )
-    gap = F.raise_error(F.lit("a recursive mean has no value for a gap; use the adjusted form or fill it")).cast("double")
+    gap = F.raise_error(F.lit("a recursive mean has no value for a gap; use ewm_gaps, the adjusted form, or fill it")).cast("double")
     df = df.withColumns({x[o]: F.when(F.col(x[o]).isNull() & (F.col(k[o]) > 0), gap).otherwise(F.col(x[o])) for o in terms})
     rec = {
         o: (F.when(F.col(k[o]) > 1, F.lit(a) * F.col(x[o])).otherwise(F.col(x[o])), 1.0 - a)
@@ -183,6 +184,66 @@ def linear_recurrence(line: Line, terms: dict[str, tuple[Column, float]], chunk:
     return line.roll(lambda d, f: recurrence(d, f, terms, chunk), before=before)
 
 
+def ewm_gaps(line: Line, terms: dict[str, tuple[Column, float]]) -> Line:
+    """Exponential mean with recursive weights over values with gaps.
+
+    Between known values g rows apart ``y = (w y' + a x) / (w + a)`` with
+    ``w = (1-a)^g``; the mean is carried over a gap, and leading nulls stay null.
+
+    Known values are cut into chunks by the decay since the start, so that it
+    nearly vanishes over a chunk and is still a double inside it: a chunk needs
+    nothing but the end of the chunk before, holds a bounded number of rows, and
+    so is worked on alone however long the series is.
+    """
+    outs = list(terms)
+    x, prior, since, rate, chunk, part, local, end = (
+        {o: f"__{n}_{o}" for o in outs} for n in ("x", "prior", "since", "rate", "chunk", "part", "local", "end")
+    )
+    line = line.with_position("__at").map(lambda d: d.withColumns({x[o]: c.cast("double") for o, (c, _) in terms.items()}))
+    known = {o: F.col(x[o]).isNotNull() for o in outs}
+    line = line.scan(lasts={prior[o]: F.when(known[o], F.col("__at")) for o in outs}, strict=True)
+
+    def rates(d: DataFrame) -> DataFrame:
+        made = {}
+        for o, (_, a) in terms.items():
+            w = F.pow(F.lit(1.0 - a), F.col("__at") - F.col(prior[o]))
+            made[rate[o]] = F.when(known[o], F.coalesce(F.greatest(w / (w + a), F.lit(TINY)), F.lit(1.0)))
+        return d.withColumns(made)
+
+    line = line.map(rates).scan(sums={since[o]: -F.log10(F.col(rate[o])) for o in outs})
+    # rows without a value have chunks of their own, of bounded length
+    idle = -1 - F.floor(F.col("__at") / line.block)
+    line = line.map(
+        lambda d: d.withColumns(
+            {chunk[o]: F.when(known[o], F.floor(F.col(since[o]) / DECADES)).otherwise(idle).cast("long") for o in outs}
+        )
+    )
+
+    def within(d: DataFrame) -> DataFrame:
+        for o in outs:
+            w = Window.partitionBy(*line.keys, chunk[o]).orderBy("__at")
+            upto = w.rowsBetween(Window.unboundedPreceding, 0)
+            d = d.withColumn(part[o], F.sum(-F.log10(F.col(rate[o]))).over(upto))
+            share = F.when(F.col(prior[o]).isNull(), F.lit(1.0)).otherwise(1.0 - F.col(rate[o]))
+            grown = F.sum(share * F.col(x[o]) * F.pow(F.lit(10.0), F.col(part[o]))).over(upto)
+            d = d.withColumn(local[o], F.pow(F.lit(10.0), -F.col(part[o])) * grown)
+            last = F.lead(F.lit(1)).over(w).isNull()
+            d = d.withColumn(end[o], F.when(known[o] & last, F.col(local[o])))
+        return d
+
+    line = line.map(within).scan(lasts={f"__before_{o}": F.col(end[o]) for o in outs}, strict=True)
+    value = {
+        o: F.when(
+            known[o],
+            F.col(local[o]) + F.pow(F.lit(10.0), -F.col(part[o])) * F.coalesce(F.col(f"__before_{o}"), F.lit(0.0)),
+        )
+        for o in outs
+    }
+    line = line.scan(lasts=value)
+    made = [n for names in (x, prior, since, rate, chunk, part, local, end) for n in names.values()]
+    return line.map(lambda d: d.drop("__at", *made, *[f"__before_{o}" for o in outs]))
+
+
 def ewm(line: Line, terms: dict[str, tuple[Column, float]], adjust: bool = True) -> Line:
     fn = ewm_adjusted if adjust else ewm_recursive
     return line.roll(lambda d, f: fn(d, f, terms), before=ewm_reach(*[a for _, a in terms.values()]))

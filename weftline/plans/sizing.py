@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from dataclasses import dataclass
 from functools import cache
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table as Parquet in the shared folder, read back: later stages prune columns, and the past is not worked out again.
+
+    Its folder is deleted when the driver's JVM ends.
+    """
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}-{uuid4().hex}")
+    df.write.parquet(path.toString())
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.parquet(path.toString())
+
+
 def one_row(df: DataFrame, aggs: dict[str, Column]) -> dict[str, Column]:
     """Whole-table aggregates as one scalar subquery of one row: lazy, and no join."""
     if not aggs:

@@ -2,21 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.plans.sizing import one_row
 
 VALUE_COLUMNS = ("open", "high", "low", "close", "volume")
 
+# more than there are different values of a bigint, so that ids never reach into the moments
+IDS = 2 * 10**19
+LEAST_ID = -(2**63)
+
+
+def micros(events: DataFrame, ts: str = "ts") -> Column:
+    """Microseconds of a time, in its own order whatever the session's zone."""
+    if dict(events.dtypes)[ts] == "timestamp":
+        return F.unix_micros(ts)
+    seconds = F.unix_date(F.to_date(ts)) * F.lit(86_400) + F.hour(ts) * 3_600 + F.minute(ts) * 60
+    return seconds.cast("long") * 1_000_000 + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+
 
 def bars(events: DataFrame, ticker: str = "event_type", width: str = "1 hour") -> DataFrame:
     """Open, high, low, close and volume per ticker and time step.
 
-    One aggregate with map-side combine; the first and last value of a step
-    follow (ts, event_id), so the result does not depend on row order.
+    One hash aggregate with map-side combine; the first and last value of a step
+    follow (ts, event_id), so the result does not depend on row order.  The two
+    are packed into one decimal: a struct would ask for sorted rows instead.
     """
-    moment = F.struct("ts", "event_id")
+    at = micros(events).cast("decimal(19,0)") * F.lit(str(IDS)).cast("decimal(20,0)")
+    moment = (at + F.coalesce(F.col("event_id").cast("decimal(19,0)"), F.lit(str(LEAST_ID)).cast("decimal(19,0)"))).cast("decimal(38,0)")
     size = F.get_json_object("props", "$.k").cast("double")
     return (
         events.filter(F.col(ticker).isNotNull())
