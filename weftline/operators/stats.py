@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.plans.joining import join_null_safe
 from weftline.plans.quantile import quantiles
-from weftline.plans.sizing import one_row
+from weftline.plans.sizing import GroupSizes, one_row
 
 STATS: dict[str, Callable[[Column], Column]] = {
     "sum": lambda c: F.coalesce(F.sum(c), F.lit(0)),
@@ -100,15 +100,15 @@ QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, std, min, exact quartiles and max: one row per column."""
-    long = _long(df, columns)
-    basic = long.groupBy("column").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    return basic.join(quantiles(long, ["column"], "value", QUARTILES), "column")
+    cells = []
+    for c in columns:
+        v = F.col(c).cast("double")
+        made = {"count": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v)}
+        cells.append(F.struct(F.lit(c).alias("column"), *[x.alias(n) for n, x in made.items()]))
+    basic = df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+    rows = df.count()
+    sizes = GroupSizes(rows * len(columns), len(columns), rows)
+    return basic.join(quantiles(_long(df, columns), ["column"], "value", QUARTILES, sizes=sizes), "column")
 
 
 def describe_object(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -19,15 +19,16 @@ def quantiles(
     value: str,
     wanted: dict[str, float],
     limit: int | None = None,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
-    """One row per group of ``keys`` with the ``wanted`` quantiles of ``value``.
+    """One row per group of ``keys`` with the ``wanted`` quantiles of ``value``; known ``sizes`` (upper bounds do) save the check.
 
     ``percentile`` keeps all distinct values of a group in one task, so it is
     used only while the largest group fits one.
     """
     limit = limit or rows_per_task(df.sparkSession)
     df = df.select(*keys, F.col(value).cast("double").alias("__v"))
-    sizes = group_sizes(df, keys)
+    sizes = sizes or group_sizes(df, keys)
     if sizes.largest <= limit:
         # one call for all quantiles: one sorted buffer per group
         found = df.groupBy(*keys).agg(F.percentile("__v", F.array(*[F.lit(q) for q in wanted.values()])).alias("__q"))
