@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,7 @@ HEADLINE = (
     "merge_left", "merge_outer", "align", "arith_frames", "group_agg", "group_transform", "describe_numeric",
     "box_stats", "pivot_table_multi", "melt", "interpolate", "standardize", "str_replace_regex", "html_list_items",
     "message_decode", "path_forecast", "budget_allocate", "feature_frame", "feature_frame_grouped",
+    "ml_forest", "ml_forest_per_ticker",
 )
 
 
@@ -75,6 +77,7 @@ def main() -> None:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="weftline-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

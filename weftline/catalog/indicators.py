@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from weftline.catalog.registry import NUMBERED, OVER, bar_line, guarded, query, rounded, rs
+from weftline.catalog.registry import NUMBERED, OVER, bar_line, guarded, query, rounded, rs, split_line
 from weftline.operators import decide
 from weftline.operators import indicators as I
 
@@ -213,6 +213,11 @@ def _(spark, sf):
     return rounded(I.feature_frame(bar_line(spark, sf)))
 
 
+@query("feature_frame_blocks", FEATURE_SQL)
+def _(spark, sf):
+    return rounded(I.feature_frame(split_line(spark, sf)))
+
+
 GROUPED_SQL = f"""WITH RECURSIVE {NUMBERED}, {", ".join(PARTS[p][1] for p in GROUPED_PARTS)},
     every AS (SELECT *, CAST(coalesce(lead(close, 5) {OVER} > close, false) AS INTEGER) AS target FROM b {joined(GROUPED_PARTS)})
     SELECT ticker, bar_ts, {rs([*VALUES, "bb_mid", *I.GROUPED_FEATURES])}, target FROM every WHERE {known(I.GROUPED_FEATURES)}"""

@@ -51,6 +51,40 @@ def _(spark, sf):
     return got.select("ticker", "bar_ts", F.col("wild_probability").between(0.0, 1.0).alias("in_range"), agrees.alias("agrees"))
 
 
+def regime_part(x, k):
+    return f"ln(share{k}) - ln(var{k}) / 2 - ({x} - mean{k}) ** 2 / (2 * var{k})"
+
+
+def upper_part(x):
+    return f"1 / (1 + exp({regime_part(x, 0)} - ({regime_part(x, 1)})))"
+
+
+REGIME_ROUNDS = 20
+
+
+@query(
+    "vol_regime_per_series",
+    f"""WITH RECURSIVE {RETURNS}, v AS (
+      SELECT ticker, bar_ts, log_ret, stddev_samp(log_ret) {last_rows(paths.VOL_ROWS)} AS vol FROM lr
+      QUALIFY count(log_ret) {last_rows(paths.VOL_ROWS)} = {paths.VOL_ROWS}),
+    fit AS (
+      SELECT 0 AS round, ticker, 0.5::DOUBLE AS share0, 0.5::DOUBLE AS share1, avg(vol) - stddev_pop(vol) AS mean0,
+             avg(vol) + stddev_pop(vol) AS mean1, var_pop(vol) + 1e-6 AS var0, var_pop(vol) + 1e-6 AS var1 FROM v GROUP BY ticker
+      UNION ALL
+      SELECT round + 1, ticker, sum(1 - p) / count(*), sum(p) / count(*), sum((1 - p) * vol) / sum(1 - p), sum(p * vol) / sum(p),
+             greatest(sum((1 - p) * vol * vol) / sum(1 - p) - (sum((1 - p) * vol) / sum(1 - p)) ** 2, 0) + 1e-6,
+             greatest(sum(p * vol * vol) / sum(p) - (sum(p * vol) / sum(p)) ** 2, 0) + 1e-6
+      FROM (SELECT fit.*, vol, {upper_part("vol")} AS p FROM fit JOIN v USING (ticker) WHERE round < {REGIME_ROUNDS})
+      GROUP BY round, ticker)
+    SELECT ticker, bar_ts, {r("CASE WHEN mean1 >= mean0 THEN p ELSE 1 - p END", "wild_probability", 4)},
+           CAST((CASE WHEN mean1 >= mean0 THEN p ELSE 1 - p END) > 0.5 AS INTEGER) AS regime
+    FROM (SELECT ticker, bar_ts, mean0, mean1, {upper_part("log_ret")} AS p FROM v JOIN fit USING (ticker) WHERE round = {REGIME_ROUNDS})""",
+)
+def _(spark, sf):
+    got = paths.vol_regime_per_key(return_line(spark, sf), rounds=REGIME_ROUNDS)
+    return rounded(got.select("ticker", "bar_ts", "wild_probability", "regime"), 4)
+
+
 STEPS = """st AS (SELECT user_id AS path_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step,
                         value AS price FROM events),
 sl AS (SELECT path_id, regr_slope(price, step) AS slope FROM st GROUP BY 1)"""
@@ -103,6 +137,30 @@ def _(spark, sf):
     return rounded(paths.composite_signal(vol, strengths, ["ticker"]))
 
 
+@query(
+    "trend_score",
+    f"""WITH {RETURNS}, k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY bar_ts DESC) AS back FROM lr),
+    v AS (SELECT ticker, stddev_samp(log_ret) FILTER (back <= 21) AS vol FROM k GROUP BY 1),
+    st AS (SELECT event_type AS ticker, user_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) - 1 AS step,
+                  value FROM events),
+    sl AS (SELECT ticker, h, user_id, regr_slope(value, step) AS slope FROM st JOIN (VALUES (5), (10), (21)) x(h) ON step <= h GROUP BY 1, 2, 3),
+    f AS (SELECT ticker, {", ".join(f"tanh(10 * avg(slope) FILTER (h = {h})) AS s_{h}" for h in (5, 10, 21))} FROM sl GROUP BY 1),
+    w AS (SELECT *, exp(-5 / (vol * 100)) AS x5, exp(-10 / (vol * 100)) AS x10, exp(-21 / (vol * 100)) AS x21 FROM v JOIN f USING (ticker))
+    SELECT ticker, {r("vol")}, {rs({f"w_{h}": f"x{h} / (x5 + x10 + x21)" for h in (5, 10, 21)})},
+           {r("greatest(-1, least(1, (x5 * s_5 + x10 * s_10 + x21 * s_21) / (x5 + x10 + x21)))", "signal")} FROM w""",
+)
+def _(spark, sf):
+    """The slope strength of each horizon (a path: the first values of a user), weighted by recent volatility."""
+    vol = paths.recent_vol(return_line(spark, sf).result().select("ticker", "bar_ts", "log_ret"), ["ticker"], ["bar_ts"])
+    e = table(spark, sf, "events").select(F.col("event_type").alias("ticker"), "user_id", "ts", "event_id", "value")
+    steps = Line.of(e, ["ticker", "user_id"], ["ts", "event_id"]).with_position("step").result()
+    reached = F.filter(F.lit(list(paths.HORIZONS)), lambda h: F.col("step") <= h)
+    slopes = paths.path_slope(steps.withColumn("h", F.explode(reached)), "user_id", "step", "value", ["ticker", "h"])
+    strength = paths.path_forecast(slopes, ["ticker", "h"])
+    wide = [F.max(F.when(F.col("h") == h, F.col("trend_strength"))).alias(f"s_{h}") for h in paths.HORIZONS]
+    return rounded(paths.composite_signal(vol, strength.groupBy("ticker").agg(*wide), ["ticker"]))
+
+
 # -- classifiers ---------------------------------------------------------------
 
 
@@ -204,6 +262,28 @@ def _(spark, sf):
     return rounded(decide.importance_rank(p, ["p_size", "p_retailprice", "p_partkey"], 2))
 
 
+SEQUENCE = {**{f"first_{c}": (c, 60) for c in I.FEATURES}, **{f"last_{c}": (c, 1) for c in I.FEATURES}}
+
+
+@query(
+    "sequence_features",
+    f"""WITH x AS ({FEATURE_SQL}), n AS (
+      SELECT *, row_number() {OVER} - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n, lag(up_next) {OVER} AS sequence_label,
+             {", ".join(f"lag({c}, {back}) {OVER} AS {name}" for name, (c, back) in SEQUENCE.items())} FROM x)
+    SELECT ticker, bar_ts, CASE WHEN i - 1 < floor(0.8 * n) THEN 'train' ELSE 'test' END AS part, sequence_label,
+           60 AS steps, {len(I.FEATURES)} AS width, {", ".join(SEQUENCE)} FROM n WHERE i >= 60""",
+)
+def _(spark, sf):
+    """Sequences of 60 rows of all features; a sequence is in the part in which the row of its label stands."""
+    frame = written(rounded(I.feature_frame(bar_line(spark, sf))), "sequence-features")
+    line = S.split_by_time(Line.of(frame, "ticker", "bar_ts"))
+    line = line.roll(lambda d, f: d.withColumn("part", S.shift(F.col("part"), 1, f)), before=1)
+    s = F.col("sequence")
+    places = {name: s[60 - back][I.FEATURES.index(c)].alias(name) for name, (c, back) in SEQUENCE.items()}
+    seq = S.sequence_windows(line, list(I.FEATURES), "up_next").result()
+    return seq.select("ticker", "bar_ts", "part", "sequence_label", F.size(s).alias("steps"), F.size(s[0]).alias("width"), *places.values())
+
+
 # -- decisions -------------------------------------------------------------------
 
 CHANCES = f"""{BARS},

@@ -18,10 +18,6 @@ ORACLES: dict[str, str] = {}
 
 DIGITS = 6
 
-# The event types that serve as tickers.
-TICKERS = ("click", "error", "purchase", "signup", "view")
-
-
 def query(key: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         if key in QUERIES:
@@ -50,6 +46,11 @@ def bar_line(spark: SparkSession, sf: str) -> Line:
     return Line.of(bars(spark, sf), "ticker", "bar_ts")
 
 
+def split_line(spark: SparkSession, sf: str) -> Line:
+    """Bars in blocks of 300 rows: the plan of a key that fits no task, with the rows of the other plan."""
+    return Line.of(bars(spark, sf), "ticker", "bar_ts", limit=300)
+
+
 def grid_line(spark: SparkSession, sf: str) -> Line:
     return Line.of(grid(spark, sf), "ticker", "bar_ts")
 

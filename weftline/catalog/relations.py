@@ -100,8 +100,7 @@ def pair(spark, sf):
     UNION ALL SELECT 'right', id, NULL, s.b, c FROM p FULL JOIN s USING (id)""",
 )
 def _(spark, sf):
-    left, right = labelled.align(*pair(spark, sf), "id")
-    return left.select(F.lit("left").alias("side"), "*").unionByName(right.select(F.lit("right").alias("side"), "*"))
+    return labelled.align_long(*pair(spark, sf), "id")
 
 
 @query(
@@ -111,8 +110,7 @@ def _(spark, sf):
     UNION ALL SELECT 'right', id, s.b FROM p JOIN s USING (id)""",
 )
 def _(spark, sf):
-    left, right = labelled.align(*pair(spark, sf), "id", join="inner")
-    return left.select(F.lit("left").alias("side"), "*").unionByName(right.select(F.lit("right").alias("side"), "*"))
+    return labelled.align_long(*pair(spark, sf), "id", join="inner")
 
 
 @query(
@@ -180,10 +178,8 @@ def _(spark, sf):
 
     s = per("supplier", F.col("s_nationkey"), "s_acctbal")
     c = per("customer", F.col("c_nationkey") + 3, "c_acctbal")
-    div = labelled.binary(s, c, "rdiv", "n", fill=1).toDF("n", "k_rdiv", "v_rdiv")
-    add = labelled.binary(s, c, "add", "n").select("n", F.col("v").alias("v_add"))
-    sub = labelled.binary(s, c, "rsub", "n").select("n", F.col("v").alias("v_rsub"))
-    out = div.join(add, "n").join(sub, "n")
+    wanted = [("v", "rdiv", 1), ("k", "rdiv", 1), ("v", "add", None), ("v", "rsub", None)]
+    out = labelled.binary_many(s, c, wanted, "n")
     return rounded(rounded(out, 6, ["k_rdiv", "v_rdiv"]), 3, ["v_add", "v_rsub"])
 
 

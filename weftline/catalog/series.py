@@ -15,6 +15,8 @@ from weftline.catalog.registry import (
     rounded,
     rs,
     table,
+    ORACLES,
+    split_line,
 )
 from weftline.catalog.registry import GRID as GRID_SQL
 from weftline.operators import indicators as I
@@ -203,6 +205,12 @@ def _(spark, sf):
     return rounded(line.map(lambda d: d.drop(*VALUES)).result())
 
 
+@query("linear_recurrence_blocks", ORACLES["linear_recurrence"])
+def _(spark, sf):
+    line = S.linear_recurrence(split_line(spark, sf), {"y": (F.col("close"), 2 / 3)})
+    return rounded(line.map(lambda d: d.drop(*VALUES)).result())
+
+
 @query(
     "sequence_windows",
     f"""WITH {BARS}, n AS (

@@ -1,22 +1,15 @@
 """Sources and sinks."""
 
-import os
-import uuid
-
 from pyspark.sql import functions as F
 
-from weftline.catalog.registry import BARS, TICKERS, bars, grid, query, rounded, rs, table
+from weftline.catalog.registry import BARS, bars, grid, query, rounded, rs, table
 from weftline.catalog.registry import GRID as GRID_SQL
-from weftline.plans.sizing import shared_folder
+from weftline.plans.sizing import scratch
 from weftline.sources import files, frames, html
 
 VALUES = ["open", "high", "low", "close", "volume"]
 
 
-def scratch(spark, name):
-    return os.path.join(shared_folder(spark), "weftline-scratch", f"{name}-{uuid.uuid4().hex}")
-
-
 @query("bars", f"WITH {BARS} SELECT ticker, bar_ts, {rs(VALUES)} FROM bars")
 def _(spark, sf):
     return rounded(bars(spark, sf))
@@ -71,6 +64,30 @@ def _(spark, sf):
     return files.scan_csv(spark, path, schema, na_values=["Not Known", "BUILDING"])
 
 
+@query(
+    "scan_csv_raw",
+    """SELECT c_custkey, CASE WHEN c_nationkey = 7 THEN '' WHEN c_nationkey = 8 THEN 'NA' ELSE c_nationkey::VARCHAR END AS nation
+       FROM customer""",
+)
+def _(spark, sf):
+    """Chosen columns, every cell as it is written: empty ones stay empty, and no token is missing."""
+    path = scratch(spark, "customer-csv")
+    nation = F.when(F.col("c_nationkey") == 7, "").when(F.col("c_nationkey") == 8, "NA").otherwise(F.col("c_nationkey").cast("string"))
+    told = table(spark, sf, "customer").select("c_custkey", "c_name", nation.alias("nation"))
+    told.write.option("header", True).csv(path)
+    schema = "c_custkey long, c_name string, nation string"
+    return files.scan_csv(spark, path, schema, columns=["c_custkey", "nation"], na_values=["NA"], na_filter=False)
+
+
+@query("scan_csv_nrows", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_custkey LIMIT 70")
+def _(spark, sf):
+    """The first rows in the order of the files."""
+    path = scratch(spark, "customer-csv")
+    table(spark, sf, "customer").orderBy("c_custkey").write.option("header", True).csv(path)
+    schema = ", ".join(f"{c} {t}" for c, t in table(spark, sf, "customer").dtypes)
+    return files.scan_csv(spark, path, schema, columns=["c_custkey", "c_acctbal"], nrows=70)
+
+
 @query(
     "html_tables",
     """
@@ -129,8 +146,15 @@ def _(spark, sf):
     return frames.constant(found, 4, "four")
 
 
-@query("ticker_union", f"WITH {BARS} SELECT ticker, ticker AS source, bar_ts, {rs(VALUES)} FROM bars")
+@query(
+    "ticker_union",
+    f"""WITH {BARS} SELECT 'event_type' AS source, ticker, bar_ts, {rs(VALUES)} FROM bars
+    UNION ALL SELECT 'user_id', CAST(user_id AS VARCHAR), date_trunc('hour', ts), {", ".join(f"round({c}, 6) + 0.0" for c in (
+        "first(value ORDER BY ts, event_id)", "max(value)", "min(value)", "last(value ORDER BY ts, event_id)",
+        "sum(CAST(props->>'$.k' AS DOUBLE))"))}
+    FROM events WHERE user_id IS NOT NULL GROUP BY 2, 3""",
+)
 def _(spark, sf):
-    b = bars(spark, sf)
-    parts = {t: b.filter(F.col("ticker") == t) for t in (*TICKERS, "absent")}
-    return rounded(files.union_keyed(parts, "source"))
+    """Every input of a dictionary under its name; the empty one vanishes."""
+    parts = {by: bars(spark, sf, ticker=by) for by in ("event_type", "user_id")}
+    return rounded(files.union_keyed({**parts, "absent": parts["user_id"].limit(0)}, "source"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.plans.joining import join_null_safe, outer_join, without_partner
+from weftline.plans.joining import join_null_safe, left_join, outer_join, without_partner
 from weftline.plans.sizing import one_row
 
 
@@ -58,7 +58,7 @@ def label_list(df: DataFrame, key: str, labels: Sequence) -> DataFrame:
 def reindex_rows(df: DataFrame, key: str, labels: Sequence | DataFrame, fill=None) -> DataFrame:
     """One row per asked label, in list order (``label_order``); an absent label is null or ``fill``."""
     wanted = labels if isinstance(labels, DataFrame) else label_list(df, key, labels)
-    out = wanted.join(df.withColumn("__here", F.lit(True)), key, "left")
+    out = left_join(wanted, df.withColumn("__here", F.lit(True)), key)
     if fill is not None:
         cells = [c for c in df.columns if c != key]
         absent = F.col("__here").isNull()
@@ -90,6 +90,18 @@ def align(left: DataFrame, right: DataFrame, key: str, join: str = "outer") -> t
     )
 
 
+def align_long(left: DataFrame, right: DataFrame, key: str, join: str = "outer") -> DataFrame:
+    """Both aligned tables under each other, named in ``side``: one join for the two."""
+    pair, columns = _side_by_side(left, right, key, join)
+    rows = F.array(
+        *[
+            F.struct(F.lit(name).alias("side"), *[F.col(f"__{tag}_{c}").alias(c) for c in columns])
+            for name, tag in (("left", "l"), ("right", "r"))
+        ]
+    )
+    return pair.select(key, F.inline(rows)).select("side", key, *columns)
+
+
 def _keys(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
@@ -159,15 +171,21 @@ def binary(left: DataFrame, other: DataFrame | dict | int | float, op: str, key:
     if axis == "rows":
         return arith_col_series(left, other, op, key)
     pair, columns = _side_by_side(left, other, key, "outer")
+    return pair.select(key, *[_cell(fn, c, fill).alias(c) for c in columns])
+
 
-    def cell(c):
-        a, b = F.col(f"__l_{c}"), F.col(f"__r_{c}")
-        if fill is not None:
-            known = a.isNotNull() | b.isNotNull()
-            return F.when(known, fn(F.coalesce(a, F.lit(fill)), F.coalesce(b, F.lit(fill))))
+def _cell(fn: Callable[[Column, Column], Column], c: str, fill) -> Column:
+    a, b = F.col(f"__l_{c}"), F.col(f"__r_{c}")
+    if fill is None:
         return fn(a, b)
+    known = a.isNotNull() | b.isNotNull()
+    return F.when(known, fn(F.coalesce(a, F.lit(fill)), F.coalesce(b, F.lit(fill))))
+
 
-    return pair.select(key, *[cell(c).alias(c) for c in columns])
+def binary_many(left: DataFrame, other: DataFrame, wanted: Sequence[tuple[str, str, object]], key: str) -> DataFrame:
+    """Several operations ``(column, op, fill)`` from one join, as ``<column>_<op>``."""
+    pair, _ = _side_by_side(left, other, key, "outer")
+    return pair.select(key, *[_cell(_operation(op), c, fill).alias(f"{c}_{op}") for c, op, fill in wanted])
 
 
 def arith_row_series(df: DataFrame, row: dict[str, Column | int | float], op: str, key: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from weftline.plans.sizing import checkpointed
+from weftline.plans.sizing import written
 
 # Model sizes and seed.
 TREES = 100
@@ -81,10 +81,12 @@ def forest_per_key(
 ) -> DataFrame:
     """One forest for each of the named keys, scored on that key's rows.
 
-    The loop runs over the keys the caller names; every fit is a Spark job over
-    that key's rows.  The rows are read twice per key, so they are written once.
+    The loop runs over the keys the caller names (a model is an object of the
+    driver, so name some hundreds, not millions); every fit is a Spark job over
+    that key's rows.  The table is written once, in a folder per key, so a fit
+    reads its own key's files only.
     """
-    rows = checkpointed(df)
+    rows = written(df, "forest-per-key", by=key)
     scored = None
     for k in keys:
         mine = rows.filter(F.col(key) == k)

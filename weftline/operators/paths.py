@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from weftline.operators import series as S
 from weftline.operators.filters import clip
+from weftline.plans.joining import join_null_safe
 from weftline.plans.ordered import Line
 from weftline.plans.quantile import quantiles
+from weftline.plans.sizing import written
 
 # Limits and weights of the trend score.
 JUMP_DEVIATIONS = 3.0
@@ -23,6 +25,8 @@ STRENGTH_SCALE = 10.0
 HORIZONS = (5, 10, 21)
 CALM_WEIGHT, WILD_WEIGHT = 0.8, 1.5
 VOL_ROWS = 5
+RIDGE, LEAST_PART = 1e-6, 1e-9
+ROUNDS_A_JOB = 5
 
 
 def log_returns(line: Line, price: str = "close", out: str = "log_ret") -> Line:
@@ -76,6 +80,73 @@ def vol_regime(line: Line, ret: str = "log_ret", seed: int = 42, use_rolling_vol
     ).drop("x", "p", "part")
 
 
+def vol_regime_per_key(line: Line, ret: str = "log_ret", rounds: int = 20, use_rolling_vol: bool = False) -> DataFrame:
+    """``vol_regime`` with a mixture of its own for each key, all keys fitted together.
+
+    A round of expectation and maximisation is one join with a row per key and one aggregate of sums, combined before
+    the shuffle, so neither a long series nor many of them meet in one task.  The parts start one deviation below and
+    above the mean of the rolling deviation; ``RIDGE`` keeps a variance above zero, so a constant series has two equal
+    parts and is calm.
+    """
+    keys = list(line.keys)
+    line = line.roll(lambda d, f: d.withColumn("vol", S.rolling(F.col(ret), VOL_ROWS, "std", f)), before=VOL_ROWS)
+    known = written(line.result().filter(F.col("vol").isNotNull() & F.col(ret).isNotNull()), "regime-rows")
+    vol = known.select(*keys, "vol")
+    start = vol.groupBy(*keys).agg(F.avg("vol").alias("m"), F.stddev_pop("vol").alias("s"))
+    fit = start.select(
+        *keys,
+        *[F.lit(0.5).alias(f"share{k}") for k in (0, 1)],
+        (F.col("m") - F.col("s")).alias("mean0"),
+        (F.col("m") + F.col("s")).alias("mean1"),
+        *[(F.col("s") * F.col("s") + RIDGE).alias(f"var{k}") for k in (0, 1)],
+    )
+    for i in range(rounds):
+        fit = _regime_round(vol, fit, keys)
+        if (i + 1) % ROUNDS_A_JOB == 0:
+            fit = written(fit, "regime-fit")
+    judged = F.col("vol" if use_rolling_vol else ret)
+    scored = join_null_safe(known, fit, keys, "inner")
+    first = F.col("mean1") >= F.col("mean0")
+    upper = _upper_part(judged)
+    p = F.when(first, upper).otherwise(1 - upper)
+    wild = p > 0.5
+    return scored.withColumns(
+        {
+            "wild_probability": p,
+            "regime": wild.cast("int"),
+            "vol_weight": F.when(wild, WILD_WEIGHT).otherwise(CALM_WEIGHT),
+        }
+    ).drop(*[f"{n}{k}" for n in ("share", "mean", "var") for k in (0, 1)])
+
+
+def _upper_part(x: Column) -> Column:
+    """Probability of part 1 at ``x``."""
+
+    def log_density(k: int) -> Column:
+        away = x - F.col(f"mean{k}")
+        return F.log(F.col(f"share{k}")) - F.log(F.col(f"var{k}")) / 2 - away * away / (F.col(f"var{k}") * 2)
+
+    return F.lit(1.0) / (F.exp(log_density(0) - log_density(1)) + 1)
+
+
+def _regime_round(vol: DataFrame, fit: DataFrame, keys: list[str]) -> DataFrame:
+    """Shares, means and variances of both parts by the chances under the former ones; an empty part stays as it is."""
+    x, upper = F.col("vol"), F.col("upper")
+    joined = join_null_safe(vol, fit, keys, "inner").withColumn("upper", _upper_part(x))
+    sums, made = [F.count(F.lit(1)).alias("n")], []
+    for k, p in ((0, 1 - upper), (1, upper)):
+        sums += [F.sum(p).alias(f"p{k}"), F.sum(p * x).alias(f"x{k}"), F.sum(p * x * x).alias(f"xx{k}")]
+        sums += [F.any_value(f"{c}{k}").alias(f"{c}{k}") for c in ("mean", "var")]
+        size, mean = F.col(f"p{k}"), F.col(f"x{k}") / F.col(f"p{k}")
+        some = size > LEAST_PART
+        made += [
+            F.greatest(size / F.col("n"), F.lit(LEAST_PART)).alias(f"share{k}"),
+            F.when(some, mean).otherwise(F.col(f"mean{k}")).alias(f"mean{k}"),
+            F.when(some, F.greatest(F.col(f"xx{k}") / size - mean * mean, F.lit(0.0)) + RIDGE).otherwise(F.col(f"var{k}")).alias(f"var{k}"),
+        ]
+    return joined.groupBy(*keys).agg(*sums).select(*keys, *made)
+
+
 def path_slope(paths: DataFrame, path: str = "path_id", step: str = "step", price: str = "price", key: Sequence[str] = ()) -> DataFrame:
     """Least-squares slope of each path."""
     return paths.groupBy(*key, path).agg(F.regr_slope(price, step).alias("slope"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.labelled import label_list
+from weftline.plans.joining import left_join
 from weftline.plans.ordered import Line
 from weftline.plans.sizing import rows_per_task
 
@@ -64,7 +65,7 @@ def pop_col(df: DataFrame, key: Sequence[str], name: str) -> tuple[DataFrame, Da
 def assign_series(df: DataFrame, key: str, series: DataFrame, name: str, value: str) -> DataFrame:
     """New column from a (key, value) series; labels it lacks are null."""
     side = series.select(F.col(key), F.col(value).alias(name))
-    return df.drop(name).join(side, key, "left")
+    return left_join(df.drop(name), side, key)
 
 
 def rename_all(df: DataFrame, fn: Callable[[str], str]) -> DataFrame:

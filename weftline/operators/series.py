@@ -24,6 +24,7 @@ AGGREGATES = {
 
 TINY = 1e-18  # share of a double that no longer changes it
 WIDEST = 200  # powers inside a chunk stay within 1e±200
+TAIL_PARTS = 64
 DECADES = 150  # decay of a chunk of values with gaps, as a power of ten; a single step has 18 at most
 
 
@@ -349,14 +350,20 @@ def target_next(line: Line, price: str = "close", k: int = 1, out: str = "target
 def tail_per_key(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """Last ``n`` rows per key.
 
-    Up to 1000 rows Spark limits each group before the shuffle; a longer tail
-    goes by exact positions so that a hot key is never sorted in one task.
+    Up to 1000 rows Spark limits each group before the shuffle.  That still
+    leaves ``n`` rows of a hot key for each map task, so its rows are limited
+    once more in ``TAIL_PARTS`` parts before they meet.  A longer tail goes by
+    exact positions, so a hot key is never sorted in one task either.
     """
     if n > 1000:
         line = Line.of(df, keys, order).with_position("__at").whole({"__n": F.count(F.lit(1))})
         return line.result().filter(F.col("__at") >= F.col("__n") - n).drop("__at", "__n")
-    w = Window.partitionBy(*keys).orderBy(*[F.desc_nulls_last(c) for c in order])
-    return df.withColumn("__back", F.row_number().over(w)).filter(F.col("__back") <= n).drop("__back")
+    latest = [F.desc_nulls_last(c) for c in order]
+    df = df.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(TAIL_PARTS)))
+    for parts in ((*keys, "__part"), tuple(keys)):
+        back = F.row_number().over(Window.partitionBy(*parts).orderBy(*latest))
+        df = df.withColumn("__back", back).filter(F.col("__back") <= n).drop("__back")
+    return df.drop("__part")
 
 
 def warm_tail(df: DataFrame, keys: list[str], order: list[str], n: int) -> tuple[DataFrame, DataFrame]:

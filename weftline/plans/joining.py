@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.plans.sizing import checkpointed, group_sizes, rows_per_task
+from weftline.plans.sizing import group_sizes, rows_per_task, written
 
 
 def _same(left: DataFrame, right: DataFrame, names: dict[str, str]) -> Column:
@@ -72,5 +72,5 @@ def outer_join_all(frames: Sequence[DataFrame], keys: str | Sequence[str]) -> Da
     for i, frame in enumerate(frames[1:], 1):
         out = outer_join(out, frame, keys)
         if i + 1 < len(frames) and not _fits(frame, keys):
-            out = checkpointed(out)
+            out = written(out, "outer-join")
     return out

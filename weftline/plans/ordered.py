@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from weftline.plans.joining import join_null_safe
 from weftline.plans.sizing import (
     GroupSizes,
-    checkpointed,
     group_sizes,
     one_row,
     rows_per_task,
+    written,
 )
 
 POS = "__pos"
@@ -170,7 +170,7 @@ class Line:
         df = df.withColumns(self._local_scan(f, src, sums, lasts, nexts, strict))
         # read twice from here on (block ends, then rows): written once, so that
         # a chain of scans does not work out its past again for every branch
-        df = checkpointed(df)
+        df = written(df, "line-scan")
         known = {o: F.when(F.col(src[o]).isNotNull(), F.col(POS)) for o in (*lasts, *nexts)}
         ends = df.groupBy(*self.keys, BLOCK).agg(
             F.count(F.lit(1)).alias("__n"),
@@ -236,10 +236,10 @@ def _place(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], cuts: i
     """Exact 0-based positions within each key without a one-task-per-key window.
 
     The range shuffle draws its bounds from a sample, so its result is written
-    to the checkpoint folder before it is read twice (counts, then rows).
+    to the shared folder before it is read twice (counts, then rows).
     """
     ranged = df.repartitionByRange(cuts, *keys, *order).withColumn(CUT, F.spark_partition_id())
-    ranged = checkpointed(ranged)
+    ranged = written(ranged, "line-cuts")
     per_cut = ranged.groupBy(*keys, CUT).agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(*keys).orderBy(CUT).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_cut.select(*keys, CUT, F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))

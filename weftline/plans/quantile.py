@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.plans.joining import join_null_safe
 from weftline.plans.ordered import Line
-from weftline.plans.sizing import GroupSizes, checkpointed, group_sizes, rows_per_task
+from weftline.plans.sizing import GroupSizes, group_sizes, rows_per_task, written
 
 BINS = 4096
 FEW_GROUPS = 10_000
@@ -49,7 +49,7 @@ def _by_bins(rows: DataFrame, keys: tuple[str, ...], wanted: dict[str, float], s
     ends = rows.groupBy(*keys).agg(*[a.alias(n) for n, a in stats.items()])
     counts = _in_bins(rows, ends, keys, sizes).groupBy(*keys, "__bin", *stats).agg(F.count(F.lit(1)).alias("__c"))
     # at most one row per group and bin, read twice below
-    counts = checkpointed(counts)
+    counts = written(counts, "quantile-bins")
 
     along = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     picks = counts.withColumn("__before", F.coalesce(F.sum("__c").over(along), F.lit(0)))

@@ -61,25 +61,27 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="weftline-")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder: a lost executor does not bring the old plan back."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The table as Parquet in the shared folder, read back: later stages prune columns, and the past is not worked out again.
-
-    Its folder is deleted when the driver's JVM ends.
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in this session's own folder below the shared one; the folder goes when the driver's JVM ends."""
+    top = f"{shared_folder(spark)}/weftline-{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return f"{top}/{name}-{uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """The table as Parquet in the shared folder, read back.
+
+    Later stages prune columns, the past is not worked out again, and a lost executor costs a read.  ``by`` becomes
+    folders, so that a filter on it reads only its own files.
     """
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}-{uuid4().hex}")
-    df.write.parquet(path.toString())
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.parquet(path.toString())
+    path = scratch(df.sparkSession, name)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
 
 
 def one_row(df: DataFrame, aggs: dict[str, Column]) -> dict[str, Column]:

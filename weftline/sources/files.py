@@ -80,7 +80,9 @@ def scan_csv(
     Cells are read as text, tokens become null, and then the schema is applied;
     a token in a number column would otherwise hide behind a failed cast.
     Without a schema the columns stay text.  ``na_filter=False`` keeps every
-    cell, empty ones included, as it is written.
+    cell, empty ones included, as it is written.  ``nrows`` takes the first rows
+    in the order of file name and place in the file: an ordered limit, combined
+    before its shuffle.
     """
     reader = spark.read.option("header", header).option("inferSchema", False)
     if isinstance(schema, str):
@@ -89,19 +91,27 @@ def scan_csv(
         text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
         reader = reader.schema(text)
     df = reader.csv(path)
+    place = []
+    if nrows is not None:
+        place = ["__file", "__block", "__row"]
+        at = (F.input_file_name(), F.input_file_block_start(), F.monotonically_increasing_id())
+        df = df.withColumns(dict(zip(place, at, strict=True)))
     if columns is not None:
-        df = df.select(*columns)
+        df = df.select(*columns, *place)
     types = {f.name: f.dataType for f in schema.fields} if schema is not None else {}
     out = []
     for c in df.columns:
         cell = F.col(c)
+        if c in place:
+            out.append(cell)
+            continue
         if na_filter and na_values:
             cell = F.when(~cell.isin(na_values), cell)
         if not na_filter and dict(df.dtypes)[c] == "string":
             cell = F.coalesce(cell, F.lit(""))
         out.append((cell.cast(types[c]) if c in types else cell).alias(c))
     df = df.select(*out)
-    return df.limit(nrows) if nrows is not None else df
+    return df.orderBy(*place).limit(nrows).drop(*place) if nrows is not None else df
 
 
 def union_keyed(inputs: dict[str, DataFrame], key: str) -> DataFrame:
