@@ -14,6 +14,7 @@ from weftline.operators import (
     groups,
     joins,
     labelled,
+    paths,
     reshape,
     select,
     stats,
@@ -292,3 +293,56 @@ def test_fill_and_flex(spark):
 def test_clip_keeps_null(spark):
     df = spark.createDataFrame([(5.0,), (-5.0,), (None,)], "x double")
     assert [r[0] for r in rows(df.select(filters.clip(F.col("x"), -1.0, 1.0)))] == [1.0, -1.0, None]
+
+
+def test_null_labels_find_each_other(spark):
+    df = spark.createDataFrame([(None, 1), ("a", 2), ("b", 3)], "k string, v int")
+    side = spark.createDataFrame([(None, 7), ("a", 8)], "k string, w int")
+    got = select.assign_series(df, "k", side, "x", "w")
+    assert sorted(rows(got), key=str) == [("a", 2, 8), ("b", 3, None), (None, 1, 7)]
+    wanted = spark.createDataFrame([(None,), ("z",)], "k string")
+    assert sorted(rows(labelled.reindex_rows(df, "k", wanted)), key=str) == [("z", None), (None, 1)]
+
+
+def test_several_operations_from_one_join(spark):
+    a = spark.createDataFrame([(1, 6.0), (2, 8.0)], "k int, v double")
+    b = spark.createDataFrame([(2, 4.0), (3, 5.0)], "k int, v double")
+    got = labelled.binary_many(a, b, [("v", "sub", None), ("v", "rdiv", 1)], "k")
+    assert rows(got, "k") == [(1, None, 1 / 6), (2, 4.0, 0.5), (3, None, 5.0)]
+    left, right = labelled.align(a, b, "k")
+    long = labelled.align_long(a, b, "k")
+    for side, df in (("left", left), ("right", right)):
+        assert rows(long.filter(F.col("side") == side).drop("side"), "k") == rows(df, "k")
+
+
+def test_first_rows_of_files(spark, tmp_path):
+    for i, n in enumerate((3, 40, 2)):
+        lines = ["a,b", *[f"{i}{j:02},{'' if j else 'NA'}" for j in range(n)]]
+        (tmp_path / f"part-{i}.csv").write_text("\n".join(lines) + "\n")
+    got = files.scan_csv(spark, str(tmp_path), "a string, b string", na_values=["NA"], nrows=5)
+    assert rows(got, "a") == [("000", None), ("001", None), ("002", None), ("100", None), ("101", None)]
+    raw = files.scan_csv(spark, str(tmp_path), "a string, b string", columns=["b"], na_values=["NA"], na_filter=False, nrows=2)
+    assert rows(raw, "b") == [("",), ("NA",)]
+
+
+def test_long_tail_of_a_hot_key(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 9 > 0, "hot").alias("k"), F.col("id").alias("t"))
+    got = rows(S.tail_per_key(df, ["k"], ["t"], 3), "k", "t")
+    assert got == [(None, 4977), (None, 4986), (None, 4995), ("hot", 4997), ("hot", 4998), ("hot", 4999)]
+
+
+def test_regimes_of_each_series(spark):
+    calm, wild = [0.01, -0.012, 0.009, -0.011] * 15, [0.3, -0.35, 0.28, -0.31] * 15
+    data = [(k, i, x * scale) for k, scale in (("a", 1.0), (None, 0.01)) for i, x in enumerate(calm + wild)]
+    data += [("flat", i, 0.0) for i in range(30)]
+    df = spark.createDataFrame(data, "k string, t int, log_ret double")
+    got = [
+        rows(paths.vol_regime_per_key(Line.of(df, "k", "t", limit), use_rolling_vol=True).select("k", "t", "regime"), "k", "t")
+        for limit in (None, 20)
+    ]
+    assert got[0] == got[1]
+    regime = {(k, t): x for k, t, x in got[0]}
+    assert [regime["a", t] for t in (20, 50, 70, 110)] == [0, 0, 1, 1]
+    assert [regime["flat", t] for t in (10, 25)] == [0, 0]
+    empty = paths.vol_regime_per_key(Line.of(df.limit(0), "k", "t"))
+    assert empty.count() == 0
