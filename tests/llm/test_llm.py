@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 
 import corpus_pipeline  # noqa: E402
 from weftline.llm import decontaminate, linecrf, mixing, neardup, pu, repeats, sharding, substrings, suffixarray, toxicity, warc  # noqa: E402
-from weftline.llm.components import components  # noqa: E402
+from weftline.llm.components import _print, components  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -160,6 +160,12 @@ def test_components(spark):
     assert got == {2: 1, 3: 1, 20: 1, 8: 7, 9: 7} | {k: 300 for k in range(301, 501)}
 
 
+def test_checksum_of_very_many_links(spark):
+    links = spark.range(17_500_000).selectExpr("id + 1 AS hi", "0L AS lo")  # a sum of 40-bit hashes overflows here
+    assert _print(links)[0] == 17_500_000
+    assert _print(links.filter("hi != 5")) != _print(links.filter("hi != 6"))
+
+
 def window_hits(rows, items):
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
