@@ -154,6 +154,39 @@ def test_cross_links_inside_blocks():
     assert out.num_rows == 5  # one link fewer than members
 
 
+def test_crowded_bands(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    own = lambda k: [f"u{k}" for k in rng.integers(0, 2**40, k)]
+    passage, parts = own(70), [own(20) for _ in range(10)]
+    rows = [passage + own(40) for _ in range(800)]  # far from each other, with the same band keys
+    for k in range(0, 200, 5):  # near copies that aren't linked to the smallest id of a band
+        rows.append(rows[k][:-6] + own(6))
+    rows += [sum((parts[j] for j in rng.permutation(10)[:5]), []) for _ in range(200)]  # no shingle of theirs is rare
+    rows += [passage + rows[1000][:30] + own(4) for _ in range(60)]  # one component larger than a block
+    order = rng.permutation(len(rows))
+    rows = [(int(d), " ".join(rows[k])) for d, k in enumerate(order)]
+    most = 45
+    plain_step = neardup.across
+
+    def bounded(percent):
+        step = plain_step(percent)
+
+        def work(key, members):
+            assert members.num_rows <= most, f"{members.num_rows} rows in one group"
+            return step(key, members)
+
+        return work
+
+    monkeypatch.setattr(neardup, "BLOCK", 10)
+    monkeypatch.setattr(neardup, "across", bounded)
+    want = linked(rows)
+    got = plain(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert len(got) == len(rows) and len(set(want.values())) < len(rows) - 80
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 7), (20, 3), (3, 1)] + [(k, 500) for k in range(300, 500)]
     got = {r["node"]: r["component"] for r in plain(components(spark.createDataFrame(links, "a long, b long")))}

@@ -18,6 +18,12 @@ can't change the result: a band gives fewer links than it has members, never its
 full sets as well.  A large band is cut into blocks of members, and only the members outside of the largest component
 are copied to each, so no group is gathered and no component is paired with itself.
 
+Crowded bands: where more members than a block holds are outside of the largest component (many documents with one long
+passage in common), copies would grow with the square.  The documents of such bands meet by rare shingles instead: with
+the shingles of all of them in one order, the rarest first, two sets at the threshold have a shingle in common among the
+first (100 - percent) % of each, plus one.  This is exact, and a passage that all of them hold comes last, so most
+documents meet nobody.  A shingle that still has more such members than a block is cut into pairs of tiles.
+
 Cases: null or empty text has no shingles, is linked with nothing and kept; rows with equal ids count as one document
 (their links join, and they are kept or dropped together); a null id is linked with nothing, has a null component and
 is kept; further columns are left alone.
@@ -29,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import LOWER, U64, _BASE, Words, grams, map_arrow, mix, pieces, texts, within, words, written
@@ -200,8 +206,9 @@ def across(percent: int):
             other = np.flatnonzero((comp != comp[s]) & ((block == 0) & (doc > doc[s]) | ~stray))
             equal = bins[other] == bins[s]
             near = equal.sum(axis=1) >= LEAST_EQUAL
-            first = equal[near].reshape(-1, BINS // ROWS, ROWS).all(axis=2).argmax(axis=1) == band
-            with_ = other[near][first]
+            with_ = other[near]
+            if band >= 0:  # a pair that meets by a shingle is not held to its first band
+                with_ = with_[equal[near].reshape(-1, BINS // ROWS, ROWS).all(axis=2).argmax(axis=1) == band]
             if not len(with_):
                 continue
             joined = np.concatenate([sets[k] for k in with_])
@@ -218,29 +225,104 @@ def across(percent: int):
     return work
 
 
+def _shingle_lists(n: int):
+    """Arrow step: each document's distinct shingles."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[dict]:
+        data, offsets = texts(batch.column("text"))
+        for i, j in pieces(offsets):
+            keys = shingles(words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], LOWER), n)
+            first = np.searchsorted(keys, np.arange(j - i + 1, dtype=U64) << U64(52))
+            values = (keys & U64((1 << 52) - 1)).astype(np.int64)
+            yield {"d": batch.column("doc_id").slice(i, j - i), "list": pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values))}
+
+    return work
+
+
+def rare_shingles(crowd: DataFrame, own: DataFrame, *, n: int, percent: int) -> DataFrame:
+    """Shingles by which the documents of ``crowd`` (doc, comp) must meet if they are links: key, band (-1), doc, comp."""
+    wanted = own.join(crowd.select("doc").hint("merge"), F.col("doc_id") == F.col("doc"), "left_semi").dropDuplicates(["doc_id"])
+    lists = written(map_arrow(wanted, _shingle_lists(n), "d long, list array<long>"), "near-shingles")
+    each = lists.select("d", F.size("list").alias("size"), F.explode("list").alias("key"))
+    shared = each.groupBy(F.col("key").alias("s")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    known = each.join(written(shared, "near-shared").hint("merge"), F.col("key") == F.col("s"))
+    doc = Window.partitionBy("d")
+    known = known.withColumn("at", F.row_number().over(doc.orderBy("n", "s"))).withColumn("some", F.count(F.lit(1)).over(doc))
+    # shingles of one document only come before all others
+    first = known.filter(F.expr(f"at + size - some <= {100 - percent} * size div 100 + 1"))
+    return first.join(crowd.hint("merge"), F.col("d") == F.col("doc")).select("key", F.lit(-1).alias("band"), "doc", "comp")
+
+
+def mixed_groups(labelled: DataFrame) -> DataFrame:
+    """Groups (``labelled``: key, doc, comp) of several components: k, size, strays, the largest component ``main``, and a
+    print of the members."""
+    parts = labelled.groupBy("key", "comp").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y")
+    )
+    groups = parts.groupBy(F.col("key").alias("k")).agg(
+        F.count(F.lit(1)).alias("parts"),
+        F.sum("n").alias("size"),
+        (F.sum("n") - F.max("n")).alias("strays"),
+        F.max_by("comp", F.struct("n", "comp")).alias("main"),
+        F.bit_xor("x").alias("x"),
+        F.bit_xor("y").alias("y"),
+    )
+    return groups.filter("parts > 1").drop("parts")
+
+
+def placed(labelled: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Rows of the groups in ``mixed``, copied so that strays meet all other members in groups (key, block, tile).
+
+    Up to a block of strays: members of the main component in blocks, and the strays in each of them.  Beyond that strays
+    are cut into tiles too, and two tiles, or a tile and a block, meet at a time: of two tiles the later one stands for
+    members (not stray), a tile meets itself in block 0.  No group has more than about two blocks of rows.
+    """
+    inside = labelled.join(mixed, F.col("key") == F.col("k"))
+    inside = inside.withColumn("stray", F.col("comp") != F.col("main"))
+    own = F.xxhash64("doc")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    tiles = F.ceil(F.col("strays") / BLOCK).cast("int")
+    mains = F.ceil((F.col("size") - F.col("strays")) / BLOCK).cast("int")
+
+    def at(tile, block, stray):
+        return F.struct(tile.cast("int").alias("tile"), block.cast("int").alias("block"), stray.alias("stray"))
+
+    def against(other):
+        mine = F.pmod(own, tiles).cast("int")
+        later = at(mine, other, F.lit(True))
+        return F.when(other < mine, at(other, mine, F.lit(False))).when(other == mine, at(mine, F.lit(0), F.lit(True))).otherwise(later)
+
+    few = F.when(F.col("stray"), F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: at(F.lit(0), b, F.lit(True)))).otherwise(
+        F.array(at(F.lit(0), F.pmod(own, blocks), F.lit(False)))
+    )
+    many = F.when(F.col("stray"), F.transform(F.sequence(F.lit(0), tiles + mains - 1), against)).otherwise(
+        F.transform(F.sequence(F.lit(0), tiles - 1), lambda t: at(t, tiles + F.pmod(own, mains), F.lit(False)))
+    )
+    inside = inside.select("key", "band", "doc", "comp", F.explode(F.when(F.col("strays") <= BLOCK, few).otherwise(many)).alias("at"))
+    return inside.select("key", "band", "doc", "comp", "at.stray", "at.block", "at.tile")
+
+
 def cross_links(bands: DataFrame, comps: DataFrame, reps: DataFrame, own: DataFrame, *, n: int, percent: int) -> DataFrame:
     """Links (a, b) between different components of a band (``bands``: key, band, doc)."""
     named = comps.select(F.col("node").alias("n"), "component")
     labelled = bands.join(named, F.col("doc") == F.col("n"), "left")
     labelled = labelled.select("key", "band", "doc", F.coalesce("component", "doc").alias("comp"))
-    parts = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("key").agg(
-        F.count(F.lit(1)).alias("parts"), F.sum("n").alias("size"), F.max_by("comp", F.struct("n", "comp")).alias("main")
-    )
-    mixed = written(mixed.filter("parts > 1").select(F.col("key").alias("k"), "size", "main"), "near-mixed")
-    inside = labelled.join(mixed, F.col("key") == F.col("k"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    stray = F.col("comp") != F.col("main")
-    place = F.array(F.pmod(F.xxhash64("doc"), blocks).cast("int"))
-    every = F.sequence(F.lit(0), blocks - 1)
-    inside = inside.select("key", "band", "doc", "comp", stray.alias("stray"), F.explode(F.when(stray, every).otherwise(place)).alias("block"))
+    mixed = written(mixed_groups(labelled).drop("x", "y"), "near-mixed")
+    inside = placed(labelled, mixed.filter(F.col("strays") <= BLOCK))
+    crowded = mixed.filter(F.col("strays") > BLOCK).select("k")
+    if not crowded.isEmpty():
+        crowd = written(labelled.join(crowded, F.col("key") == F.col("k"), "left_semi").select("doc", "comp").distinct(), "near-crowd")
+        rare = written(rare_shingles(crowd, own, n=n, percent=percent), "near-rare")
+        # shingles of one passage have the same members; one of them is enough
+        some = written(mixed_groups(rare).dropDuplicates(["x", "y", "size"]), "near-mixed")
+        inside = inside.union(placed(rare, some))
     inside = written(inside, "near-inside")
     wanted = own.join(inside.select("doc").distinct(), F.col("doc_id") == F.col("doc"), "left_semi").dropDuplicates(["doc_id"])
     sets = map_arrow(wanted, _hashed_sets(n), "d long, hashes binary")
     bins = reps.select(F.col("doc_id").alias("r"), "bins").dropDuplicates(["r"])
     known = written(sets.join(bins, F.col("d") == F.col("r")).select("d", "bins", "hashes"), "near-known")
     members = inside.join(known.hint("merge"), F.col("doc") == F.col("d")).drop("d")
-    return members.groupBy("key", "block").applyInArrow(across(percent), "a long, b long").distinct()
+    return members.groupBy("key", "block", "tile", "band").applyInArrow(across(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, n: int = 4, percent: int = 80) -> DataFrame:
