@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, linecrf, mixing, neardup, pu, sharding, substrings, suffixarray, toxicity, warc
+from weftline.llm import (
+    codes,
+    decontaminate,
+    fim,
+    linecrf,
+    mixing,
+    neardup,
+    pu,
+    sharding,
+    srs,
+    substrings,
+    suffixarray,
+    toxicity,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -125,3 +139,78 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_positive_unlabelled")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return pu.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op11_sparse_index_fim", r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens,
+         sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS digest
+  FROM documents
+), h AS (
+  SELECT doc_id, text, tokens, len(tokens)::BIGINT AS n, ('0x' || digest[1:8])::BIGINT AS h1, ('0x' || digest[9:16])::BIGINT AS h2,
+         ('0x' || digest[17:24])::BIGINT AS h3, ('0x' || digest[25:32])::BIGINT AS h4
+  FROM d
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM h
+), p AS (
+  SELECT doc_id, text, n, form, coalesce(array_to_string(tokens[1:a], ''), '') AS prefix,
+         coalesce(array_to_string(tokens[a + 1:b], ''), '') AS middle, coalesce(array_to_string(tokens[b + 1:], ''), '') AS suffix
+  FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return fim.report(table(spark, sf, "documents"))
+
+
+@query("op12_stable_projections")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return srs.report(table(spark, sf, "embeddings"))
+
+
+def nearest_sql(k: int) -> str:
+    """Nearest entry of each part in the k-th codebooks; all numbers are whole, so products in doubles are exact."""
+    return f"""a{k} AS (
+  SELECT p.row, p.part,
+         min(struct_pack(d := list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, b.x) + list_inner_product(b.x, b.x), e := b.entry)) AS near
+  FROM p JOIN b{k} b USING (part) GROUP BY 1, 2)"""
+
+
+def replaced_sql(k: int, length: int) -> str:
+    return f"""s{k} AS (
+  SELECT part, near.e AS entry, i, floor(sum(x[i]) / count(*)) AS v
+  FROM a{k} JOIN p USING (row, part), range(1, {length + 1}) r(i) GROUP BY 1, 2, 3),
+b{k + 1} AS (
+  SELECT b.part, b.entry, coalesce(n.x, b.x) AS x
+  FROM b{k} b LEFT JOIN (SELECT part, entry, list(v ORDER BY i) AS x FROM s{k} GROUP BY 1, 2) n USING (part, entry))"""
+
+
+def codes_sql(rounds: int = codes.ROUNDS, length: int = 16) -> str:
+    steps = [f"{nearest_sql(k)},\n{replaced_sql(k, length)}" for k in range(rounds)]
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS row, vec_id, label,
+         list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (SELECT row, part, q[{length} * part + 1:{length} * part + {length}] AS x FROM v, range({codes.PARTS}) t(part)),
+b0 AS MATERIALIZED (SELECT part, row AS entry, x FROM p WHERE row < {codes.ENTRIES}),
+{", ".join(steps)},
+{nearest_sql(rounds)},
+c AS (SELECT row, string_agg(printf('%02x', near.e::BIGINT), '' ORDER BY part) AS code, sum(near.d)::BIGINT AS error FROM a{rounds} GROUP BY 1)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda y: y::BIGINT), ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256
+FROM c JOIN v USING (row)"""
+
+
+@query("op13_trie_codes", codes_sql())
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return codes.report(table(spark, sf, "embeddings"))
