@@ -35,11 +35,9 @@ def test_forest(spark, features):
     assert report.filter("(recommendation = 'Sell') <> (reentry_price IS NOT NULL)").count() == 0
 
 
-def test_boost_and_per_key(spark, features):
+def test_boost(spark, features):
     fitted = models.boost(features.filter("part = 'train'"), I.GROUPED_FEATURES, "target", rounds=3)
     assert fitted.score(features).filter("probability NOT BETWEEN 0 AND 1").count() == 0
-    two = models.forest_per_key(features, "ticker", ["click", "view"], ("rsi", "atr"), "target")
-    assert two.select("ticker").distinct().count() == 2
 
 
 def test_regime(spark):

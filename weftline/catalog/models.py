@@ -1,16 +1,16 @@
 """Return statistics, paths, classifiers and decisions."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from weftline.catalog import tree_sql
 from weftline.catalog.indicators import FEATURE_SQL, GROUPED_SQL
 from weftline.catalog.registry import BARS, NUMBERED, OVER, bar_line, bars, last_rows, query, r, rounded, rs, table
 from weftline.catalog.series import LOG_RET
-from weftline.operators import decide, models, paths
+from weftline.operators import decide, paths, trees
 from weftline.operators import indicators as I
 from weftline.operators import series as S
 from weftline.plans.ordered import Line
-from weftline.plans.sizing import one_row, written
+from weftline.plans.sizing import written
 
 VALUES = ("open", "high", "low", "close", "volume")
 RETURNS = f"{BARS}, lr AS (SELECT ticker, bar_ts, {LOG_RET} AS log_ret FROM bars)"
@@ -164,74 +164,143 @@ def _(spark, sf):
 # -- classifiers ---------------------------------------------------------------
 
 
+ROW_KEY = ["ticker", "bar_ts"]
+NUMBER = "('0x' || substr(md5(ticker || '|' || CAST(bar_ts AS VARCHAR)), 1, 8))::BIGINT"
+BOOST_ROUNDS, BOOST_DEPTH = 5, 3
+
+
 def grouped_features(spark, sf):
-    d = I.feature_frame_grouped(bar_line(spark, sf))
+    """Rounded features of all tickers, a fifth of the rows by hash as test part."""
+    d = rounded(I.feature_frame_grouped(bar_line(spark, sf)))
     key = F.concat_ws("|", "ticker", F.col("bar_ts").cast("string"))
-    return S.split_by_hash(d, F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"))
+    return written(S.split_by_hash(d, F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")), "grouped-features")
 
 
-# what a fitted model can't change: rows, parts and labels, and that its answers fit together
-SPLIT = f"""WITH g AS ({GROUPED_SQL}), split AS (
-    SELECT *, CASE WHEN ('0x' || substr(md5(ticker || '|' || CAST(bar_ts AS VARCHAR)), 1, 8))::BIGINT % 5 = 0
-                   THEN 'test' ELSE 'train' END AS part FROM g)"""
+def timed_features(spark, sf):
+    """Rounded full features, the last fifth of each ticker as test part."""
+    frame = written(rounded(I.feature_frame(bar_line(spark, sf))), "timed-features")
+    return S.split_by_time(Line.of(frame, "ticker", "bar_ts")).result()
 
 
-def sound(df):
-    """Whether the probability is one, and the prediction its larger side."""
-    p = F.col("probability")
-    return df.withColumns(
-        {"in_range": p.between(0.0, 1.0), "agrees": (p == 0.5) | (F.col("prediction") == (p > 0.5).cast("int"))}
-    )
+def source(rows, features, label, key="0"):
+    """Rows of a table as the tree SQL wants them."""
+    return f"""src AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ticker, bar_ts) AS rid, {key} AS key,
+      ticker || '|' || CAST(bar_ts AS VARCHAR) AS row_key, [{", ".join(f"{c}::DOUBLE" for c in features)}] AS x, {label} AS y,
+      part = 'train' AS train, * FROM {rows})"""
+
+
+SPLIT = f"""split AS MATERIALIZED (SELECT *, CASE WHEN {NUMBER} % 5 = 0 THEN 'test' ELSE 'train' END AS part FROM ({GROUPED_SQL}))"""
+TIMED = f"""split AS MATERIALIZED (SELECT *, CASE WHEN row_number() {OVER} - 1 < floor(0.8 * count(*) OVER (PARTITION BY ticker))
+  THEN 'train' ELSE 'test' END AS part FROM ({FEATURE_SQL}))"""
+POOLED = f"""WITH {SPLIT}, {source("split", I.GROUPED_FEATURES, "target")}, {tree_sql.forest(len(I.GROUPED_FEATURES))}"""
+PER_TICKER = f"""WITH {SPLIT}, {source("split", I.GROUPED_FEATURES, "target", "ticker")}, {tree_sql.forest(len(I.GROUPED_FEATURES))}"""
+
+
+def pooled_forest(d):
+    return trees.forest(d.filter("part = 'train'"), I.GROUPED_FEATURES, "target", ROW_KEY)
 
 
-@query("ml_forest", f"{SPLIT} SELECT ticker, bar_ts, part, target, true AS in_range, true AS agrees FROM split")
+@query(
+    "ml_forest",
+    f"""{POOLED} SELECT ticker, bar_ts, part, target, {r("probability")}, (probability > 0.5)::INT AS prediction FROM src JOIN wscore USING (rid)""",
+)
 def _(spark, sf):
     d = grouped_features(spark, sf)
-    fitted = models.forest(d.filter("part = 'train'"), I.GROUPED_FEATURES, "target")
-    return sound(fitted.score(d)).select("ticker", "bar_ts", "part", "target", "in_range", "agrees")
+    return rounded(pooled_forest(d).score(d).select("ticker", "bar_ts", "part", "target", "probability", "prediction"))
 
 
-@query("ml_forest_per_ticker", f"{SPLIT} SELECT ticker, true AS in_range FROM split WHERE part = 'test' GROUP BY 1")
+@query(
+    "ml_forest_per_ticker",
+    f"""{PER_TICKER} SELECT ticker, {r("avg((target = (probability > 0.5)::INT)::INT)", "accuracy")}, {r("avg(probability)", "mean_probability")}
+    FROM src JOIN wscore USING (rid) WHERE part = 'test' GROUP BY 1""",
+)
 def _(spark, sf):
+    """A forest of its own for each ticker, all grown together: as many jobs for ten thousand tickers as for five."""
     d = grouped_features(spark, sf)
-    tickers = sorted(r[0] for r in d.select("ticker").distinct().collect())
-    scored = models.forest_per_key(d, "ticker", tickers, I.GROUPED_FEATURES, "target")
-    right = decide.accuracy(scored.filter("part = 'test'"), "target", "prediction", ["ticker"])
-    return right.select("ticker", F.col("accuracy").between(0.0, 1.0).alias("in_range"))
+    fitted = trees.forest(d.filter("part = 'train'"), I.GROUPED_FEATURES, "target", ROW_KEY, keys=["ticker"])
+    test = written(fitted.score(d.filter("part = 'test'")), "per-ticker")
+    mean = test.groupBy("ticker").agg(F.avg("probability").alias("mean_probability"))
+    return rounded(decide.accuracy(test, "target", "prediction", ["ticker"]).join(mean, "ticker"))
 
 
 @query(
     "ml_report",
-    f"{SPLIT} SELECT ticker, true AS in_range, true AS fits, {r('max_by(close, bar_ts)', 'current_price')} FROM split GROUP BY 1",
+    f"""{POOLED}, l AS (SELECT * FROM src JOIN wscore USING (rid) QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY bar_ts DESC) = 1)
+    SELECT ticker, CASE WHEN probability > 0.5 THEN 'Buy' ELSE 'Sell' END AS recommendation, {r("probability")}, {r("close", "current_price")},
+           {r("CASE WHEN probability <= 0.5 THEN close * 0.9 END", "reentry_price")} FROM l""",
 )
 def _(spark, sf):
     d = grouped_features(spark, sf)
-    fitted = models.forest(d.filter("part = 'train'"), I.GROUPED_FEATURES, "target")
-    report = decide.stocks_report(fitted.score(d))
-    fits = (F.col("recommendation") == "Sell") == F.col("reentry_price").isNotNull()
-    return rounded(report.select("ticker", F.col("probability").between(0.0, 1.0).alias("in_range"), fits.alias("fits"), "current_price"))
+    return rounded(decide.stocks_report(pooled_forest(d).score(d)))
+
+
+GAINS = " UNION ALL ".join(f"SELECT tree, f, gain FROM w{k}s WHERE gain IS NOT NULL" for k in range(trees.FOREST_DEPTH))
+NAMES = ", ".join(f"'{c}'" for c in I.GROUPED_FEATURES)
 
 
 @query(
     "ml_forest_importance",
-    "SELECT feature, true AS in_range, 1.0::DOUBLE AS total FROM (VALUES "
-    + ", ".join(f"('{x}')" for x in I.GROUPED_FEATURES)
-    + ") v(feature)",
+    f"""{POOLED}, g AS ({GAINS}), s AS (SELECT tree, f, gain / sum(gain) OVER (PARTITION BY tree) AS share FROM g),
+    t AS (SELECT count(DISTINCT tree) AS n FROM g)
+    SELECT [{NAMES}][f + 1] AS feature, {r("sum(share) / any_value(n)", "importance")} FROM range({len(I.GROUPED_FEATURES)}) x(f) LEFT JOIN s USING (f), t GROUP BY f""",
+)
+def _(spark, sf):
+    return rounded(pooled_forest(grouped_features(spark, sf)).importances().select("feature", "importance"))
+
+
+@query(
+    "ml_contributions",
+    f"""{POOLED}, {tree_sql.moves("w", trees.FOREST_DEPTH)},
+    s AS (SELECT rid, f, sum(moved) / {trees.TREES} AS c FROM wmoves GROUP BY 1, 2)
+    SELECT [{NAMES}][f + 1] AS feature, {r("sum(abs(c)) / (SELECT count(*) FROM src WHERE part = 'test')", "importance")}
+    FROM s JOIN src USING (rid) WHERE part = 'test' GROUP BY f ORDER BY importance DESC, feature LIMIT 5""",
 )
 def _(spark, sf):
+    """The five features that move the chance of the test rows most, by the steps of all trees."""
     d = grouped_features(spark, sf)
-    weights = models.forest(d.filter("part = 'train'"), I.GROUPED_FEATURES, "target").importances(spark)
-    total = F.sum("importance").over(Window.partitionBy())
-    return rounded(weights.select("feature", F.col("importance").between(0.0, 1.0).alias("in_range"), total.alias("total")))
+    moved = pooled_forest(d).contributions(d.filter("part = 'test'"))
+    named = moved.select([F.col(f"c_{c}").alias(c) for c in I.GROUPED_FEATURES])
+    return rounded(decide.importance_rank(named, I.GROUPED_FEATURES, 5))
 
 
-@query("ml_boost", f"WITH x AS ({FEATURE_SQL}) SELECT ticker, true AS in_range FROM x GROUP BY 1")
+#: A small tree by hand, as ``operators.trees`` writes them: tree, node, feature, threshold, left, right, value.
+HAND_MADE = [
+    (0, 0, 0, 25.0, 1, 2, 0.5), (0, 1, 1, 1100.0, 3, 4, 0.3), (0, 2, None, None, None, None, 0.8),
+    (0, 3, None, None, None, None, 0.1), (0, 4, None, None, None, None, 0.45),
+    (1, 0, 1, 1000.5, 1, 2, 0.5), (1, 1, None, None, None, None, 0.2), (1, 2, 0, 10.0, 3, 4, 0.6),
+    (1, 3, None, None, None, None, 0.55), (1, 4, None, None, None, None, 0.9),
+]
+
+
+@query(
+    "tree_score",
+    f"""WITH RECURSIVE n(tree, node, feature, threshold, l, r, value) AS (VALUES {", ".join("(" + ", ".join("NULL" if c is None else str(c) for c in row) + ")" for row in HAND_MADE)}),
+    walk AS (
+      SELECT p_partkey, [p_size::DOUBLE, p_retailprice::DOUBLE] AS x, tree, 0 AS place FROM part, (SELECT DISTINCT tree FROM n)
+      UNION ALL
+      SELECT p_partkey, x, walk.tree, CASE WHEN x[feature + 1] > threshold THEN r ELSE l END FROM walk JOIN n ON n.tree = walk.tree AND n.node = place
+      WHERE feature IS NOT NULL)
+    SELECT p_partkey, {r("avg(value)", "probability")}, (avg(value) > 0.5)::INT AS prediction
+    FROM walk JOIN n ON n.tree = walk.tree AND n.node = place AND feature IS NULL GROUP BY 1""",
+)
 def _(spark, sf):
-    frame = I.feature_frame(bar_line(spark, sf))
-    d = S.split_by_time(Line.of(frame, "ticker", "bar_ts")).result()
-    scored = models.boost(d.filter("part = 'train'"), I.FEATURES, "up_next").score(d.filter("part = 'test'"))
-    right = decide.accuracy(scored, "up_next", "prediction", ["ticker"])
-    return right.select("ticker", F.col("accuracy").between(0.0, 1.0).alias("in_range"))
+    nodes = spark.createDataFrame(HAND_MADE, "tree int, node int, feature int, threshold double, left int, right int, value double")
+    model = trees.Trees(nodes, ("p_size", "p_retailprice"), depth=2)
+    return rounded(model.score(table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")).select("p_partkey", "probability", "prediction"))
+
+
+BOOSTED = f"""WITH {TIMED}, {source("split", I.FEATURES, "up_next")}, {tree_sql.boost(len(I.FEATURES), BOOST_ROUNDS, BOOST_DEPTH)}"""
+
+
+@query(
+    "ml_boost",
+    f"""{BOOSTED} SELECT ticker, bar_ts, up_next, {r("probability")}, (probability > 0.5)::INT AS prediction
+    FROM src JOIN zscore USING (rid) WHERE part = 'test'""",
+)
+def _(spark, sf):
+    d = timed_features(spark, sf)
+    fitted = trees.boost(d.filter("part = 'train'"), I.FEATURES, "up_next", rounds=BOOST_ROUNDS, depth=BOOST_DEPTH)
+    return rounded(fitted.score(d.filter("part = 'test'")).select("ticker", "bar_ts", "up_next", "probability", "prediction"))
 
 
 @query(
@@ -343,66 +412,67 @@ def _(spark, sf):
 
 @query(
     "main_verdict",
-    f"""WITH x AS ({FEATURE_SQL}) SELECT ticker, max(bar_ts) AS bar_ts, true AS in_range, true AS agrees, true AS named
-    FROM x GROUP BY 1""",
+    f"""{BOOSTED}, {tree_sql.forest(len(I.FEATURES))},
+    l AS (SELECT * FROM src WHERE part = 'test' QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY bar_ts DESC) = 1),
+    e AS (SELECT ticker, bar_ts, zscore.probability AS p_first, wscore.probability AS p_second,
+                 (zscore.probability + wscore.probability) / 2 AS p_up FROM l JOIN zscore USING (rid) JOIN wscore USING (rid)),
+    k AS (SELECT *, 2 * p_up - 1 AS kelly FROM e)
+    SELECT ticker, bar_ts, {rs(["p_first", "p_second", "p_up", "kelly"])},
+           CASE WHEN kelly > 0.5 THEN 'Strong Buy' WHEN kelly > 0.1 THEN 'Buy' WHEN kelly < -0.5 THEN 'Strong Sell'
+                WHEN kelly < -0.1 THEN 'Sell' ELSE 'Hold/Neutral' END AS verdict FROM k""",
 )
 def _(spark, sf):
     """Features, two models on the earlier part, their mean chance on the later part, stake and verdict of the last row."""
-    frame = written(I.feature_frame(bar_line(spark, sf)), "main-verdict")
-    d = S.split_by_time(Line.of(frame, "ticker", "bar_ts")).result()
-    train, test = d.filter("part = 'train'"), d.filter("part = 'test'")
-    first, second = (
-        fit(train, I.FEATURES, "up_next").score(test).select("ticker", "bar_ts", F.col("probability").alias("p"))
-        for fit in (models.boost, models.forest)
-    )
-    last = decide.latest(decide.ensemble_kelly(first, second, ["ticker", "bar_ts"]), ["ticker"], ["bar_ts"])
-    p, stake = F.col("p_up"), F.col("kelly")
-    mean = F.abs(p - (F.col("p_first") + F.col("p_second")) / 2) < 1e-12
-    bought = decide.verdict(stake).isin("Strong Buy", "Buy") == (stake > 0.1)
-    return last.select(
-        "ticker",
-        "bar_ts",
-        p.between(0.0, 1.0).alias("in_range"),
-        (mean & (F.abs(stake - (2 * p - 1)) < 1e-12)).alias("agrees"),
-        bought.alias("named"),
+    d = timed_features(spark, sf)
+    train, last = d.filter("part = 'train'"), decide.latest(d.filter("part = 'test'"), ["ticker"], ["bar_ts"])
+    boosted = trees.boost(train, I.FEATURES, "up_next", rounds=BOOST_ROUNDS, depth=BOOST_DEPTH)
+    forest = trees.forest(train, I.FEATURES, "up_next", ROW_KEY)
+    first, second = (m.score(last).select(*ROW_KEY, F.col("probability").alias("p")) for m in (boosted, forest))
+    both = decide.ensemble_kelly(first, second, ROW_KEY)
+    return rounded(both.withColumn("verdict", decide.verdict(F.col("kelly"))))
+
+
+def taken(k, spent):
+    """Shares of the k-th offer, and whether it fits, as SQL."""
+    shares = f"greatest(CAST(round((100 - {spent} - fmod(100 - {spent}, price{k})) / price{k}) AS BIGINT), 1)"
+    return f"""CASE WHEN price{k} IS NOT NULL AND {spent} + {shares} * price{k} <= 100 THEN {shares} END AS n{k}"""
+
+
+def bought_sql(offers, key, item):
+    """The three likeliest offers of each key, bought one after the other within 100, as SQL (key, item, probability, price, shares)."""
+    wide = ", ".join(f"max({c}) FILTER (k = {k}) AS {n}{k}" for k in (1, 2, 3) for c, n in ((item, "item"), ("probability", "prob"), ("price", "price")))
+    each = " UNION ALL ".join(
+        f"SELECT {key}, item{k} AS {item}, prob{k} AS probability, price{k} AS price, n{k} AS shares FROM t3 WHERE n{k} IS NOT NULL" for k in (1, 2, 3)
     )
+    return f"""w AS (SELECT {key}, {wide} FROM {offers} GROUP BY 1),
+    t1 AS (SELECT *, {taken(1, "0.0::DOUBLE")} FROM w),
+    s1 AS (SELECT *, coalesce(n1 * price1, 0.0) AS spent1 FROM t1),
+    t2 AS (SELECT *, {taken(2, "spent1")} FROM s1),
+    s2 AS (SELECT *, spent1 + coalesce(n2 * price2, 0.0) AS spent2 FROM t2),
+    t3 AS (SELECT *, {taken(3, "spent2")} FROM s2),
+    u AS ({each})"""
 
 
 @query(
     "pooled_predictor",
-    f"""WITH f AS ({GROUPED_SQL}) SELECT count(DISTINCT ticker) AS offers, true AS in_range, true AS few, true AS within_budget
-    FROM f""",
+    f"""{POOLED}, l AS (SELECT * FROM src JOIN wscore USING (rid) QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY bar_ts DESC) = 1),
+    o AS (SELECT 0 AS every, ticker, probability, close AS price, row_number() OVER (ORDER BY probability DESC, ticker) AS k FROM l),
+    {bought_sql("o", "every", "ticker")}
+    SELECT ticker, {r("probability")}, {r("price", "close")}, shares, {r("shares * price", "cost")} FROM u""",
 )
 def _(spark, sf):
     """Features of all tickers, one forest, the last row of each, the three likeliest bought while the budget lasts."""
-    frame = written(grouped_features(spark, sf), "pooled-predictor")
-    fitted = models.forest(frame.filter("part = 'train'"), I.GROUPED_FEATURES, "target")
-    last = fitted.score(decide.latest(frame, ["ticker"], ["bar_ts"])).select("ticker", "probability", "close")
+    frame = grouped_features(spark, sf)
+    last = pooled_forest(frame).score(decide.latest(frame, ["ticker"], ["bar_ts"])).select("ticker", "probability", "close")
     bought = decide.budget_allocate(last, [], "ticker", "probability", "close", budget=100.0, k=3)
-    spent = bought.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"))
-    offers = last.agg(F.count(F.lit(1)).alias("offers"), F.min(F.col("probability").between(0.0, 1.0)).alias("in_range"))
-    row = one_row(spent, {"n": F.first("n"), "cost": F.first("cost")})
-    return offers.select("offers", "in_range", (row["n"] <= 3).alias("few"), (row["cost"] <= 100.0).alias("within_budget"))
-
-
-def taken(k, spent):
-    """Shares of the k-th offer, and whether it fits, as SQL."""
-    shares = f"greatest(CAST(round((100 - {spent} - fmod(100 - {spent}, price{k})) / price{k}) AS BIGINT), 1)"
-    return f"""CASE WHEN price{k} IS NOT NULL AND {spent} + {shares} * price{k} <= 100 THEN {shares} END AS n{k}"""
+    return rounded(bought.select("ticker", "probability", F.col("price").alias("close"), "shares", "cost"))
 
 
 @query(
     "budget_allocate",
     f"""WITH o AS (SELECT p_brand, p_partkey, p_size / 50 AS probability, p_retailprice / 40 AS price,
                    row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS k FROM part),
-    w AS (SELECT p_brand, {", ".join(f"max({c}) FILTER (k = {k}) AS {n}{k}" for k in (1, 2, 3) for c, n in (("p_partkey", "item"), ("probability", "prob"), ("price", "price")))}
-          FROM o GROUP BY 1),
-    t1 AS (SELECT *, {taken(1, "0.0::DOUBLE")} FROM w),
-    s1 AS (SELECT *, coalesce(n1 * price1, 0.0) AS spent1 FROM t1),
-    t2 AS (SELECT *, {taken(2, "spent1")} FROM s1),
-    s2 AS (SELECT *, spent1 + coalesce(n2 * price2, 0.0) AS spent2 FROM t2),
-    t3 AS (SELECT *, {taken(3, "spent2")} FROM s2),
-    u AS ({" UNION ALL ".join(f"SELECT p_brand, item{k} AS p_partkey, prob{k} AS probability, price{k} AS price, n{k} AS shares FROM t3 WHERE n{k} IS NOT NULL" for k in (1, 2, 3))})
+    {bought_sql("o", "p_brand", "p_partkey")}
     SELECT p_brand, p_partkey, {rs(["probability", "price"])}, shares, {r("shares * price", "cost")} FROM u""",
 )
 def _(spark, sf):

@@ -1,4 +1,4 @@
-"""Classifiers on feature tables, by MLlib."""
+"""Classifiers on feature tables, by MLlib: one model of all rows.  ``operators.trees`` grows models of many keys together."""
 
 from __future__ import annotations
 
@@ -13,8 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from weftline.plans.sizing import written
-
 # Model sizes and seed.
 TREES = 100
 ROUNDS = 100
@@ -74,23 +72,3 @@ def forest(train: DataFrame, features: Sequence[str], label: str, trees: int = T
 def boost(train: DataFrame, features: Sequence[str], label: str, rounds: int = ROUNDS, seed: int = SEED, partitions: int = PARTITIONS) -> Fitted:
     """Boosted trees on the plain features."""
     return _fit(train, features, label, GBTClassifier(maxIter=rounds, seed=seed), scale=False, partitions=partitions)
-
-
-def forest_per_key(
-    df: DataFrame, key: str, keys: Sequence[str], features: Sequence[str], label: str, part: str = "part"
-) -> DataFrame:
-    """One forest for each of the named keys, scored on that key's rows.
-
-    The loop runs over the keys the caller names (a model is an object of the
-    driver, so name some hundreds, not millions); every fit is a Spark job over
-    that key's rows.  The table is written once, in a folder per key, so a fit
-    reads its own key's files only.
-    """
-    rows = written(df, "forest-per-key", by=key)
-    scored = None
-    for k in keys:
-        mine = rows.filter(F.col(key) == k)
-        fitted = forest(mine.filter(F.col(part) == "train"), features, label)
-        out = fitted.score(mine)
-        scored = out if scored is None else scored.unionByName(out)
-    return scored
