@@ -39,18 +39,6 @@ def _(spark, sf):
     return rounded(paths.normal_fit(return_line(spark, sf).result(), ["ticker"]))
 
 
-@query(
-    "vol_regime",
-    f"""WITH {RETURNS} SELECT ticker, bar_ts, true AS in_range, true AS agrees FROM lr
-    QUALIFY count(log_ret) {last_rows(paths.VOL_ROWS)} = {paths.VOL_ROWS}""",
-)
-def _(spark, sf):
-    got = paths.vol_regime(return_line(spark, sf))
-    wild = F.col("regime") == 1
-    agrees = (wild == (F.col("vol_weight") == 1.5)) & F.col("regime").isin(0, 1)
-    return got.select("ticker", "bar_ts", F.col("wild_probability").between(0.0, 1.0).alias("in_range"), agrees.alias("agrees"))
-
-
 def regime_part(x, k):
     return f"ln(share{k}) - ln(var{k}) / 2 - ({x} - mean{k}) ** 2 / (2 * var{k})"
 
@@ -85,6 +73,33 @@ def _(spark, sf):
     return rounded(got.select("ticker", "bar_ts", "wild_probability", "regime"), 4)
 
 
+@query(
+    "vol_regime",
+    f"""WITH RECURSIVE {RETURNS}, v AS MATERIALIZED (
+      SELECT ticker, bar_ts, log_ret, stddev_samp(log_ret) {last_rows(paths.VOL_ROWS)} AS vol FROM lr
+      QUALIFY count(log_ret) {last_rows(paths.VOL_ROWS)} = {paths.VOL_ROWS}),
+    fit AS (
+      SELECT 0 AS round, 0.5::DOUBLE AS share0, 0.5::DOUBLE AS share1, quantile_cont(vol, 0.25) AS mean0, quantile_cont(vol, 0.75) AS mean1,
+             var_pop(vol) + 1e-6 AS var0, var_pop(vol) + 1e-6 AS var1, NULL::DOUBLE AS likely, NULL::DOUBLE AS before FROM v
+      UNION ALL
+      SELECT round + 1, sum(1 - p) / count(*), sum(p) / count(*), sum((1 - p) * vol) / sum(1 - p), sum(p * vol) / sum(p),
+             greatest(sum((1 - p) * vol * vol) / sum(1 - p) - (sum((1 - p) * vol) / sum(1 - p)) ** 2, 0) + 1e-6,
+             greatest(sum(p * vol * vol) / sum(p) - (sum(p * vol) / sum(p)) ** 2, 0) + 1e-6,
+             avg(greatest(d0, d1) + ln(1 + exp(-abs(d0 - d1)))), any_value(likely)
+      FROM (SELECT fit.*, vol, {upper_part("vol")} AS p, {regime_part("vol", 0)} AS d0, {regime_part("vol", 1)} AS d1 FROM fit, v
+            WHERE round < 200 AND (before IS NULL OR likely - before >= 1e-6))
+      GROUP BY round),
+    last AS (SELECT * FROM fit ORDER BY round DESC LIMIT 1)
+    SELECT ticker, bar_ts, {r("CASE WHEN mean1 >= mean0 THEN p ELSE 1 - p END", "wild_probability", 4)},
+           CAST((CASE WHEN mean1 >= mean0 THEN p ELSE 1 - p END) > 0.5 AS INTEGER) AS regime,
+           CASE WHEN (CASE WHEN mean1 >= mean0 THEN p ELSE 1 - p END) > 0.5 THEN 1.5::DOUBLE ELSE 0.8::DOUBLE END AS vol_weight
+    FROM (SELECT ticker, bar_ts, mean0, mean1, {upper_part("log_ret")} AS p FROM v, last)""",
+)
+def _(spark, sf):
+    got = paths.vol_regime(return_line(spark, sf))
+    return rounded(got.select("ticker", "bar_ts", "wild_probability", "regime", "vol_weight"), 4)
+
+
 STEPS = """st AS (SELECT user_id AS path_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step,
                         value AS price FROM events),
 sl AS (SELECT path_id, regr_slope(price, step) AS slope FROM st GROUP BY 1)"""

@@ -73,12 +73,12 @@ def three(spark, sf):
 
 @query("concat_cols", f"WITH {COLS} SELECT id, a.v AS v, e, c.v AS v_2 FROM a FULL JOIN b USING (id) FULL JOIN c USING (id)")
 def _(spark, sf):
-    return joins.concat_cols(three(spark, sf), "id")
+    return joins.concat_cols(three(spark, sf), "id", repeats="refuse")
 
 
 @query("concat_cols_inner", f"WITH {COLS} SELECT id, a.v AS v, e, c.v AS v_2 FROM a JOIN b USING (id) JOIN c USING (id)")
 def _(spark, sf):
-    return joins.concat_cols(three(spark, sf), "id", join="inner")
+    return joins.concat_cols(three(spark, sf), "id", join="inner", repeats="refuse")
 
 
 PAIR = """

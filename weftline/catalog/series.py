@@ -270,6 +270,18 @@ def _(spark, sf):
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
+@query(
+    "split_random_exact",
+    """WITH h AS (SELECT event_id, event_type, md5('42|=' || event_id) AS place FROM events)
+    SELECT event_id, event_type, CASE WHEN row_number() OVER (ORDER BY place) <= ceil(0.2 * count(*) OVER ()) THEN 'test' ELSE 'train' END AS part
+    FROM h""",
+)
+def _(spark, sf):
+    """A fifth of the rows, exactly, by the smallest hashes of their keys."""
+    train, test = S.split_exact(table(spark, sf, "events").select("event_id", "event_type"), ["event_id"])
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+
+
 @query(
     "target_next",
     f"""WITH {BARS}

@@ -109,6 +109,50 @@ def _(spark, sf):
     return html.tables_matching(html.html_cells(pages, "page_id", "html"), "page_id", "Balance")
 
 
+@query(
+    "scan_csv_inferred",
+    """SELECT c_custkey, CASE WHEN c_nationkey <> 7 THEN c_nationkey END::DOUBLE AS gaps, c_acctbal AS amount, c_nationkey > 10 AS far,
+              (DATE '2020-01-01' + c_nationkey::INTEGER) AS day, CASE WHEN c_nationkey = 3 THEN 'x' ELSE c_nationkey::VARCHAR END AS mixed,
+              c_nationkey::BIGINT AS whole
+       FROM customer""",
+)
+def _(spark, sf):
+    """Types found in the cells: whole numbers with and without gaps, numbers, truth values, days, and text; a label column."""
+    path = scratch(spark, "customer-csv")
+    nation = F.col("c_nationkey")
+    told = table(spark, sf, "customer").select(
+        F.when(nation == 7, "N/A").otherwise(nation.cast("string")).alias("gaps"),
+        F.col("c_acctbal").alias("amount"),
+        F.when(nation > 10, "True").otherwise("False").alias("far"),
+        F.date_add(F.lit("2020-01-01"), nation.cast("int")).alias("day"),
+        F.when(nation == 3, "x").otherwise(nation.cast("string")).alias("mixed"),
+        nation.alias("whole"),
+        "c_custkey",
+    )
+    told.write.option("header", True).csv(path)
+    return files.scan_csv(spark, path, infer=True, dates=True, index_col="c_custkey")
+
+
+@query(
+    "html_grid",
+    """
+    SELECT s_suppkey AS page_id, 0 AS table_no, (2 + k)::INTEGER AS row_no, c::INTEGER AS col_no,
+           ['Supplier', 'Account / Balance', 'Account / Nation'][c + 1] AS name,
+           CASE WHEN c = 0 THEN s_name WHEN c = 1 AND k = 0 THEN CAST(s_suppkey AS VARCHAR) WHEN c = 2 AND k = 0 THEN 'n' || s_nationkey ELSE 'none' END AS text
+    FROM supplier, range(2) r(k), range(3) x(c)
+    """,
+)
+def _(spark, sf):
+    """A head of two rows and spans in both directions: every place of the body with the name of its column."""
+    page = F.concat(
+        F.lit("<table><thead><tr><th rowspan=2>Supplier</th><th colspan='2'>Account</th></tr><tr><th>Balance</th><th>Nation</th></tr></thead>"),
+        F.lit("<tbody><tr><td rowspan=2>"), "s_name", F.lit("</td><td>"), F.col("s_suppkey").cast("string"), F.lit("</td><td>n"),
+        F.col("s_nationkey").cast("string"), F.lit("</td></tr><tr><td colspan=2>none</td></tr></tbody></table>"),
+    )
+    pages = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("page_id"), page.alias("html"))
+    return html.grid_records(html.html_grid(pages, "page_id", "html"), "page_id")
+
+
 @query(
     "html_list_items",
     r"""

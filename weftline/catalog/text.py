@@ -1,6 +1,8 @@
 """Scalar functions, text cleaning and user functions."""
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from weftline.catalog.registry import BARS, OVER, bar_line, bars, query, r, rounded, rs, table
@@ -328,6 +330,25 @@ def _(spark, sf):
     return groups.group_frames(bar_line(spark, sf), above, "ticker string, bar_ts timestamp_ntz, close double")
 
 
+@query(
+    "udf_group_stream",
+    f"""WITH {BARS} SELECT ticker, bar_ts, {r("close / max(close) OVER (PARTITION BY ticker ORDER BY bar_ts) - 1", "fall")} FROM bars""",
+)
+def _(spark, sf):
+    """How far each close lies below the highest so far: the state between batches is one number."""
+
+    def falls(key, batches):
+        top = float("-inf")
+        for batch in batches:
+            close = batch.column("close").to_numpy()
+            tops = np.maximum(np.maximum.accumulate(close), top)
+            top = tops[-1]
+            yield pa.RecordBatch.from_arrays([batch.column("ticker"), batch.column("bar_ts"), pa.array(close / tops - 1)], ["ticker", "bar_ts", "fall"])
+
+    rows = bars(spark, sf).select("ticker", "bar_ts", "close")
+    return rounded(groups.group_stream(rows, ["ticker"], ["bar_ts"], falls, "ticker string, bar_ts timestamp_ntz, fall double"))
+
+
 @query("udf_rows", f"SELECT p_partkey, {r('p_size + p_retailprice', 'total')}, {r('p_retailprice - p_size', 'gap')} FROM part")
 def _(spark, sf):
     cols = ["p_size", PRICE]

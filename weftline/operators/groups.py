@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from itertools import chain, groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,7 +60,7 @@ def group_frames(line: Line, fn: Callable[[pd.DataFrame], pd.DataFrame], schema:
     """A pandas function per whole group, rows in order; it may return any number of rows.
 
     A group is one pandas frame on one worker at every size, and none is refused: where groups outgrow a worker, use
-    ``group_rows``, an aggregate or ``Line.scan``.
+    ``group_stream``, ``group_rows``, an aggregate or ``Line.scan``.
     """
     order = [POS] if line.split else list(line.order)
 
@@ -69,6 +71,63 @@ def group_frames(line: Line, fn: Callable[[pd.DataFrame], pd.DataFrame], schema:
     return line.df.groupBy(*line.keys).applyInPandas(whole, schema)
 
 
+def group_stream(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    fn: Callable[[tuple, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+    schema: T.StructType | str,
+) -> DataFrame:
+    """A function that reads a whole group batch by batch, in order, and yields batches of any number of rows.
+
+    ``fn`` is given the group's key values and an iterator of its Arrow batches (all columns of ``df``); what it keeps
+    between batches is its state, so a group may be larger than a worker's memory.  A group is read by one task: the rows
+    are dealt by key and sorted by key and order on Spark's side, which spills.  Nulls in a key are a group like others; what
+    ``fn`` leaves unread of its group is passed over.
+    """
+    keys, order = list(keys), list(order)
+    columns = df.columns
+    at = [columns.index(k) for k in keys]
+    dealt = df.repartition(*[F.col(f"`{k}`") for k in keys]).sortWithinPartitions(*[F.asc_nulls_last(f"`{c}`") for c in (*keys, *order)])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+        """Key and rows of each stretch of one group inside a batch."""
+        for batch in batches:
+            start = 0
+            while start < batch.num_rows:
+                key = tuple(batch.column(i)[start].as_py() for i in at)
+                end = _last_of(batch, at, key, start)
+                yield key, batch.slice(start, end - start)
+                start = end
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in groupby(runs(batches), key=lambda r: _comparable(r[0])):
+            first = next(group)
+            mine = (rows for _, rows in chain([first], group))
+            yield from fn(first[0], mine)
+            for _ in mine:
+                pass
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _comparable(key: tuple) -> tuple:
+    """NaN keys are one group for Spark."""
+    return tuple("NaN" if isinstance(k, float) and k != k else k for k in key)
+
+
+def _last_of(batch: pa.RecordBatch, at: Sequence[int], key: tuple, start: int) -> int:
+    """One behind the last row of the group that begins at ``start``; rows of a group stand together."""
+    lo, hi = start + 1, batch.num_rows
+    if _comparable(tuple(batch.column(i)[hi - 1].as_py() for i in at)) == _comparable(key):
+        return hi
+    while lo < hi:
+        mid = (lo + hi) // 2
+        same = _comparable(tuple(batch.column(i)[mid].as_py() for i in at)) == _comparable(key)
+        lo, hi = (mid + 1, hi) if same else (lo, mid)
+    return lo
+
+
 def group_rows(
     line: Line, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str, before: int, after: int = 0
 ) -> DataFrame:

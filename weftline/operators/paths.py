@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,30 +51,49 @@ def normal_fit(df: DataFrame, key: Sequence[str], ret: str = "log_ret") -> DataF
     )
 
 
-def vol_regime(line: Line, ret: str = "log_ret", seed: int = 42, use_rolling_vol: bool = False) -> DataFrame:
-    """Calm (0) or wild (1) per row by a two-part normal mixture of the rolling deviation.
+def vol_regime(
+    line: Line, ret: str = "log_ret", use_rolling_vol: bool = False, tolerance: float = 1e-6, rounds: int = 200
+) -> DataFrame:
+    """Calm (0) or wild (1) per row by a two-part normal mixture of the rolling deviation of all series together.
 
-    Parts are numbered by their mean, so 1 is always the wilder one.  What is
-    judged is the return itself, or its rolling deviation with
-    ``use_rolling_vol``.
+    The parts start at the exact quartiles, and rounds of expectation and maximisation (one combined aggregate each; six
+    numbers come back) end when the mean log-likelihood rises by less than ``tolerance``.  Parts are numbered by their mean, so
+    1 is always the wilder one.  What is judged is the return itself, or its rolling deviation with ``use_rolling_vol``.
     """
     line = line.roll(lambda d, f: d.withColumn("vol", S.rolling(F.col(ret), VOL_ROWS, "std", f)), before=VOL_ROWS)
-    known = line.result().filter(F.col("vol").isNotNull() & F.col(ret).isNotNull())
-    fit_on = VectorAssembler(inputCols=["vol"], outputCol="x").transform(known.select("vol")).persist()
-    model = GaussianMixture(k=2, seed=seed, featuresCol="x", predictionCol="part", probabilityCol="p").fit(fit_on)
-    fit_on.unpersist()
-    means = [r["mean"][0] for r in model.gaussiansDF.collect()]
-    wild = int(means[1] > means[0])
-    judged = "vol" if use_rolling_vol else ret
-    scored = model.transform(VectorAssembler(inputCols=[judged], outputCol="x").transform(known))
-    regime = (F.col("part") == wild).cast("int")
-    return scored.withColumns(
+    known = written(line.result().filter(F.col("vol").isNotNull() & F.col(ret).isNotNull()), "regime-rows")
+    vol = known.select("vol")
+    spread = vol.agg(F.var_pop("vol").alias("v")).first()["v"]
+    fit = {f"{n}{k}": 0.0 for n in ("share", "mean", "var") for k in (0, 1)}
+    if spread is not None:
+        ends = quantiles(vol, (), "vol", {"mean0": 0.25, "mean1": 0.75}).first()
+        fit = {"share0": 0.5, "share1": 0.5, "mean0": ends["mean0"], "mean1": ends["mean1"], "var0": spread + RIDGE, "var1": spread + RIDGE}
+        before = None
+        for _ in range(rounds):
+            sums, made = _regime_sums(F.col("vol"), _given(fit))
+            row = vol.agg(*sums).select("likely", *made).first()
+            fit = {c: row[c] for c in fit}
+            if before is not None and row["likely"] - before < tolerance:
+                break
+            before = row["likely"]
+    return _judged(known, F.col("vol" if use_rolling_vol else ret), _given(fit))
+
+
+def _given(fit: dict[str, float]) -> Callable[[str], Column]:
+    return lambda name: F.lit(float(fit[name]))
+
+
+def _judged(rows: DataFrame, x: Column, of: Callable[[str], Column]) -> DataFrame:
+    upper = _upper_part(x, of)
+    p = F.when(of("mean1") >= of("mean0"), upper).otherwise(1 - upper)
+    wild = p > 0.5
+    return rows.withColumns(
         {
-            "regime": regime,
-            "wild_probability": vector_to_array("p")[wild],
-            "vol_weight": F.when(regime == 1, WILD_WEIGHT).otherwise(CALM_WEIGHT),
+            "wild_probability": p,
+            "regime": wild.cast("int"),
+            "vol_weight": F.when(wild, WILD_WEIGHT).otherwise(CALM_WEIGHT),
         }
-    ).drop("x", "p", "part")
+    )
 
 
 def vol_regime_per_key(line: Line, ret: str = "log_ret", rounds: int = 20, use_rolling_vol: bool = False) -> DataFrame:
@@ -104,39 +120,31 @@ def vol_regime_per_key(line: Line, ret: str = "log_ret", rounds: int = 20, use_r
         fit = _regime_round(vol, fit, keys)
         if (i + 1) % ROUNDS_A_JOB == 0:
             fit = written(fit, "regime-fit")
-    judged = F.col("vol" if use_rolling_vol else ret)
     scored = join_null_safe(known, fit, keys, "inner")
-    first = F.col("mean1") >= F.col("mean0")
-    upper = _upper_part(judged)
-    p = F.when(first, upper).otherwise(1 - upper)
-    wild = p > 0.5
-    return scored.withColumns(
-        {
-            "wild_probability": p,
-            "regime": wild.cast("int"),
-            "vol_weight": F.when(wild, WILD_WEIGHT).otherwise(CALM_WEIGHT),
-        }
-    ).drop(*[f"{n}{k}" for n in ("share", "mean", "var") for k in (0, 1)])
+    judged = _judged(scored, F.col("vol" if use_rolling_vol else ret), F.col)
+    return judged.drop(*[f"{n}{k}" for n in ("share", "mean", "var") for k in (0, 1)])
 
 
-def _upper_part(x: Column) -> Column:
-    """Probability of part 1 at ``x``."""
+def _log_density(x: Column, k: int, of: Callable[[str], Column]) -> Column:
+    """Up to a constant, with the share of the part."""
+    away = x - of(f"mean{k}")
+    return F.log(of(f"share{k}")) - F.log(of(f"var{k}")) / 2 - away * away / (of(f"var{k}") * 2)
 
-    def log_density(k: int) -> Column:
-        away = x - F.col(f"mean{k}")
-        return F.log(F.col(f"share{k}")) - F.log(F.col(f"var{k}")) / 2 - away * away / (F.col(f"var{k}") * 2)
 
-    return F.lit(1.0) / (F.exp(log_density(0) - log_density(1)) + 1)
+def _upper_part(x: Column, of: Callable[[str], Column]) -> Column:
+    """Probability of part 1 at ``x``."""
+    return F.lit(1.0) / (F.exp(_log_density(x, 0, of) - _log_density(x, 1, of)) + 1)
 
 
-def _regime_round(vol: DataFrame, fit: DataFrame, keys: list[str]) -> DataFrame:
-    """Shares, means and variances of both parts by the chances under the former ones; an empty part stays as it is."""
-    x, upper = F.col("vol"), F.col("upper")
-    joined = join_null_safe(vol, fit, keys, "inner").withColumn("upper", _upper_part(x))
-    sums, made = [F.count(F.lit(1)).alias("n")], []
+def _regime_sums(x: Column, of: Callable[[str], Column]) -> tuple[list[Column], list[Column]]:
+    """Aggregates of a round, and the new parameters from them: shares, means, variances; an empty part stays as it is."""
+    upper = _upper_part(x, of)
+    lower, higher = _log_density(x, 0, of), _log_density(x, 1, of)
+    likely = F.greatest(lower, higher) + F.log1p(F.exp(-F.abs(lower - higher)))
+    sums, made = [F.count(F.lit(1)).alias("n"), F.avg(likely).alias("likely")], []
     for k, p in ((0, 1 - upper), (1, upper)):
         sums += [F.sum(p).alias(f"p{k}"), F.sum(p * x).alias(f"x{k}"), F.sum(p * x * x).alias(f"xx{k}")]
-        sums += [F.any_value(f"{c}{k}").alias(f"{c}{k}") for c in ("mean", "var")]
+        sums += [F.any_value(of(f"{c}{k}")).alias(f"{c}{k}") for c in ("mean", "var")]
         size, mean = F.col(f"p{k}"), F.col(f"x{k}") / F.col(f"p{k}")
         some = size > LEAST_PART
         made += [
@@ -144,7 +152,12 @@ def _regime_round(vol: DataFrame, fit: DataFrame, keys: list[str]) -> DataFrame:
             F.when(some, mean).otherwise(F.col(f"mean{k}")).alias(f"mean{k}"),
             F.when(some, F.greatest(F.col(f"xx{k}") / size - mean * mean, F.lit(0.0)) + RIDGE).otherwise(F.col(f"var{k}")).alias(f"var{k}"),
         ]
-    return joined.groupBy(*keys).agg(*sums).select(*keys, *made)
+    return sums, made
+
+
+def _regime_round(vol: DataFrame, fit: DataFrame, keys: list[str]) -> DataFrame:
+    sums, made = _regime_sums(F.col("vol"), F.col)
+    return join_null_safe(vol, fit, keys, "inner").groupBy(*keys).agg(*sums).select(*keys, *made)
 
 
 def path_slope(paths: DataFrame, path: str = "path_id", step: str = "step", price: str = "price", key: Sequence[str] = ()) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.plans.ordered import Frame, Line
+from weftline.plans.sizing import written
 
 AGGREGATES = {
     "mean": F.avg,
@@ -25,6 +26,8 @@ AGGREGATES = {
 TINY = 1e-18  # share of a double that no longer changes it
 WIDEST = 200  # powers inside a chunk stay within 1e±200
 TAIL_PARTS = 64
+SPLIT_DIGITS, SPLIT_LEVELS = 3, 5  # hex digits of a level, levels of a hash
+COPIES = 1000  # equal rows that one row is unfolded to at a time
 DECADES = 150  # decay of a chunk of values with gaps, as a power of ten; a single step has 18 at most
 
 
@@ -328,6 +331,75 @@ def split_random(df: DataFrame, keys: list[str], share: float = 0.2, seed: int =
     return df.filter(~test), df.filter(test)
 
 
+def split_exact(df: DataFrame, keys: list[str], share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Train and test tables with exactly ``ceil(share * rows)`` test rows, those of the smallest hashes; no sort.
+
+    A row's place is a hash of its key and then of the whole row.  Counts by the first bits of the place (``SPLIT_BINS``
+    rows come back) find the bin that the edge falls in, and only that bin is looked into by its next bits, until no bin
+    is cut.  Rows equal in all columns share a place; if the edge falls among them, as many copies as are wanted go to each side.
+    The split follows the rows, not their order or partitions.
+    """
+    def words(columns: list[str]) -> Column:
+        cells = [F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("")) for c in columns]
+        return F.md5(F.concat_ws("|", F.lit(str(seed)), *cells))
+
+    place = [F.conv(F.substring(words(columns), 1, SPLIT_DIGITS * SPLIT_LEVELS), 16, 10).cast("long") for columns in (keys, df.columns)]
+    placed = df.withColumns({"__p0": place[0], "__p1": place[1]})
+    bits = 4 * SPLIT_DIGITS
+    held, before, edge, wanted = placed.select("__p0", "__p1"), 0, [], None
+    for step in range(2 * SPLIT_LEVELS):
+        which, level = divmod(step, SPLIT_LEVELS)
+        bin_ = F.shiftright(f"__p{which}", bits * (SPLIT_LEVELS - 1 - level)).bitwiseAND((1 << bits) - 1)
+        counts = sorted(tuple(r) for r in held.groupBy(bin_.alias("b")).count().collect())
+        if wanted is None:
+            wanted = math.ceil(share * sum(n for _, n in counts))
+        for b, n in counts:
+            if before + n >= wanted:
+                break
+            before += n
+        else:  # no row at all
+            return df, df.filter(F.lit(False))
+        edge.append(b)
+        if before + n == wanted or wanted == 0:
+            break
+        # the bin that is cut: on the first level a share of the table that is one in thousands
+        held = held.filter(bin_ == b)
+        if step == 0:
+            held = written(held, "split-edge")
+    upto = F.lit(True)
+    ends = []
+    for which in (0, 1):
+        own = edge[SPLIT_LEVELS * which : SPLIT_LEVELS * (which + 1)]
+        shift = bits * (SPLIT_LEVELS - len(own))
+        ends.append((F.shiftright(f"__p{which}", shift), sum(b << bits * (len(own) - 1 - i) for i, b in enumerate(own))) if own else None)
+    (first, at), second = ends[0], ends[1]
+    below, same = first < at, first == at
+    if second:
+        below, same = below | (same & (second[0] < second[1])), same & (second[0] == second[1])
+    drop = ["__p0", "__p1"]
+    if wanted == 0:
+        return df, df.filter(F.lit(False))
+    if before + n == wanted:
+        upto = below | same
+        return placed.filter(~upto).drop(*drop), placed.filter(upto).drop(*drop)
+    # the edge falls among rows that are equal in all columns: copies are counted, not ranked
+    take = wanted - before
+    alike = placed.filter(same).drop(*drop).groupBy(*[f"`{c}`" for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
+    running = F.sum("__n").over(Window.orderBy(*[f"`{c}`" for c in df.columns]).rowsBetween(Window.unboundedPreceding, -1))
+    alike = alike.withColumn("__t", F.greatest(F.least(take - F.coalesce(running, F.lit(0)), F.col("__n")), F.lit(0)))
+
+    def copies(n: Column) -> DataFrame:
+        # ranges of copies, so that no row carries an array as long as their number
+        parts = F.explode(F.sequence(F.lit(0), F.floor((n - 1) / COPIES)))
+        part = alike.filter(n > 0).withColumn("__c", parts)
+        each = F.explode(F.sequence(F.lit(1), F.least(F.lit(COPIES), n - F.col("__c") * COPIES)))
+        return part.withColumn("__e", each).select(*[f"`{c}`" for c in df.columns])
+
+    test = placed.filter(below).drop(*drop).unionByName(copies(F.col("__t")))
+    train = placed.filter(~(below | same)).drop(*drop).unionByName(copies(F.col("__n") - F.col("__t")))
+    return train, test
+
+
 def split_by_hash(df: DataFrame, key: Column, buckets: int = 5, out: str = "part") -> DataFrame:
     """Repeatable split: bucket 0 of ``buckets`` is the test part.  No job, no shuffle."""
     return df.withColumn(out, F.when(F.pmod(key, F.lit(buckets)) == 0, F.lit("test")).otherwise(F.lit("train")))

@@ -74,13 +74,19 @@ def scan_csv(
     nrows: int | None = None,
     header: bool = True,
     na_filter: bool = True,
+    infer: bool = False,
+    dates: bool = False,
+    index_col: str | int | None = None,
 ) -> DataFrame:
     """CSV read where any ``na_values`` token, in any column, is null.
 
     Cells are read as text, tokens become null, and then the schema is applied;
     a token in a number column would otherwise hide behind a failed cast.
-    Without a schema the columns stay text.  ``na_filter=False`` keeps every
-    cell, empty ones included, as it is written.  ``nrows`` takes the first rows
+    Without a schema the columns stay text, or get the types that ``infer_types``
+    finds with ``infer`` (and ``dates``); the usual tokens for missing values
+    are then missing too.  ``index_col`` (a name or a place) comes first, as the
+    label.  ``na_filter=False`` keeps every cell, empty ones included, as it is
+    written.  ``nrows`` takes the first rows
     in the order of file name and place in the file: an ordered limit, combined
     before its shuffle.
     """
@@ -111,7 +117,76 @@ def scan_csv(
             cell = F.coalesce(cell, F.lit(""))
         out.append((cell.cast(types[c]) if c in types else cell).alias(c))
     df = df.select(*out)
-    return df.orderBy(*place).limit(nrows).drop(*place) if nrows is not None else df
+    if nrows is not None:
+        df = df.orderBy(*place).limit(nrows).drop(*place)
+    if infer and schema is None:
+        if na_filter:
+            df = df.select(*[F.when(~F.col(f"`{c}`").isin(list(NA_TOKENS)), F.col(f"`{c}`")).alias(c) for c in df.columns])
+        found = infer_types(df, dates)
+        df = df.select(*[_typed(F.col(f"`{c}`"), found[c]).alias(c) for c in df.columns])
+    if index_col is not None:
+        first = df.columns[index_col] if isinstance(index_col, int) else index_col
+        df = df.select(f"`{first}`", *[f"`{c}`" for c in df.columns if c != first])
+    return df
+
+
+# The usual tokens for a missing cell, and how numbers, truth values and days are written.
+NA_TOKENS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+    "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+WHOLE = r"^\s*[+-]?[0-9]+\s*$"
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+ENDLESS = r"^\s*[+-]?(?i:inf|infinity)\s*$"
+TRUTH = r"^(?i:true|false)$"
+DAY = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+MOMENT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,6})?)?$"
+
+
+def infer_types(df: DataFrame, dates: bool = False) -> dict[str, str]:
+    """The type of each text column: bigint, double, boolean, date or timestamp_ntz where all known cells are that, else string.
+
+    One aggregate for all columns: a column's place between its possible types is a few counts, which any split of the rows
+    adds up to.  Whole numbers with missing cells are doubles and truth values with missing cells stay text, as is usual
+    for labelled tables; whole numbers beyond 64 bits are doubles too.  Days and moments are looked for with ``dates``
+    only.  A column without a known cell is double.
+    """
+    kinds = {"whole": WHOLE, "number": NUMBER, "endless": ENDLESS, "truth": TRUTH, "day": DAY, "moment": MOMENT}
+    counts = [F.count(F.lit(1)).alias("n")]
+    for i, c in enumerate(df.columns):
+        cell = F.col(f"`{c}`")
+        counts.append(F.count(cell).alias(f"known{i}"))
+        counts += [F.count(F.when(cell.rlike(p), 1)).alias(f"{k}{i}") for k, p in kinds.items()]
+        for k, p, t in (("fits", WHOLE, "bigint"), ("real", DAY, "date"), ("real2", MOMENT, "timestamp_ntz")):
+            counts.append(F.count(F.when(cell.rlike(p), F.trim(cell).try_cast(t))).alias(f"{k}{i}"))
+    row = df.agg(*counts).first()
+
+    def of(i: int) -> str:
+        known, all_known = row[f"known{i}"], row[f"known{i}"] == row["n"]
+        if not known:
+            return "double"
+        if row[f"fits{i}"] == known:
+            return "bigint" if all_known else "double"
+        if row[f"number{i}"] + row[f"endless{i}"] == known:
+            return "double"
+        if row[f"truth{i}"] == known and all_known:
+            return "boolean"
+        if dates and row[f"real{i}"] == known:
+            return "date"
+        if dates and row[f"real{i}"] + row[f"real2{i}"] == known:
+            return "timestamp_ntz"
+        return "string"
+
+    return {c: of(i) for i, c in enumerate(df.columns)}
+
+
+def _typed(cell: Column, kind: str) -> Column:
+    if kind == "string":
+        return cell
+    if kind == "double":
+        endless = F.when(cell.rlike(ENDLESS), F.when(cell.contains("-"), float("-inf")).otherwise(float("inf")))
+        return F.coalesce(endless, F.trim(cell).try_cast("double"))
+    return F.trim(cell).cast(kind)
 
 
 def union_keyed(inputs: dict[str, DataFrame], key: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import strip
 
+# Parts of a table, and the limits that HTML sets to spans.
+SECTIONS = ("thead", "tbody", "tfoot")
+MOST_ROWS, MOST_COLUMNS = 65_534, 1_000
+
 CELLS = "table_no int, row_no int, col_no int, text string, is_header boolean"
 
 
@@ -24,15 +29,19 @@ class _Cells(HTMLParser):
         self.found: list[list] = []
         self.open: list[dict] = []
         self.blocks = 0
+        self.spans: list[tuple[int, int, int, bool]] = []  # of each cell: rows, columns, section, in a head
 
     def handle_starttag(self, tag, attrs):
         if tag in self.block_tags:
-            self.open.append({"no": self.blocks, "row": -1, "col": -1, "cell": None})
+            self.open.append({"no": self.blocks, "row": -1, "col": -1, "cell": None, "section": 0, "head": False})
             self.blocks += 1
             return
         if not self.open:
             return
         at = self.open[-1]
+        if tag in SECTIONS:
+            at["section"] += 1
+            at["head"] = tag == "thead"
         if (tag == "li") if self.items else (tag == "tr"):
             at["row"] += 1
             at["col"] = -1
@@ -41,12 +50,19 @@ class _Cells(HTMLParser):
             at["col"] += 1
             at["cell"] = [at["no"], max(at["row"], 0), at["col"], "", tag == "th"]
             self.found.append(at["cell"])
+            told = dict(attrs)
+            # a row span of 0 reaches to the end of its section; a column span of 0 is 1
+            rows = min(_whole(told.get("rowspan"), 1), MOST_ROWS)
+            self.spans.append((rows, min(max(_whole(told.get("colspan"), 1), 1), MOST_COLUMNS), at["section"], at["head"]))
 
     def handle_endtag(self, tag):
         if not self.open:
             return
         if tag in self.block_tags:
             self.open.pop()
+        elif tag in SECTIONS:
+            self.open[-1]["section"] += 1
+            self.open[-1]["head"] = False
         elif tag in ("td", "th", "li"):
             self.open[-1]["cell"] = None
 
@@ -55,6 +71,81 @@ class _Cells(HTMLParser):
             self.open[-1]["cell"][3] += data
 
 
+def _whole(text: str | None, otherwise: int) -> int:
+    """The number an attribute begins with."""
+    digits = re.match(r"\s*\+?(\d+)", text or "")
+    return int(digits[1]) if digits else otherwise
+
+
+def _grid(page: str) -> Iterator[tuple]:
+    """(table, row, column, text, header, in a head row) of every place of every table, spans filled with their cell's text.
+
+    A cell takes the first place of its row that no cell of an earlier row reaches into.  Rows of a head are those of
+    ``thead``, or else the leading rows that hold header cells only.
+    """
+    walker = _Cells("table")
+    walker.feed(page or "")
+    walker.close()
+    tables: dict[int, dict[int, list]] = {}
+    for cell, span in zip(walker.found, walker.spans, strict=True):
+        tables.setdefault(cell[0], {}).setdefault(cell[1], []).append((cell, span))
+    for no, rows in sorted(tables.items()):
+        carried: dict[int, list] = {}  # column: [rows left (None: to the end of the section), cell, section, head]
+        heads = any(span[3] for cells in rows.values() for _, span in cells)
+        leading = True
+        for r in sorted(rows):
+            section = rows[r][0][1][2]
+            carried = {c: x for c, x in carried.items() if x[0] is not None or x[2] == section}
+            placed = {c: x[1] for c, x in carried.items()}
+            carried = {c: [x[0] if x[0] is None else x[0] - 1, *x[1:]] for c, x in carried.items() if x[0] is None or x[0] > 1}
+            c = 0
+            for cell, (down, across, _, _) in rows[r]:
+                while c in placed:
+                    c += 1
+                for k in range(c, c + across):
+                    if k in placed:  # overlapping spans: the earlier cell stays
+                        continue
+                    placed[k] = cell
+                    if down != 1:
+                        carried[k] = [None if down == 0 else down - 1, cell, section]
+                c += across
+            leading = leading and all(cell[4] for cell in placed.values())
+            in_head = rows[r][0][1][3] if heads else leading
+            for c, cell in sorted(placed.items()):
+                yield no, r, c, cell[3], cell[4], in_head
+
+
+def html_grid(pages: DataFrame, page_id: str, html: str) -> DataFrame:
+    """One row per place of each table, with ``rowspan`` and ``colspan`` filled in, so that columns line up.
+
+    ``is_head`` says whether the row belongs to the table's head.
+    """
+    id_type = pages.schema[page_id].dataType.simpleString()
+    columns = [page_id, "table_no", "row_no", "col_no", "text", "is_header", "is_head"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for pid, page in zip(batch[page_id], batch[html], strict=True):
+                if rows := [(pid, *place) for place in _grid(page)]:
+                    yield pd.DataFrame(rows, columns=columns)
+
+    places = pages.select(page_id, html).mapInPandas(run, f"`{page_id}` {id_type}, {CELLS}, is_head boolean")
+    return places.withColumn("text", strip(F.col("text")))
+
+
+def grid_records(grid: DataFrame, page_id: str, sep: str = " / ") -> DataFrame:
+    """Body cells with the name of their column: the different texts of its head rows from top to bottom, joined by ``sep``.
+
+    A table without a head has empty names; a long table of (page, table_no, row_no, col_no, name, text).
+    """
+    at = [page_id, "table_no", "col_no"]
+    told = F.transform(F.sort_array(F.collect_list(F.struct("row_no", "text"))), lambda r: r["text"])
+    different = F.filter(F.array_distinct(told), lambda t: t != "")
+    names = grid.filter("is_head").groupBy(*at).agg(F.array_join(different, sep).alias("name"))
+    body = grid.filter(~F.col("is_head")).join(names, at, "left")
+    return body.select(*at[:2], "row_no", "col_no", F.coalesce("name", F.lit("")).alias("name"), "text")
+
+
 def _walk(page: str, kind: str) -> list[list]:
     walker = _Cells(kind)
     walker.feed(page or "")
