@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from weftline.plans.ordered import BLOCK, POS, Line
 
@@ -81,13 +82,14 @@ def group_stream(
     """A function that reads a whole group batch by batch, in order, and yields batches of any number of rows.
 
     ``fn`` is given the group's key values and an iterator of its Arrow batches (all columns of ``df``); what it keeps
-    between batches is its state, so a group may be larger than a worker's memory.  A group is read by one task: the rows
+    between batches is its state, so a group may be larger than a worker's memory.  Its batches are cast to ``schema``.  A group is read by one task: the rows
     are dealt by key and sorted by key and order on Spark's side, which spills.  Nulls in a key are a group like others; what
     ``fn`` leaves unread of its group is passed over.
     """
     keys, order = list(keys), list(order)
     columns = df.columns
     at = [columns.index(k) for k in keys]
+    told = to_arrow_schema(T._parse_datatype_string(schema) if isinstance(schema, str) else schema)
     dealt = df.repartition(*[F.col(f"`{k}`") for k in keys]).sortWithinPartitions(*[F.asc_nulls_last(f"`{c}`") for c in (*keys, *order)])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
@@ -104,7 +106,8 @@ def group_stream(
         for _, group in groupby(runs(batches), key=lambda r: _comparable(r[0])):
             first = next(group)
             mine = (rows for _, rows in chain([first], group))
-            yield from fn(first[0], mine)
+            for made in fn(first[0], mine):
+                yield made.select(told.names).cast(told)
             for _ in mine:
                 pass
 
