@@ -308,14 +308,17 @@ def bootstrap(row_key: Sequence[str], trees: int, seed: int) -> Column:
         ends.append(int(upto * 65536))
         p /= k + 1
     text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in row_key])
-    digests = F.array(*[F.md5(F.concat_ws("|", F.lit(f"{seed}"), F.lit(f"{d}"), text)) for d in range(-(-trees // PER_DIGEST))])
+    def digits(digest: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(PER_DIGEST - 1)), lambda j: F.conv(F.substring(digest, j * 4 + 1, F.lit(4)), 16, 10).cast("int")
+        )
 
-    def drawn(t: Column) -> Column:
-        digits = F.substring(F.get(digests, (t / PER_DIGEST).cast("int")), t % PER_DIGEST * 4 + 1, F.lit(4))
-        u = F.conv(digits, 16, 10).cast("int")
-        return sum(((u >= e).cast("tinyint") for e in ends), F.lit(0).cast("tinyint"))
+    def of(d: Column) -> Column:
+        # a list of one, so that the digest is worked out once for all its digits
+        return F.flatten(F.transform(F.array(F.md5(F.concat_ws("|", F.lit(f"{seed}"), d.cast("string"), text))), digits))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), drawn)
+    drawn = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(-(-trees // PER_DIGEST) - 1)), of))
+    return F.transform(F.slice(drawn, 1, trees), lambda u: sum(((u >= e).cast("tinyint") for e in ends), F.lit(0).cast("tinyint")))
 
 
 def forest(
