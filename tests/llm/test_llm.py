@@ -257,6 +257,34 @@ def test_sharding(spark, awkward, empty, docs, monkeypatch):
         assert max(counts) - min(counts) <= 1
 
 
+def test_shards_follow_from_the_rows_alone(spark, monkeypatch):
+    """Any partitioning, and both plans, give the same rows; a third of the rows are equal, another part shares its id only."""
+    rows = spark.range(1800).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN id % 40 ELSE id END AS doc_id", "IF(id % 3 = 0, 'same', CAST(id AS string)) AS text")
+    seen = None
+    for parts, cell in ((1, 100_000), (3, 100_000), (211, 100_000), (3, 1), (16, 50)):
+        monkeypatch.setattr(sharding, "CELL_ROWS", cell)
+        got = sorted(map(str, sharding.shard_documents(rows.repartition(parts), shards=24).collect()))
+        seen = seen or got
+        assert got == seen
+
+
+def test_shards_equal_a_plain_ring(spark):
+    """Rows by arc and shard are those that a ring in Python gives."""
+    rows = spark.range(700).selectExpr("id AS doc_id", "CAST(id AS string) AS text")
+    nodes = sharding.ring(9, 64)
+    places, owners = [p for p, _ in nodes], [o for _, o in nodes]
+
+    def arc(doc_id):
+        place = zlib.crc32(hashlib.md5(str(doc_id).encode()).hexdigest().encode())
+        return next((i for i, p in enumerate(places) if p >= place), 0)
+
+    counts = Counter(arc(i) for i in range(700))
+    dealt = sharding.deal([counts[a] for a in range(len(nodes))], owners, sharding.capacities(700, 9, 0.0))
+    want = Counter({(a, s): hi - lo for a, lo, hi, s, _ in dealt})
+    got = Counter((arc(r["doc_id"]), r["shard"]) for r in sharding.shard_documents(rows, shards=9).collect())
+    assert got == want
+
+
 def test_deal_follows_the_ring():
     owners, capacity, counts = [0, 1, 2, 0, 1], [3, 2, 4], [5, 0, 1, 2, 1]
     room, where, carried = list(capacity), {}, []

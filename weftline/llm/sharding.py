@@ -8,21 +8,26 @@ the exact shares (counts differ by one at most); with slack fewer keys leave the
 
 Only the number of keys on each arc decides where the edges lie: ``shards * points`` numbers (a parameter, not the
 data) come to the driver, and a table of at most a few intervals for each arc goes back, joined to the rows by arc.
-Numbering the rows of an arc uses cells of a bounded number of rows, dealt by position in a written table, so an id
-that a third of all rows share fills many cells, not one.
-
-Cases: null ids are keys like any other (equal ids start on one arc and overflow together); null text is empty;
-repeated rows are counted one by one; an empty table gives an empty result.
+The rows of an arc are numbered by their place on the ring, then by a hash of all their columns: what a row gets follows
+from the rows alone, not from files, partitions or sizes.  Only rows equal in all columns are told apart by their position in
+a written table, and they are interchangeable.  While the largest arc has at most ``CELL_ROWS`` rows, an arc is one window; beyond that a range
+shuffle by the same order cuts all arcs into even parts, so an id that a third of all rows share fills many of them.
+
+Cases: null ids are keys like any other (rows of one id stand side by side on one arc; the edge of a full shard may fall
+between them); null text is empty; a very long text is only measured and hashed; repeated rows are counted one by one; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import bisect
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import written
+from weftline.plans.ordered import Line
+from weftline.plans.sizing import GroupSizes
 
 CELL_ROWS = 100_000
 
@@ -90,8 +95,9 @@ def on_ring(rows: DataFrame, key: str, *, shards: int, points: int = 64, slack:
     places, owners = [p for p, _ in nodes], [s for _, s in nodes]
     place = F.crc32(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
     names = rows.columns
-    packed = rows.select(F.struct(*[rows[c] for c in names]).alias("row"), place.alias("place"))
-    table = written(packed.select("row", arc_of(places, F.col("place")).alias("arc")), "ring-keys")
+    told = F.xxhash64(*[rows[c] for c in names], *[rows[c].isNull() for c in names])
+    packed = rows.select(F.struct(*[rows[c] for c in names]).alias("row"), place.alias("place"), told.alias("hash"))
+    table = written(packed.select("row", "place", "hash", arc_of(places, F.col("place")).alias("arc")), "ring-keys")
     counted = {r["arc"]: r["n"] for r in table.groupBy("arc").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = [counted.get(a, 0) for a in range(len(nodes))]
     spark = rows.sparkSession
@@ -101,24 +107,12 @@ def on_ring(rows: DataFrame, key: str, *, shards: int, points: int = 64, slack:
     plan = spark.createDataFrame(
         list(runs.items()), "plan_arc int, runs array<struct<lo: long, hi: long, shard: int, slot: long>>"
     )
-    # rows of an arc in cells; file and position of a written row never change
-    spread = max(1, -(-max(counts) // CELL_ROWS))
-    salt = F.pmod(F.xxhash64(F.col("_metadata.file_name"), F.col("_metadata.row_index")), F.lit(spread)).cast("int")
-    placed = table.select("row", "arc", salt.alias("cell"), F.col("_metadata.row_index").alias("at"), F.col("_metadata.file_name").alias("file"))
-    cells = placed.groupBy("arc", "cell").agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy("arc").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.select(
-        F.col("arc").alias("a"), F.col("cell").alias("c"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before")
-    )
-    in_cell = F.row_number().over(Window.partitionBy("arc", "cell").orderBy("file", "at"))
-    numbered = placed.select("row", "arc", "cell", in_cell.alias("number"))
-    if spread > 1:
-        offsets = written(offsets, "ring-cells")
-        numbered = numbered.join(offsets, (F.col("arc") == F.col("a")) & (F.col("cell") == F.col("c")))
-        rank = F.col("before") + F.col("number") - 1
-    else:
-        rank = F.col("number").cast("long") - 1
-    ranked = numbered.select("row", "arc", rank.alias("rank"))
+    # file and position of a written row never change
+    tie = {"file": F.col("_metadata.file_name"), "at": F.col("_metadata.row_index")}
+    placed = table.select("row", "arc", "place", "hash", *[c.alias(n) for n, c in tie.items()])
+    sizes = GroupSizes(sum(counts), len(counted), max(counts))
+    line = Line.of(placed, "arc", ["place", "hash", *tie], CELL_ROWS, sizes).with_position("rank")
+    ranked = line.result().select("row", "arc", "rank")
     joined = ranked.join(F.broadcast(plan), F.col("arc") == F.col("plan_arc"))  # shards * points rows at most
     run = F.filter("runs", lambda x: (x["lo"] <= F.col("rank")) & (F.col("rank") < x["hi"]))[0]
     out = joined.select("row", "rank", run.alias("run"))
