@@ -87,7 +87,7 @@ def _(spark, sf):
              greatest(sum(p * vol * vol) / sum(p) - (sum(p * vol) / sum(p)) ** 2, 0) + 1e-6,
              avg(greatest(d0, d1) + ln(1 + exp(-abs(d0 - d1)))), any_value(likely)
       FROM (SELECT fit.*, vol, {upper_part("vol")} AS p, {regime_part("vol", 0)} AS d0, {regime_part("vol", 1)} AS d1 FROM fit, v
-            WHERE round < 200 AND (before IS NULL OR likely - before >= 1e-6))
+            WHERE round < 100 AND (before IS NULL OR likely - before >= 1e-3))
       GROUP BY round),
     last AS (SELECT * FROM fit ORDER BY round DESC LIMIT 1)
     SELECT ticker, bar_ts, {r("CASE WHEN mean1 >= mean0 THEN p ELSE 1 - p END", "wild_probability", 4)},

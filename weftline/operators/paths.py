@@ -52,7 +52,7 @@ def normal_fit(df: DataFrame, key: Sequence[str], ret: str = "log_ret") -> DataF
 
 
 def vol_regime(
-    line: Line, ret: str = "log_ret", use_rolling_vol: bool = False, tolerance: float = 1e-6, rounds: int = 200
+    line: Line, ret: str = "log_ret", use_rolling_vol: bool = False, tolerance: float = 1e-3, rounds: int = 100
 ) -> DataFrame:
     """Calm (0) or wild (1) per row by a two-part normal mixture of the rolling deviation of all series together.
 
