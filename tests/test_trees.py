@@ -94,6 +94,14 @@ def test_boost_lowers_the_loss_each_round(planted, monkeypatch):
     assert right(scored) > 0.9
 
 
+def test_boosted_keys_grow_apart(planted):
+    both = T.boost(planted, NAMES, "y", keys=["k"], rounds=2, depth=2)
+    alone = T.boost(planted.filter("k = 'y'"), NAMES, "y", rounds=2, depth=2)
+    mine = both.nodes.filter("k = 'y'").drop("k")
+    assert sorted(map(repr, mine.collect())) == sorted(map(repr, alone.nodes.collect()))
+    assert T.boost(planted.limit(0), NAMES, "y", rounds=2, depth=2).nodes.count() == 0
+
+
 def test_tiny_inputs(spark):
     rows = spark.createDataFrame([(1, "x", 1.0, 1.0, 1.0, 1.0, 1), (2, "x", 1.0, 1.0, 1.0, 1.0, None)], SCHEMA)
     model = T.forest(rows, NAMES, "y", ["id"], trees=6, depth=2)
