@@ -211,3 +211,34 @@ def test_split_random_is_a_partition(spark):
     train, test = S.split_random(df, ["id"], share=0.25)
     assert train.count() + test.count() == 3000 and train.join(test, "id").count() == 0
     assert 600 < test.count() < 900
+
+
+def test_spectral_step_keeps_rows_between_batches(spark):
+    """Batches of 7 rows, gaps, several keys and a filter above: each row sees exactly the values before it."""
+    import numpy as np
+
+    from weftline.functions.spectrum import batch_periods
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for key, n in (("a", 150), ("b", 9), ("c", 80)):
+        for i in range(n):
+            close = float(np.sin(i / 1.7) + 0.1 * rng.normal()) if (key, i) != ("a", 70) else None
+            rows.append((key, i, close))
+    by_key = {k: [r[2] for r in rows if r[0] == k] for k in "abc"}
+    want = {}
+    for key, values in by_key.items():
+        for i in range(len(values)):
+            past = values[i - 16 : i] if i >= 16 else []
+            got = batch_periods(np.array([past], float))[0] if past and None not in past else np.nan
+            want[key, i] = None if np.isnan(got) else got
+    df = spark.createDataFrame(rows, "k string, i int, close double").repartition(5)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for limit in (None, 30):
+            line = I.add(Line.of(df, "k", "i", limit), I.raw_period(16))
+            out = line.result().filter("i % 3 = 0").collect()
+            assert {(r.k, r.i): r.dominant_period for r in out} == {k: v for k, v in want.items() if k[1] % 3 == 0}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.maths import signed_zero
 from weftline.plans.ordered import Line
+from weftline.plans.sizing import written
 from weftline.sources import bars as bar_source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,13 +43,18 @@ def grid(spark: SparkSession, sf: str) -> DataFrame:
     return bar_source.bars_grid(bars(spark, sf))
 
 
+def bars_once(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars as a written table: the size check of a line and its use share one reading of the events."""
+    return written(bars(spark, sf), "bars")
+
+
 def bar_line(spark: SparkSession, sf: str) -> Line:
-    return Line.of(bars(spark, sf), "ticker", "bar_ts")
+    return Line.of(bars_once(spark, sf), "ticker", "bar_ts")
 
 
 def split_line(spark: SparkSession, sf: str) -> Line:
     """Bars in blocks of 300 rows: the plan of a key that fits no task, with the rows of the other plan."""
-    return Line.of(bars(spark, sf), "ticker", "bar_ts", limit=300)
+    return Line.of(bars_once(spark, sf), "ticker", "bar_ts", limit=300)
 
 
 def grid_line(spark: SparkSession, sf: str) -> Line:

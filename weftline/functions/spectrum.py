@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,15 +35,39 @@ def batch_periods(x: np.ndarray) -> np.ndarray:
     return np.where(good, period, np.nan)
 
 
-def dominant_period(n: int) -> Callable[[Column], Column]:
-    """Column function: array of ``n`` doubles to its period, null when there is none."""
+def dominant_period(n: int) -> Callable[[Column, Column, Column], Column]:
+    """Column function (value, value of the row before, whether a part starts here) to the period of the ``n`` values
+    before the row; null where there are fewer or one is missing.
+
+    A row crosses to Python as its own values, not as its window: the function keeps the last ``n`` values between
+    Arrow batches and lays a sliding view over them.  So it belongs right after the window that gives the other two
+    arguments, whose order it relies on, and the row before is compared to make sure of that.  It is declared
+    nondeterministic so that no filter moves below it.
+    """
 
     @F.pandas_udf("double")
-    def period(windows: pd.Series) -> pd.Series:
-        out = np.full(len(windows), np.nan)
-        full = windows.notna().to_numpy()
-        if full.any():
-            out[full] = batch_periods(np.stack(windows[full].to_numpy()))
-        return pd.Series(out).where(lambda s: s.notna(), None)
-
-    return period
+    def period(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        held, run = np.zeros(n), 0  # the last values, and how many before the next row belong to its part without a gap
+        ahead = None
+        for value, before, starts in batches:
+            x, here = value.to_numpy(float), np.arange(len(value))
+            if not len(x):
+                yield pd.Series([], dtype=float)
+                continue
+            starts = starts.to_numpy(bool)
+            x_before = np.concatenate(([np.nan if ahead is None else ahead], x[:-1]))
+            told = before.to_numpy(float)
+            if ((told != x_before) & ~(np.isnan(told) & np.isnan(x_before)) & ~starts).any():
+                raise RuntimeError("rows of a window left their order before the spectral step")
+            gap = np.concatenate(([False], np.isnan(x[:-1]))) | (here == 0) & (ahead is not None and np.isnan(ahead))
+            base = np.maximum.accumulate(np.where(starts | gap, here, -run))
+            run_here = here - base
+            full = run_here >= n
+            joined = np.concatenate((held, x))
+            out = np.full(len(x), np.nan)
+            if full.any():
+                out[full] = batch_periods(np.lib.stride_tricks.sliding_window_view(joined, n)[:-1][full])
+            held, run, ahead = joined[-n:].copy(), int(run_here[-1]) + 1, x[-1]
+            yield pd.Series(out).where(lambda s: s.notna(), None)
+
+    return period.asNondeterministic()

@@ -344,8 +344,13 @@ def garch_vol(line: Line, out: str = "garch_vol") -> Line:
 
 def raw_period(n: int = SPECTRUM_ROWS, out: str = "dominant_period") -> Indicator:
     """Spectral period of the ``n`` closes before the row."""
-    udf = period_of(n)
-    return Indicator((lambda f: {out: udf(S.window_list(F.col("close"), n, f))},), n, (out,))
+    udf, before, first = period_of(n), f"__{out}_before", f"__{out}_first"
+
+    def neighbours(f: Frame) -> dict[str, Column]:
+        lag = F.lag(F.lit(1), 1).over(f.spec())
+        return {"__period_close": F.col("close").cast("double"), before: F.lag(F.col("close").cast("double"), 1).over(f.spec()), first: lag.isNull()}
+
+    return Indicator((neighbours, lambda f: {out: udf("__period_close", before, first)}), n, (out,))
 
 
 def smooth(line: Line, column: str) -> Line:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.plans.sizing import one_row
+from weftline.plans.sizing import one_row, written
 
 VALUE_COLUMNS = ("open", "high", "low", "close", "volume")
 
@@ -55,7 +55,10 @@ def bars_grid(priced: DataFrame, step: str = "interval 1 hour") -> DataFrame:
     The grid is unfolded per ticker from its two end points, so no join of all
     tickers with all steps is made before the (ticker, step) key exists; it is
     unfolded in runs of ``GRID_RUN`` steps, so no row ever holds a whole grid.
+    Span, tickers and values come from one writing of the bars, so that what
+    they are made from is read once.
     """
+    priced = written(priced, "bars")
     ends = one_row(priced, {"first": F.min("bar_ts"), "last": F.max("bar_ts")})
     start = F.to_date(ends["first"]).cast("timestamp_ntz")
     stop = F.date_add(F.to_date(ends["last"]), 1).cast("timestamp_ntz") - F.expr(step)
