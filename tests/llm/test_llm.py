@@ -1,13 +1,16 @@
 """The training-data operators against plain versions, and on awkward rows."""
 
 import hashlib
+import itertools
 import os
 import re
 import sys
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
@@ -393,6 +396,48 @@ def test_scores(spark, awkward, empty, labels, operator, label, of, part):
     assert plain(operator.score_documents(few, known).orderBy("doc_id")) == plain(operator.score_documents(few, twisted).orderBy("doc_id"))
 
 
+def test_pu_needs_no_negatives(spark):
+    docs, known = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    share = known.agg(F.avg("quality")).first()[0]
+    got = pu.score_documents(docs, known.filter("quality = 1")).filter("held_out").join(known, "doc_id").select("quality", "predicted", "prior").collect()
+    assert sum(a == b for a, b, _ in got) / len(got) > 0.95
+    assert abs(got[0]["prior"] - share) < 0.05
+    # one text for each id, whatever repeats; the answer is that of the table without repeats
+    few = docs.limit(300).cache()
+    again = few.unionByName(few.limit(1).withColumn("copy", F.explode(F.array_repeat(F.lit(1), 500))).drop("copy"))
+    one, two = (plain(pu.score_documents(d, known).dropDuplicates().orderBy("doc_id")) for d in (few, again))
+    assert one == two
+
+
+def test_pu_slopes_follow_the_risk():
+    rng = np.random.default_rng(5)
+
+    def loss(z):
+        return np.log(1 + np.exp(-z))
+
+    for prior, shift in ((0.3, 0.0), (0.9, -4.0)):
+        gp, gu = rng.normal(size=9), rng.normal(size=7) + shift
+        hidden = loss(-gu).mean() - prior * loss(-gp).mean()
+        assert (hidden >= 0) == (prior == 0.3)
+
+        def risk(p, u):
+            rest = loss(-u).mean() - prior * loss(-p).mean()
+            return prior * loss(p).mean() + rest if hidden >= 0 else -rest
+
+        want_p = [(risk(gp + h, gu) - risk(gp - h, gu)) / 2e-6 for h in np.eye(9) * 1e-6]
+        want_u = [(risk(gp, gu + h) - risk(gp, gu - h)) / 2e-6 for h in np.eye(7) * 1e-6]
+        rp, ru = pu.slopes(gp, gu, prior)
+        assert np.allclose(rp, want_p, atol=1e-6) and np.allclose(ru, want_u, atol=1e-6)
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.85])
+def test_prior_of_a_planted_mixture(share):
+    rng = np.random.default_rng(6)
+    good, bad = rng.normal(1.5, 1, (9000, pu.WIDTH)), rng.normal(-1.5, 1, (4000, pu.WIDTH))
+    n = int(4000 * share)
+    assert abs(pu.estimate_prior(good[:4000], np.concatenate((good[4000 : 4000 + n], bad[: 4000 - n]))[rng.permutation(4000)]) - share) < 0.03
+
+
 def test_lexicon_folds_and_excepts():
     bad = [(f"you {w} number {k}", 1) for k in range(30) for w in ("gr0mble", "grоmble", "GROMBLE")]
     fine = [(f"a quiet gromble stone stands {k}", 0) for k in range(40)] + [(f"plain words {k}", 0) for k in range(200)]
