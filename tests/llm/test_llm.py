@@ -316,6 +316,39 @@ def test_mixing(spark, awkward, empty, docs):
     assert mixing.mixed(awkward, **how).columns == awkward.columns
 
 
+@pytest.mark.parametrize("file_rows", [1_000_000, 40])
+def test_mixing_parts_equal_rows(spark, docs, monkeypatch, file_rows):
+    """Half of all rows is one row: every source still ends within a document of its target, as the SQL says."""
+    import duckdb
+
+    from weftline.llm.queries import ORACLES
+
+    monkeypatch.setattr(mixing, "FILE_ROWS", file_rows)
+    n = docs.count()
+    clashing = docs.withColumn("size", F.lit(1)).withColumn("hash", F.lit("x")).withColumn("mix_rank", F.lit(3))
+    one = clashing.filter("size(split(text, ' ')) between 300 and 900").orderBy("doc_id").limit(1).withColumn("k", F.explode(F.array_repeat(F.lit(1), n))).drop("k")
+    rows = clashing.unionByName(one).repartition(7).cache()
+    how = {"weights": (5, 2, 1), "share": 1.5}
+    got = plain(mixing.mix(rows, **how))
+    assert len(got) == 2 * n
+    by, largest = defaultdict(int), defaultdict(int)
+    for r in got:
+        at = (r["source_size"], r["target"])
+        by[at] += r["taken"]
+        largest[at] = max(largest[at], r["size"])
+    assert all(abs(v - at[1]) <= largest[at] for at, v in by.items())
+    common = Counter(r["taken"] for r in got if r["doc_id"] == one.first()["doc_id"])
+    assert len(common) > 1  # the edge fell among the equal rows
+    con = duckdb.connect()
+    con.register("documents", rows.select("doc_id", "text", "source").toPandas())
+    want = con.execute(ORACLES["op8_hash_threshold_mix"]).fetchall()
+    names = [c[0] for c in con.description]
+    assert Counter(tuple(r[c] for c in names) for r in got) == Counter(want)
+    full = mixing.mixed(rows, **how)
+    assert full.columns == rows.columns
+    assert Counter(r["doc_id"] for r in plain(full.select("doc_id"))) == +Counter(i for r in got if r["size"] for i in [r["doc_id"]] * (r["taken"] // r["size"]))
+
+
 def test_warc(spark):
     big, page = "é\r\n\r\nWARC/1.1\r\n" * 100, "p" * 999
     rows = [(1, "u", big), (2, None, big), (3, "u v", big), (4, "u", page), (5, "u", page), (6, "u", None), (7, "u", ""), (None, "u", big), (3, "u", big)]

@@ -92,7 +92,7 @@ WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
          substr(md5(concat_ws('|', coalesce(doc_id::VARCHAR, ''), coalesce(text, ''))), 1, 12) AS h
   FROM documents
-), s AS (
+), r AS (SELECT *, row_number() OVER (PARTITION BY source, h) AS place FROM d), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, 2.0 * sum(size)::DOUBLE AS cap,
          [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight
   FROM d GROUP BY source
@@ -107,10 +107,10 @@ WITH d AS (
   FROM f
 ), k AS (
   SELECT source, source_size, target, c.k, target - c.k * source_size AS budget FROM g, (VALUES (0), (1)) c(k)
-), b AS (SELECT source, h, sum(size) AS size FROM d GROUP BY 1, 2),
+), b AS (SELECT source, h, sum(size) AS size, count(*) AS n FROM d GROUP BY 1, 2),
 c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h) AS upto FROM b),
 e AS (
-  SELECT k.source, k.k, min(struct_pack(h := c.h, before := upto - size, upto := upto)) AS x, any_value(budget) AS budget
+  SELECT k.source, k.k, min(struct_pack(h := c.h, before := upto - size, one := size::DOUBLE / n, n := n)) AS x, any_value(budget) AS budget
   FROM k JOIN c ON k.source IS NOT DISTINCT FROM c.source AND budget > 0 AND budget < source_size AND upto > budget
   GROUP BY 1, 2
 ), t AS (
@@ -118,14 +118,14 @@ e AS (
          max(CASE WHEN k.k = 0 AND k.budget >= source_size THEN 1 ELSE 0 END) AS all0,
          max(CASE WHEN k.k = 1 AND k.budget >= source_size THEN 1 ELSE 0 END) AS all1,
          max(CASE WHEN k.k = 0 THEN x.h END) AS h0, max(CASE WHEN k.k = 1 THEN x.h END) AS h1,
-         bool_or(k.k = 0 AND x.upto - e.budget < e.budget - x.before) AS w0,
-         bool_or(k.k = 1 AND x.upto - e.budget < e.budget - x.before) AS w1
+         max(CASE WHEN k.k = 0 THEN least(x.n, greatest(0, ceil(((e.budget - x.before) * 2 - x.one) / (x.one * 2)))) END) AS j0,
+         max(CASE WHEN k.k = 1 THEN least(x.n, greatest(0, ceil(((e.budget - x.before) * 2 - x.one) / (x.one * 2)))) END) AS j1
   FROM k LEFT JOIN e ON k.source IS NOT DISTINCT FROM e.source AND k.k = e.k GROUP BY 1, 2, 3
 )
 SELECT doc_id, size, source_size, target,
-       (size * ((all0 = 1 OR coalesce(h < h0 OR (w0 AND h = h0), false))::INT
-                + (all1 = 1 OR coalesce(h < h1 OR (w1 AND h = h1), false))::INT))::BIGINT AS taken
-FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+       (size * ((all0 = 1 OR coalesce(h < h0 OR (h = h0 AND place <= j0), false))::INT
+                + (all1 = 1 OR coalesce(h < h1 OR (h = h1 AND place <= j1), false))::INT))::BIGINT AS taken
+FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source
 """)
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"), **MIX)
