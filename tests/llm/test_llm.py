@@ -388,6 +388,48 @@ def test_line_crf(spark, awkward, empty, labels, docs):
     assert linecrf.apply_rules(awkward, labels.limit(0)).count() == len(AWKWARD)
 
 
+def test_line_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    crf = linecrf.learn_from(docs, labels.filter(~held))
+    rows = docs.join(labels.filter(held & F.col("quality").isNotNull()), "doc_id").orderBy("doc_id").select("text", "quality").collect()
+
+    def judged(texts):
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        cuts = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+        lines = linecrf.lines_of(data, cuts)
+        return linecrf.judge(data, cuts, crf), linecrf.viterbi(crf.bins.score(lines.x, crf.emit), lines.first, crf), lines.words
+
+    known = [(r["text"] or "", r["quality"]) for r in rows]
+    out, _, _ = judged([t for t, _ in known])
+    truth = np.array([q == 1 for _, q in known])
+    assert (out["kept"] == truth).mean() > 0.96
+    assert ((out["content_words"] > 0) & (out["content_words"] < out["n_words"])).mean() > 0.03
+    # documents joined from a good and a bad one, in both orders: lines get the label of their half
+    halves = zip([t for t, q in known if q == 1 and t], [t for t, q in known if q == 0 and t])
+    right = total = 0
+    for k, (good, bad) in enumerate(halves):
+        parts = [(good, 1), (bad, 0)][:: 1 if k % 2 else -1]
+        want = np.concatenate([np.full(t.count("\n") + 1, q) for t, q in parts])
+        _, got, n = judged(["\n".join(t for t, _ in parts)])
+        right, total = right + ((got == want) & (n > 0)).sum(), total + (n > 0).sum()
+    assert total > 500 and right / total > 0.9
+
+
+def test_best_share():
+    share, good = np.array([0.0, 0.1, 0.4, 0.6, 0.9, 1.0]), np.array([0, 0, 0, 1, 1, 1], bool)
+    assert linecrf.best_share(share, good) == 0.5
+    assert linecrf.best_share(share, ~good) in (0.05, 0.95)  # any cut between two values; one right beyond none
+    assert linecrf.best_share(np.ones(4), good[:4]) == linecrf.KEEP_SHARE
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        share, good = rng.integers(0, 6, 12) / 5, rng.random(12) < 0.5
+        cut = linecrf.best_share(share, good)
+        values = np.unique(share)
+        if len(values) > 1:
+            assert ((share >= cut) == good).sum() == max(((share >= (a + b) / 2) == good).sum() for a, b in zip(values, values[1:]))
+
+
 def test_crf_steps_match_enumeration():
     import itertools
 

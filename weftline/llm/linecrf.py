@@ -2,17 +2,25 @@
 
 A document is a sequence of its lines.  The score of a labelling is the sum of a weight for each line's shape features
 (one-hot bins, and whether the line was there before) under its label and a weight for each pair of neighbouring
-labels.  The weights maximise the conditional likelihood of labelled documents, in which the lines of good documents
-are content and those of bad ones boilerplate; Viterbi decoding gives each line's label, and a document is kept if
-enough of its words stand in content lines and it doesn't fail the base rules.
+labels.  Viterbi decoding gives each line's label, and a document is kept if enough of its words stand in content
+lines and it doesn't fail the base rules.
+
+Only documents are labelled, so the labels of lines are hidden while learning, and what is known of them is a bound on
+the share of words in content lines: at least ``GOOD`` in a good document, at most ``BAD`` in a bad one.  This is
+expectation and maximisation under posterior constraints: the expected labels are those of the field closest to the
+present one that holds the bound (a shift of all lines of a document, zero where the bound holds anyway, found by dual
+ascent), and the weights move towards them.  So an ordinary line of a bad document may be content, as lines like it are
+in good documents, if others there explain the label.  The share that a document needs is the one that parts the
+learning documents best.
 
 Forward, backward and Viterbi steps run over many documents at once, line by line.  Learning takes at most ``SAMPLE``
-labelled documents, chosen by the hash of their id, to the driver, as line features.  The rest is one pass over all
-whole texts without a shuffle.
+labelled documents, chosen by the hash of their id and one text an id, to the driver, as line features.  The rest is
+one pass over all whole texts without a shuffle.
 
 Cases: null or empty text: no words, base_failed (fewer than 10 words), not kept; lines without words carry no
-features but a constant and count for nothing; null or repeated ids are judged like others; without labelled
-documents of both kinds all lines are content.
+features but a constant and count for nothing; null or repeated ids are judged like others (of several texts of a
+learning id the smallest is learnt from, of several labels the smaller one); without labelled documents of both kinds
+all lines are content.
 """
 
 from __future__ import annotations
@@ -30,7 +38,9 @@ from weftline.llm.features import WIDTH, Bins, features
 
 SAMPLE = 6000
 STEPS, RATE, RIDGE = 150, 0.1, 1e-3
-KEEP_SHARE = 0.5
+KEEP_SHARE = 0.5  # before anything is learnt
+GOOD, BAD = 0.98, 0.2
+ASCENT = 1.0
 LINE_WIDTH = WIDTH + 1
 OUT = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -42,12 +52,14 @@ _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 @dataclass
 class Crf:
-    """Emission weights (width, 2) over binned line features, transitions (2, 2) and start weights; 1 is content."""
+    """Emission weights (width, 2) over binned line features, transitions (2, 2), start weights, and the share of words
+    in content lines that a document needs; 1 is content."""
 
     bins: Bins | None
     emit: np.ndarray
     step: np.ndarray
     start: np.ndarray
+    share: float = KEEP_SHARE
 
 
 def _ranks(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,33 +127,61 @@ def viterbi(score: np.ndarray, first: np.ndarray, crf: Crf) -> np.ndarray:
     return label
 
 
-def fit(x: np.ndarray, first: np.ndarray, good: np.ndarray) -> Crf:
-    """Adam on the conditional log-likelihood; ``good`` by sequence."""
+def content_share(value: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Mean of ``value`` over the lines of each sequence, by ``weight``; 0 where no line weighs anything."""
+    run, all_of = (np.concatenate(([0.0], np.cumsum(v))) for v in (value * weight, weight))
+    return (run[first[1:]] - run[first[:-1]]) / np.maximum(all_of[first[1:]] - all_of[first[:-1]], 1e-12)
+
+
+def best_share(share: np.ndarray, good: np.ndarray) -> float:
+    """The least share for which most sequences fall on their side; of equally good ones, the nearest to a half."""
+    order = np.argsort(share, kind="stable")
+    s, g = share[order], good[order]
+    # a cut before position k calls the first k bad
+    right = np.concatenate(([0], np.cumsum(~g))) + g.sum() - np.concatenate(([0], np.cumsum(g)))
+    cut = np.concatenate(([0.0], (s[:-1] + s[1:]) / 2, [1.0]))
+    real = np.concatenate(([False], s[:-1] < s[1:], [False]))
+    if not real.any():
+        return KEEP_SHARE
+    best = np.flatnonzero(real & (right == right[real].max()))
+    return float(cut[best[np.argmin(np.abs(cut[best] - KEEP_SHARE))]])
+
+
+def fit(x: np.ndarray, first: np.ndarray, good: np.ndarray, weight: np.ndarray) -> Crf:
+    """Adam on the constrained likelihood; ``good`` by sequence, ``weight`` (words) by line."""
     nothing = Crf(None, np.zeros((0, 2)), np.zeros((2, 2)), np.zeros(2))
     if not len(x) or good.all() or not good.any():
         return nothing
     bins = Bins(x)
     index = bins.index(x)
-    truth = np.repeat(good.astype(int), np.diff(first))
-    hot = np.eye(2)[truth]
-    starts = first[:-1][np.diff(first) > 0]
-    inner = np.ones(len(x), bool)
-    inner[starts] = False
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (truth[np.flatnonzero(inner) - 1], truth[inner]), 1)
+    lines = np.diff(first)
+    doc = np.repeat(np.arange(len(good)), lines)
+    total = np.bincount(doc, weight, len(good))
+    pull = weight / np.maximum(total, 1)[doc] * lines[doc]  # one on average, by words
+    side = np.where(good, 1.0, -1.0)
+    bound = np.where(good, GOOD, BAD)
+    dual = np.full(len(good), 2.0)
     crf = Crf(bins, np.zeros((bins.width, 2)), np.zeros((2, 2)), np.zeros(2))
     size = bins.width * 2
     m, v = np.zeros(size + 6), np.zeros(size + 6)
     for t in range(1, STEPS + 1):
-        marginal, pairs, begin = expectations(crf.emit[index].sum(axis=1) + crf.emit[-1], first, crf)
+        score = crf.emit[index].sum(axis=1) + crf.emit[-1]
+        free, free_pairs, free_start = expectations(score, first, crf)
+        score[:, 1] += (side * dual)[doc] * pull
+        held, held_pairs, held_start = expectations(score, first, crf)
+        missing = side * (bound - content_share(held[:, 1], weight, first))
+        dual = np.where(total > 0, np.maximum(dual + ASCENT * missing, 0.0), 0.0)
         gradient = np.concatenate(
-            [bins.add(index, marginal - hot).ravel(), (pairs - seen).ravel(), begin - hot[starts].sum(axis=0)]
+            [bins.add(index, free - held).ravel(), (free_pairs - held_pairs).ravel(), free_start - held_start]
         ) / len(x)
         flat = np.concatenate([crf.emit.ravel(), crf.step.ravel(), crf.start])
         gradient += RIDGE * flat
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         flat = flat - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         crf.emit, crf.step, crf.start = flat[:size].reshape(-1, 2), flat[size : size + 4].reshape(2, 2), flat[size + 4 :]
+    label = viterbi(bins.score(x, crf.emit), first, crf)
+    some = total > 0
+    crf.share = best_share(content_share(label == 1, weight, first)[some], good[some])
     return crf
 
 
@@ -225,7 +265,7 @@ def judge(data: np.ndarray, cuts: np.ndarray, crf: Crf) -> dict[str, np.ndarray]
     out["content_words"] = run[lines.first[1:]] - run[lines.first[:-1]]
     n = out["n_words"]
     out["base_failed"] = (n < 10) | (100 * out["n_repeat_words"] > 20 * n)
-    out["kept"] = ~out["base_failed"] & (out["content_words"] >= KEEP_SHARE * n)
+    out["kept"] = ~out["base_failed"] & (out["content_words"] >= crf.share * n)
     return out
 
 
@@ -234,25 +274,29 @@ def _line_rows(batch: pa.RecordBatch) -> Iterator[dict]:
     for i, j in pieces(offsets):
         part, cuts = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         lines = lines_of(part, cuts)
+        x = np.hstack([lines.x, lines.words[:, None]]).astype(np.float32)
         yield {
             "doc_id": batch.column("doc_id").slice(i, j - i),
             "good": batch.column("good").slice(i, j - i),
-            "x": pa.array([lines.x[a:b].astype(np.float32).tobytes() for a, b in zip(lines.first[:-1], lines.first[1:], strict=True)], pa.binary()),
+            "x": pa.array([x[a:b].tobytes() for a, b in zip(lines.first[:-1], lines.first[1:], strict=True)], pa.binary()),
         }
 
 
 def learn_from(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample: int = SAMPLE) -> Crf:
     order = F.md5(F.concat(F.lit("crf"), F.col("doc_id").cast("string")))
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-    few = known.select("doc_id", F.col(label).cast("int").alias("good")).dropDuplicates(["doc_id"]).orderBy(order, "doc_id").limit(sample)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "good", "text")
-    rows = map_arrow(chosen, _line_rows, "doc_id long, good int, x binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
-    parts = [np.frombuffer(r["x"], np.float32).reshape(-1, LINE_WIDTH) for r in rows]
-    if not parts:
-        return fit(np.zeros((0, LINE_WIDTH)), np.zeros(1, np.int64), np.zeros(0, bool))
-    first = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-    return fit(np.concatenate(parts).astype(float), first, np.array([r["good"] == 1 for r in rows]))
+    few = known.groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("good")).orderBy(order, "doc_id").limit(sample)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "good").agg(F.min("text").alias("text"))
+    rows = map_arrow(chosen.select("doc_id", "good", "text"), _line_rows, "doc_id long, good int, x binary").collect()
+    rows.sort(key=lambda r: r["doc_id"])
+    return learn([np.frombuffer(r["x"], np.float32).reshape(-1, LINE_WIDTH + 1) for r in rows], [r["good"] == 1 for r in rows])
+
+
+def learn(documents: list[np.ndarray], good: list[bool]) -> Crf:
+    """A field from the lines of documents (features, and words last) and their labels."""
+    first = np.concatenate(([0], np.cumsum([len(p) for p in documents]))).astype(np.int64)
+    x = np.concatenate([np.zeros((0, LINE_WIDTH + 1), np.float32), *documents]).astype(float)
+    return fit(x[:, :-1], first, np.array(good, bool), x[:, -1])
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
