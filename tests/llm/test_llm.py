@@ -363,6 +363,37 @@ def test_warc(spark):
     assert warc.deduplicate(pages.limit(0)).count() == 0
 
 
+def test_archive_files(spark, tmp_path):
+    big = "é" * 600
+    rows = [(k, f"http://h/{k % 7}", f"{k}" * k if k % 3 else big) for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    resolved = warc.resolve(pages)
+    one, many = str(tmp_path / "one"), str(tmp_path / "many")
+    warc.write_archives(resolved, one)
+    warc.write_archives(resolved, many, file_bytes=1000)
+    files = {p: sorted(f for f in os.listdir(p) if f.startswith("part-")) for p in (one, many)}
+    assert len(files[one]) <= 2 < len(files[many])
+    whole = [Counter(tuple(r) for r in warc.read_archives(spark, p).collect()) for p in (one, many)]
+    assert whole[0] == whole[1] and sum(whole[0].values()) == 60 and all(r[-1] for r in whole[0])
+    for f in files[many]:
+        content = open(os.path.join(many, f), "rb").read()
+        found = list(warc.parse(content))
+        assert found and (len(found) == 1 or len(content) <= 1000)
+        for headers, block in found:
+            if headers["WARC-Type"] == "revisit":
+                assert headers["WARC-Refers-To"].startswith("<urn:page:57:") and not block.partition(b"\r\n\r\n")[2]
+                assert headers["WARC-Refers-To-Target-URI"] == "http://h/1"
+                assert headers["WARC-Refers-To-Date"] == headers["WARC-Date"]
+    # a changed byte of a payload is found by its digest, a cut file by its record end
+    content = open(os.path.join(one, files[one][0]), "rb").read()
+    headers, block = next((h, b) for h, b in warc.parse(content) if h["WARC-Type"] == "response" and len(b.partition(b"\r\n\r\n")[2]) > 20)
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0").write_bytes(content.replace(block, block[:-1] + b"#", 1))
+    assert sum(not r["whole"] for r in warc.read_archives(spark, str(tmp_path / "bad")).collect()) == 1
+    with pytest.raises(ValueError):
+        list(warc.parse(content[:-3]))
+
+
 def base_counts(text):
     text = text or ""
     w, seen, dup = WORD.findall(text), set(), 0
