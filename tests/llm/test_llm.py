@@ -544,10 +544,52 @@ def test_prior_of_a_planted_mixture(share):
     assert abs(pu.estimate_prior(good[:4000], np.concatenate((good[4000 : 4000 + n], bad[: 4000 - n]))[rng.permutation(4000)]) - share) < 0.03
 
 
-def test_lexicon_folds_and_excepts():
+def folded_table(spark, rows):
+    return spark.createDataFrame(sorted({(y, toxicity.fold(t)) for t, y in rows}), "label int, folded string").repartition(3)
+
+
+def test_folding():
+    for text in ("You IDIOT", "you \u0456di\u043et", "you 1d10t", "yo\u200bu id\u0301iot!", "you \uff49\uff44\uff49\uff4f\uff54", "you  \U0001d422\U0001d41dio\u00adt"):
+        assert toxicity.fold(text) == " you idiot "
+    assert toxicity.fold("\ufb01n") == " fin " and toxicity.fold(None) == toxicity.fold("") == "  "
+
+
+def test_lexicon_matches_plain_scan():
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("ab"), rng.integers(1, 6))) for _ in range(40)]
+    weights = {(f" {w}" if k % 2 else f" {w} "): float(k % 7 + 1) for k, w in enumerate(sorted(set(words))[::2]) if len(w) > 1}
+    lexicon = toxicity.Lexicon(weights)
+    for _ in range(200):
+        text = toxicity.fold(" ".join(rng.choice(words, rng.integers(0, 12))))
+        want = {}
+        for at in range(len(text)):
+            hits = [w for e, w in weights.items() if text.startswith(e, at)]
+            if hits:
+                want[at] = max(hits)
+        assert toxicity.matched(lexicon.automaton(), text) == want
+        total, n = toxicity.sums(text, lexicon.automaton(), frozenset())
+        assert total == sum(want.values()) and n == len(text.split())
+
+
+def test_lexicon_counts_match_plain_ones(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    lexicon = toxicity.learn_from(docs, labels, label="toxic", learns=F.lit(True))
+    rows = {(r["toxic"], toxicity.fold(r["text"])) for r in docs.join(labels, "doc_id").collect()}
+    sides = [[t for y, t in rows if y], [t for y, t in rows if not y]]
+    a, b = (Counter(g for t in side for g in toxicity._entries(t)) for side in sides)
+    n, m = map(len, sides)
+    want = toxicity.choose([(g, c, b[g]) for g, c in a.items() if c >= max(3, n // 200)], n, m)
+    assert want and lexicon.weights == want
+    machine = toxicity.Lexicon(want).automaton()
+    around = [Counter(p for t in side for p in {p for at in toxicity.matched(machine, t) for p in toxicity.phrases(t, at) if p}) for side in sides]
+    assert lexicon.exceptions == {p for p, c in around[1].items() if c >= 5 and not around[0][p]}
+
+
+
+def test_lexicon_folds_and_excepts(spark):
     bad = [(f"you {w} number {k}", 1) for k in range(30) for w in ("gr0mble", "grоmble", "GROMBLE")]
     fine = [(f"a quiet gromble stone stands {k}", 0) for k in range(40)] + [(f"plain words {k}", 0) for k in range(200)]
-    lexicon = toxicity.learn(bad + fine)
+    lexicon = toxicity.learn(folded_table(spark, bad + fine))
     machine = lexicon.automaton()
     s = {t: float(toxicity.score(lexicon, *[__import__("numpy").array([float(x)]) for x in toxicity.sums(toxicity.fold(t), machine, lexicon.exceptions)])[0]) for t in ("you gr0mble", "a quiet gromble stone", "")}
     assert s["you gr0mble"] > 0.7 > s["a quiet gromble stone"] and s[""] < 0.5

@@ -1,14 +1,16 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
-Folding lower-cases, maps letters of other scripts that look like Latin ones and digits or signs that stand for letters
-to those letters, and puts one space between words.  A lexicon entry is a whole word or the beginning of a word (word
+Folding takes compatibility forms apart, drops marks and signs without width, lower-cases, maps letters of other scripts
+that look like Latin ones and digits or signs that stand for letters to those letters, and puts one space between words.  A lexicon entry is a whole word or the beginning of a word (word
 stems with changing endings); its weight is the log odds of the entry in toxic against other documents.  An exception
 phrase is an entry with the word before or after it which, in the labelled rows, stands in documents that are not
 toxic; there the entry does not count.  A word counts once, with its largest weight.  The sum of weights is
 normalised by length in three ways (share of words, by the square root of the words, logarithm of the sum), and a
 logistic curve over these, fitted on the labelled rows, gives the score.
 
-Learning takes at most ``SAMPLE`` labelled rows, chosen by the hash of their id, to the driver.  Scoring is one narrow
+Learning uses at most ``SAMPLE`` labelled documents, chosen by the hash of their id and one text an id.  Their folded
+texts are a table; entries, phrases and sums are counted in tasks, and only counts and three numbers a text reach the
+driver.  Scoring is one narrow
 pass over all whole texts without a shuffle, with the lexicon (at most ``ENTRIES`` entries) as a broadcast.
 
 Cases: null and empty texts have no words and get the score of a text without hits; null or repeated ids are scored
@@ -19,8 +21,9 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -30,11 +33,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import crc_of_id, map_arrow
+from weftline.llm.common import crc_of_id, map_arrow, written
 
 SAMPLE = 10_000
 ENTRIES = 400
 THRESHOLD = 0.7
+LEAST_GAIN = 12
+_BUILT: dict = {}
 SHORTEST, LONGEST = 3, 12
 #: Letters that look alike, and digits and signs used as letters.
 LOOKALIKES = "аaеeоoрpсcуyхxіiјjѕsһhԁdԛqԝwкkмmтtнhвbαaοoεeιiρpυuνvκkτt"
@@ -43,11 +48,17 @@ FOLD = {ord(LOOKALIKES[k]): LOOKALIKES[k + 1] for k in range(0, len(LOOKALIKES),
     ord(SUBSTITUTES[k]): SUBSTITUTES[k + 1] for k in range(0, len(SUBSTITUTES), 2)
 }
 _OTHER = re.compile(r"[\W_]+")
+#: Combining marks, and signs without width that may stand inside words.
+_HIDDEN = re.compile("[\u0300-\u036f\u00ad\u200b-\u200f\u2060\ufeff]+")
 
 
 def fold(text: str | None) -> str:
-    """Folded words with a space before, between and after."""
-    return f" {_OTHER.sub(' ', (text or '').lower().translate(FOLD)).strip()} "
+    """Folded words with a space before, between and after: compatibility forms are taken apart (wide and styled letters,
+    ligatures), marks and signs without width dropped, look-alikes and digits read as letters."""
+    text = text or ""
+    if not text.isascii():
+        text = _HIDDEN.sub("", unicodedata.normalize("NFKD", text))
+    return f" {_OTHER.sub(' ', text.lower().translate(FOLD)).strip()} "
 
 
 @dataclass
@@ -139,51 +150,23 @@ def _gain(a: int, b: int, n: int, m: int) -> float:
     return part(a, n, a / n) + part(b, m, b / m) - part(a, n, both) - part(b, m, both)
 
 
-def learn(rows: list[tuple[str | None, int]]) -> Lexicon:
-    """A lexicon from (text, 0 or 1) rows; of equal rows one counts."""
-    folded = sorted({(fold(text), label) for text, label in rows})
-    toxic = [t for t, y in folded if y]
-    other = [t for t, y in folded if not y]
-    if not toxic or not other:
-        rate = len(toxic) / max(1, len(rows))
-        return Lexicon(curve=np.array([0, 0, 0, math.log((rate + 1e-6) / (1 - rate + 1e-6))]))
-    inside = Counter()
-    for text in toxic:
-        inside.update(_entries(text))
-    least = max(3, len(toxic) // 200)
-    inside = {g: c for g, c in inside.items() if c >= least}
-    outside: Counter = Counter()
-    for text in other:
-        outside.update(g for g in _entries(text) if g in inside)
-    n, m = len(toxic), len(other)
-    gains = {g: _gain(c, outside[g], n, m) for g, c in inside.items() if c / n > 4 * (outside[g] / m)}
+def choose(counts: Iterable[tuple[str, int, int]], n: int, m: int) -> dict[str, float]:
+    """Weighted entries from (entry, toxic documents with it, others with it), of ``n`` toxic documents and ``m`` others."""
+    known = {g: (a, b) for g, a, b in counts}
+    gains = {g: _gain(a, b, n, m) for g, (a, b) in known.items() if a / n > 4 * (b / m)}
     chosen: dict[str, float] = {}
     beginnings: set[str] = set()
     # best first; of equal ones the longest; an entry inside a chosen one, or around it, adds nothing new
     for g in sorted(gains, key=lambda g: (-round(gains[g], 6), -len(g), g)):
-        if gains[g] < 12 or len(chosen) == ENTRIES:
+        if gains[g] < LEAST_GAIN or len(chosen) == ENTRIES:
             break
         stem = g.rstrip()
         if stem in beginnings or any(stem[:k] in chosen for k in range(SHORTEST + 1, len(stem) + 1)):
             continue
-        a, b = (inside[g] + 0.5) / (n + 1), (outside[g] + 0.5) / (m + 1)
+        a, b = ((k + 0.5) / (of + 1) for k, of in zip(known[g], (n, m), strict=True))
         chosen[g] = math.log(a / (1 - a)) - math.log(b / (1 - b))
         beginnings.update(stem[:k] for k in range(SHORTEST + 1, len(stem) + 1))
-    lexicon = Lexicon(chosen)
-    machine = lexicon.automaton()
-    # exceptions: phrases around an entry that only documents of the other kind have
-    seen = {0: Counter(), 1: Counter()}
-    for text, label in folded:
-        found = set()
-        for at in matched(machine, text):
-            found.update(p for p in phrases(text, at) if p)
-        seen[label].update(found)
-    lexicon.exceptions = frozenset(p for p, c in seen[0].items() if c >= 5 and not seen[1][p])
-    total, words = (np.array(x, float) for x in zip(*[sums(t, machine, lexicon.exceptions) for t, _ in folded], strict=True))
-    x = normalised(total, words)
-    lexicon.centre, lexicon.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    lexicon.curve = _logistic((x - lexicon.centre) / lexicon.scale, np.array([y for _, y in folded], float))
-    return lexicon
+    return chosen
 
 
 def score(lexicon: Lexicon, total: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -195,10 +178,77 @@ def learn_from(docs: DataFrame, labels: DataFrame, *, label: str, learns: Column
     """A lexicon from at most ``sample`` labelled documents for which ``learns`` holds, the same ones in every run."""
     known = labels.filter(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("__label")).filter(learns)
     order = F.md5(F.col("doc_id").cast("string"))
-    few = known.dropDuplicates(["doc_id"]).orderBy(order, "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "__label").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return learn([(r["text"], r["__label"]) for r in rows])
+    few = known.groupBy("doc_id").agg(F.min("__label").alias("label")).orderBy(order, "doc_id").limit(sample)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    # of equal folded texts with equal labels one counts
+    folded = map_arrow(chosen.select("label", "text"), _folded, "label int, folded string").distinct()
+    return learn(written(folded, "toxic-sample"))
+
+
+def _folded(batch: pa.RecordBatch) -> Iterator[dict]:
+    yield {"label": batch.column("label"), "folded": pa.array([fold(t.as_py()) for t in batch.column("text")], pa.string())}
+
+
+def _tally(items: Callable[[str], Iterable[str]]) -> Callable[[pa.RecordBatch], Iterator[dict]]:
+    """Arrow step: how many toxic (``a``) and other (``b``) texts of a batch have each of their items."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[dict]:
+        seen = (Counter(), Counter())
+        for label, text in zip(batch.column("label").to_pylist(), batch.column("folded"), strict=True):
+            seen[label == 0].update(set(items(text.as_py())))
+        names = list(seen[0].keys() | seen[1].keys())
+        yield {"item": pa.array(names, pa.string())} | {k: pa.array([c[g] for g in names], pa.int64()) for k, c in zip("ab", seen, strict=True)}
+
+    return work
+
+
+def counted(sample: DataFrame, items: Callable[[str], Iterable[str]]) -> DataFrame:
+    """``item``, ``a`` and ``b``: toxic and other texts of the sample that have it."""
+    tallies = map_arrow(sample, _tally(items), "item string, a long, b long")
+    return tallies.groupBy("item").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
+def learn(sample: DataFrame) -> Lexicon:
+    """A lexicon from the table (label, folded).  Entries, phrases and sums are found in tasks; counts of what can still be
+    chosen and three numbers a text reach the driver, never texts."""
+    n, m = sample.agg(F.count_if(F.col("label") != 0), F.count_if(F.col("label") == 0)).first()
+    if not n or not m:
+        rate = n / max(1, n + m)
+        return Lexicon(curve=np.array([0, 0, 0, math.log((rate + 1e-6) / (1 - rate + 1e-6))]))
+
+    def part(k: str, of: int, rate: str) -> str:
+        return f"({k} * ln(greatest({rate}, 1e-300D)) + ({of} - {k}) * ln(greatest(1 - {rate}, 1e-300D)))"
+
+    both = f"((a + b) / {n + m}D)"
+    gain = f"{part('a', n, f'(a / {n}D)')} + {part('b', m, f'(b / {m}D)')} - {part('a', n, both)} - {part('b', m, both)}"
+    possible = counted(sample, _entries).filter(f"a >= {max(3, n // 200)} AND a / {n}D > 3.99 * (b / {m}D) AND {gain} >= {LEAST_GAIN - 0.01}")
+    lexicon = Lexicon(choose([tuple(r) for r in possible.collect()], n, m))
+
+    def around(text: str) -> list[str]:
+        return [p for at in matched(_machine(lexicon), text) for p in phrases(text, at) if p]
+
+    # exceptions: phrases around an entry that only documents of the other kind have
+    harmless = counted(sample, around).filter("b >= 5 AND a = 0").select("item").collect()
+    lexicon.exceptions = frozenset(r[0] for r in harmless)
+
+    def numbers(batch: pa.RecordBatch) -> Iterator[dict]:
+        pairs = [sums(t.as_py(), _machine(lexicon), lexicon.exceptions) for t in batch.column("folded")]
+        total, words = zip(*pairs, strict=True)
+        yield {"total": pa.array(total, pa.float64()), "words": pa.array(words, pa.int64()), "label": batch.column("label")}
+
+    rows = sorted(tuple(r) for r in map_arrow(sample, numbers, "total double, words long, label int").collect())
+    total, words, label = (np.array(x, float) for x in zip(*rows, strict=True))
+    x = normalised(total, words)
+    lexicon.centre, lexicon.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    lexicon.curve = _logistic((x - lexicon.centre) / lexicon.scale, (label != 0).astype(float))
+    return lexicon
+
+
+def _machine(lexicon: Lexicon) -> ahocorasick.Automaton | None:
+    """The automaton of a lexicon, built once where it is used."""
+    if "machine" not in _BUILT or _BUILT["machine"][0] is not lexicon:
+        _BUILT["machine"] = (lexicon, lexicon.automaton())
+    return _BUILT["machine"][1]
 
 
 def scored(docs: DataFrame, lexicon: Lexicon, carry: list[str]) -> DataFrame:
