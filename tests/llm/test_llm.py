@@ -595,6 +595,12 @@ def test_lexicon_folds_and_excepts(spark):
     assert s["you gr0mble"] > 0.7 > s["a quiet gromble stone"] and s[""] < 0.5
 
 
+@pytest.mark.parametrize("operator", [neardup.near_duplicates, substrings.remove_repeats, suffixarray.remove_repeats])
+def test_empty_tables(empty, operator):
+    out = operator(empty)
+    assert "doc_id" in out.columns and out.count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, SF)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
