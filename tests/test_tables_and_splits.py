@@ -60,6 +60,27 @@ def test_grid_equals_the_usual_reader(spark):
     assert got == want
 
 
+def tasks_of(df):
+    return df.select(F.spark_partition_id()).distinct().count()
+
+
+def test_pages_of_one_partition_are_parsed_once_by_many_tasks(spark):
+    page = "<table><tr><td>menu</table><table><tr><th>\n Bal<b>ance </b><tr><td>5</table>"
+    pages = spark.createDataFrame([(i, page) for i in range(200)], "id long, html string").coalesce(1)
+    cells = html.html_cells(pages, "id", "html", match="Balance")
+    assert tasks_of(cells) >= 8
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapIn") == 1 and "Join" not in plan
+    want = html.tables_matching(html.html_cells(pages, "id", "html"), "id", "Balance")
+    assert sorted(map(str, cells.collect())) == sorted(map(str, want.collect())) and cells.count() == 400
+
+
+def test_ids_of_pages_stay_exact_beside_null(spark):
+    large = 2**60 + 1
+    pages = spark.createDataFrame([(large, "<table><tr><td>a"), (None, "<table><tr><td>b")], "id long, html string").coalesce(1)
+    assert {(r["id"], r["text"]) for r in html.html_cells(pages, "id", "html").collect()} == {(large, "a"), (None, "b")}
+
+
 # -- CSV ---------------------------------------------------------------------------
 
 CELLS = {

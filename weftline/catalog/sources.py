@@ -106,7 +106,7 @@ def _(spark, sf):
         F.lit("</td></tr></table></body></html>"),
     )
     pages = table(spark, sf, "customer").select(F.col("c_custkey").alias("page_id"), page.alias("html"))
-    return html.tables_matching(html.html_cells(pages, "page_id", "html"), "page_id", "Balance")
+    return html.html_cells(pages, "page_id", "html", match="Balance")
 
 
 @query(

@@ -187,8 +187,7 @@ def weather_pages(spark, sf):
     UNION ALL SELECT s_suppkey, 'Feb', round((t + 7) / 10, 6) + 0.0, round(-t / 10, 6) + 0.0 FROM t""",
 )
 def _(spark, sf):
-    cells = html.html_cells(weather_pages(spark, sf), "s_suppkey", "html")
-    cells = html.tables_matching(cells, "s_suppkey", "Climate data")
+    cells = html.html_cells(weather_pages(spark, sf), "s_suppkey", "html", match="Climate data")
     months = ["Month", "Jan", "Feb"]
     wide = html.table_wide(cells, "s_suppkey", 1, months).filter(F.col("row_no") < 4)
     label = X.strip(X.replace_literal(X.split_get(F.col("Month"), "(", 0), "°C", ""))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
+from itertools import batched
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ SECTIONS = ("thead", "tbody", "tfoot")
 MOST_ROWS, MOST_COLUMNS = 65_534, 1_000
 
 CELLS = "table_no int, row_no int, col_no int, text string, is_header boolean"
+ARROW = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+ROWS_A_BATCH = 20_000
+SPACES = " \t\n\x0b\f\r"  # what ``strip`` takes off
 
 
 class _Cells(HTMLParser):
@@ -153,27 +158,56 @@ def _walk(page: str, kind: str) -> list[list]:
     return walker.found
 
 
-def html_cells(pages: DataFrame, page_id: str, html: str, kind: str = "table") -> DataFrame:
-    """One row per cell: (page id, table_no, row_no, col_no, text, is_header).
+def _matching(cells: list[list], text: str) -> list[list]:
+    """Cells of those tables in which some cell holds ``text``."""
+    hits = {cell[0] for cell in cells if text in cell[3].strip(SPACES)}
+    return [cell for cell in cells if cell[0] in hits]
+
 
-    ``kind='list'`` gives list items instead, one row each.  Pages are worked
-    on one by one inside Arrow batches; the page table is not shuffled.
+def _per_page(pages: DataFrame, page_id: str, html: str, found: Callable[[str], Iterable[tuple]], columns: str) -> DataFrame:
+    """Each page's id beside the rows that ``found`` gives for its text.
+
+    Parsing costs far more than reading, and one file of pages is often one partition: so pages are dealt evenly over
+    as many tasks as a shuffle has (every core at least), whatever files they come from.  Rows leave a task in batches
+    of bounded length; ids stay in Arrow.
     """
+    spark = pages.sparkSession
     id_type = pages.schema[page_id].dataType.simpleString()
+    names = [page_id, *[c.split()[0] for c in columns.split(", ")]]
+    kinds = [ARROW[c.split()[1]] for c in columns.split(", ")]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [
-                (pid, *cell) for pid, page in zip(batch[page_id], batch[html], strict=True) for cell in _walk(page, kind)
-            ]
-            yield pd.DataFrame(rows, columns=[page_id, "table_no", "row_no", "col_no", "text", "is_header"])
+            rows = ((at, *row) for at, page in enumerate(batch.column(1)) for row in found(page.as_py()))
+            for some in batched(rows, ROWS_A_BATCH):
+                at, *values = zip(*some, strict=True)
+                made = [pa.array(v, kind) for v, kind in zip(values, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *made], names)
 
-    cells = pages.select(page_id, html).mapInPandas(run, f"`{page_id}` {id_type}, {CELLS}")
-    return cells.withColumn("text", strip(F.col("text")))
+    rows = pages.select(page_id, html).repartition(tasks).mapInArrow(run, f"`{page_id}` {id_type}, {columns}")
+    return rows.withColumn("text", strip(F.col("text")))
+
+
+def html_cells(pages: DataFrame, page_id: str, html: str, kind: str = "table", match: str | None = None) -> DataFrame:
+    """One row per cell: (page id, table_no, row_no, col_no, text, is_header).
+
+    ``kind='list'`` gives list items instead, one row each.  ``match`` keeps only the tables in which some cell holds
+    that text; it is looked for while a page is parsed, page by page, so that no page is parsed twice or joined.
+    """
+
+    def found(page: str) -> list[list]:
+        cells = _walk(page, kind)
+        return cells if match is None else _matching(cells, match)
+
+    return _per_page(pages, page_id, html, found, CELLS)
 
 
 def tables_matching(cells: DataFrame, page_id: str, text: str) -> DataFrame:
-    """Only the tables in which some cell holds ``text``."""
+    """Only the tables in which some cell holds ``text``.
+
+    For cells that are stored: they are read twice.  ``html_cells(match=…)`` gives the same from pages in one pass.
+    """
     hits = cells.filter(F.contains("text", F.lit(text))).select(page_id, "table_no").distinct()
     return cells.join(hits, [page_id, "table_no"], "left_semi")
 
