@@ -81,6 +81,31 @@ def test_ids_of_pages_stay_exact_beside_null(spark):
     assert {(r["id"], r["text"]) for r in html.html_cells(pages, "id", "html").collect()} == {(large, "a"), (None, "b")}
 
 
+def test_records_are_parsed_once_by_many_tasks(spark):
+    texts = [
+        "<table><thead><tr><th rowspan=2> a <th colspan=2>b</tr><tr><th>c<th>b</thead><tr><td rowspan=2>1<td>2<td>3<tr><td colspan=2>4</table>",
+        "<table><tr><td>1<td>2</table><table></table><table><tr><th><th>x<tr><td>1<td>2</table>",
+        "<table><tr><td>1<td>2<thead><tr><th>late<th>head</thead></table>",
+        None,
+    ]
+    pages = spark.createDataFrame([(i, texts[i % 4]) for i in range(200)], "id long, html string").coalesce(1)
+    records, grid = html.html_records(pages, "id", "html"), html.html_grid(pages, "id", "html")
+    assert tasks_of(records) >= 8 and tasks_of(grid) >= 8
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapIn") == 1 and "Join" not in plan and "Aggregate" not in plan
+    want = html.grid_records(grid, "id")
+    assert records.columns == want.columns and sorted(map(str, records.collect())) == sorted(map(str, want.collect()))
+    assert {r["name"] for r in records.filter("id = 0").collect()} == {"a", "b / c", "b"}
+
+
+def test_a_registered_page_query_parses_once(spark):
+    from weftline.catalog import QUERIES
+
+    for key in ("html_tables", "html_grid", "climate_clean"):
+        plan = QUERIES[key](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") + plan.count("MapInPandas") == 1, key
+
+
 # -- CSV ---------------------------------------------------------------------------
 
 CELLS = {

@@ -150,7 +150,7 @@ def _(spark, sf):
         F.col("s_nationkey").cast("string"), F.lit("</td></tr><tr><td colspan=2>none</td></tr></tbody></table>"),
     )
     pages = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("page_id"), page.alias("html"))
-    return html.grid_records(html.html_grid(pages, "page_id", "html"), "page_id")
+    return html.html_records(pages, "page_id", "html")
 
 
 @query(

@@ -7,9 +7,8 @@ from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 from itertools import batched
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import strip
@@ -82,42 +81,66 @@ def _whole(text: str | None, otherwise: int) -> int:
     return int(digits[1]) if digits else otherwise
 
 
-def _grid(page: str) -> Iterator[tuple]:
-    """(table, row, column, text, header, in a head row) of every place of every table, spans filled with their cell's text.
-
-    A cell takes the first place of its row that no cell of an earlier row reaches into.  Rows of a head are those of
-    ``thead``, or else the leading rows that hold header cells only.
-    """
+def _tables(page: str) -> Iterator[tuple[int, dict[int, list]]]:
+    """Each table's number and, by row, its cells with their spans."""
     walker = _Cells("table")
     walker.feed(page or "")
     walker.close()
     tables: dict[int, dict[int, list]] = {}
     for cell, span in zip(walker.found, walker.spans, strict=True):
         tables.setdefault(cell[0], {}).setdefault(cell[1], []).append((cell, span))
-    for no, rows in sorted(tables.items()):
-        carried: dict[int, list] = {}  # column: [rows left (None: to the end of the section), cell, section, head]
-        heads = any(span[3] for cells in rows.values() for _, span in cells)
-        leading = True
-        for r in sorted(rows):
-            section = rows[r][0][1][2]
-            carried = {c: x for c, x in carried.items() if x[0] is not None or x[2] == section}
-            placed = {c: x[1] for c, x in carried.items()}
-            carried = {c: [x[0] if x[0] is None else x[0] - 1, *x[1:]] for c, x in carried.items() if x[0] is None or x[0] > 1}
-            c = 0
-            for cell, (down, across, _, _) in rows[r]:
-                while c in placed:
-                    c += 1
-                for k in range(c, c + across):
-                    if k in placed:  # overlapping spans: the earlier cell stays
-                        continue
-                    placed[k] = cell
-                    if down != 1:
-                        carried[k] = [None if down == 0 else down - 1, cell, section]
-                c += across
-            leading = leading and all(cell[4] for cell in placed.values())
-            in_head = rows[r][0][1][3] if heads else leading
-            for c, cell in sorted(placed.items()):
-                yield no, r, c, cell[3], cell[4], in_head
+    yield from sorted(tables.items())
+
+
+def _grid(page: str) -> Iterator[tuple]:
+    """(table, row, column, text, header, in a head row) of every place of every table, spans filled with their cell's text."""
+    for no, rows in _tables(page):
+        for place in _places(rows):
+            yield no, *place
+
+
+def _places(rows: dict[int, list]) -> Iterator[tuple]:
+    """(row, column, text, header, in a head row) of every place of a table.
+
+    A cell takes the first place of its row that no cell of an earlier row reaches into.  Rows of a head are those of
+    ``thead``, or else the leading rows that hold header cells only.
+    """
+    carried: dict[int, list] = {}  # column: [rows left (None: to the end of the section), cell, section, head]
+    heads = any(span[3] for cells in rows.values() for _, span in cells)
+    leading = True
+    for r in sorted(rows):
+        section = rows[r][0][1][2]
+        carried = {c: x for c, x in carried.items() if x[0] is not None or x[2] == section}
+        placed = {c: x[1] for c, x in carried.items()}
+        carried = {c: [x[0] if x[0] is None else x[0] - 1, *x[1:]] for c, x in carried.items() if x[0] is None or x[0] > 1}
+        c = 0
+        for cell, (down, across, _, _) in rows[r]:
+            while c in placed:
+                c += 1
+            for k in range(c, c + across):
+                if k in placed:  # overlapping spans: the earlier cell stays
+                    continue
+                placed[k] = cell
+                if down != 1:
+                    carried[k] = [None if down == 0 else down - 1, cell, section]
+            c += across
+        leading = leading and all(cell[4] for cell in placed.values())
+        in_head = rows[r][0][1][3] if heads else leading
+        for c, cell in sorted(placed.items()):
+            yield r, c, cell[3], cell[4], in_head
+
+
+def _records(page: str, sep: str) -> Iterator[tuple]:
+    """(table, row, column, name, text) of the body places of every table; places are gone through twice, not kept."""
+    for no, rows in _tables(page):
+        told: dict[int, dict[str, None]] = {}
+        for _, c, text, _, in_head in _places(rows):
+            if in_head and (known := text.strip(SPACES)):
+                told.setdefault(c, {})[known] = None
+        names = {c: sep.join(texts) for c, texts in told.items()}
+        for r, c, text, _, in_head in _places(rows):
+            if not in_head:
+                yield no, r, c, names.get(c, ""), text
 
 
 def html_grid(pages: DataFrame, page_id: str, html: str) -> DataFrame:
@@ -125,23 +148,14 @@ def html_grid(pages: DataFrame, page_id: str, html: str) -> DataFrame:
 
     ``is_head`` says whether the row belongs to the table's head.
     """
-    id_type = pages.schema[page_id].dataType.simpleString()
-    columns = [page_id, "table_no", "row_no", "col_no", "text", "is_header", "is_head"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for pid, page in zip(batch[page_id], batch[html], strict=True):
-                if rows := [(pid, *place) for place in _grid(page)]:
-                    yield pd.DataFrame(rows, columns=columns)
-
-    places = pages.select(page_id, html).mapInPandas(run, f"`{page_id}` {id_type}, {CELLS}, is_head boolean")
-    return places.withColumn("text", strip(F.col("text")))
+    return _per_page(pages, page_id, html, _grid, f"{CELLS}, is_head boolean")
 
 
 def grid_records(grid: DataFrame, page_id: str, sep: str = " / ") -> DataFrame:
     """Body cells with the name of their column: the different texts of its head rows from top to bottom, joined by ``sep``.
 
     A table without a head has empty names; a long table of (page, table_no, row_no, col_no, name, text).
+    For a grid that is stored: it is read twice.  ``html_records`` gives the same from pages in one pass.
     """
     at = [page_id, "table_no", "col_no"]
     told = F.transform(F.sort_array(F.collect_list(F.struct("row_no", "text"))), lambda r: r["text"])
@@ -151,6 +165,12 @@ def grid_records(grid: DataFrame, page_id: str, sep: str = " / ") -> DataFrame:
     return body.select(*at[:2], "row_no", "col_no", F.coalesce("name", F.lit("")).alias("name"), "text")
 
 
+def html_records(pages: DataFrame, page_id: str, html: str, sep: str = " / ") -> DataFrame:
+    """``grid_records`` of the pages' grids, named while a page is parsed, so that no page is parsed twice or joined."""
+    columns = "table_no int, row_no int, col_no int, name string, text string"
+    return _per_page(pages, page_id, html, lambda page: _records(page, sep), columns)
+
+
 def _walk(page: str, kind: str) -> list[list]:
     walker = _Cells(kind)
     walker.feed(page or "")
@@ -215,17 +235,16 @@ def tables_matching(cells: DataFrame, page_id: str, text: str) -> DataFrame:
 def table_wide(cells: DataFrame, page_id: str, header_row: int, names: list[str]) -> DataFrame:
     """Cells under a header row as a frame: one row per (page, table, row), one column per name.
 
-    The names are given, so the pivot needs no job of its own.
+    The names are given, so the pivot needs no job of its own, and a column finds its name in a window, so that cells
+    are read once.
     """
-    head = (
-        cells.filter((F.col("row_no") == header_row) & F.col("is_header"))
-        .filter(F.col("text").isin(names))
-        .select(page_id, "table_no", "col_no", F.col("text").alias("__name"))
-    )
-    body = cells.filter(F.col("row_no") > header_row)
     at = [page_id, "table_no"]
+    named = (F.col("row_no") == header_row) & F.col("is_header") & F.col("text").isin(names)
+    name = F.max(F.when(named, F.col("text"))).over(Window.partitionBy(*at, "col_no"))
     return (
-        body.join(head, [*at, "col_no"])
+        cells.filter(F.col(page_id).isNotNull())
+        .withColumn("__name", name)
+        .filter((F.col("row_no") > header_row) & F.col("__name").isNotNull())
         .groupBy(*at, "row_no")
         .pivot("__name", names)
         .agg(F.first("text", ignorenulls=True))
