@@ -233,3 +233,28 @@ def test_mixture_finds_two_planted_regimes(spark):
     wild = {r["at"]: r["regime"] for r in got}
     assert np.mean([wild[i] for i in range(210, 400)]) > 0.9 and np.mean([wild[i] for i in range(4, 190)]) < 0.05
     assert paths.vol_regime(Line.of(line.df.limit(0), "k", "at")).count() == 0
+
+
+def test_trend_score_with_paths_of_one_event(spark, tmp_path):
+    """A path of one event has no slope: it takes no part, and a ticker that has no others keeps its row without a signal."""
+    from weftline.catalog import QUERIES
+
+    at = "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(id * 7 as int))"
+    value = "((id * 37) % 101) / 7.0D + 1"
+    events = spark.range(400).selectExpr("id AS event_id", f"{at} AS ts", "id % 7 AS user_id", "'usual' AS event_type", f"{value} AS value")
+    lone = spark.range(400).selectExpr("id + 400", f"{at}", "id + 100", "'lone'", f"{value}")
+    one = spark.range(1).selectExpr("id + 900", "timestamp_ntz'2024-01-02 00:00:30'", "id + 50", "'usual'", "5.0D")
+
+    def scores(name, *parts):
+        made = parts[0]
+        for part in parts[1:]:
+            made = made.union(part)
+        made.withColumn("props", F.lit('{"k": 1}')).write.parquet(str(tmp_path / name / "events.parquet"))
+        return {r["ticker"]: r for r in QUERIES["trend_score"](spark, str(tmp_path / name)).collect()}
+
+    got = scores("lone", events, lone)
+    assert set(got) == {"usual", "lone"} and got["lone"]["signal"] is None and got["lone"]["vol"] > 0
+    assert abs(got["usual"]["signal"]) < 1
+    # one more event, of a user who has no other, changes no slope
+    with_one = scores("one", events, one)["usual"]
+    assert with_one["signal"] is not None and abs(with_one["signal"]) < 1

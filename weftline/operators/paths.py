@@ -193,9 +193,9 @@ def recent_vol(df: DataFrame, key: Sequence[str], order: Sequence[str], ret: str
 def composite_signal(vol: DataFrame, strengths: DataFrame, key: Sequence[str]) -> DataFrame:
     """Strengths per horizon, weighted by ``exp(-h / (100 vol))``, as one score within ±1.
 
-    ``strengths`` has one column ``s_<h>`` per horizon.
+    ``strengths`` has one column ``s_<h>`` per horizon.  A key without strengths keeps its row, its signal is null.
     """
-    both = vol.join(strengths, list(key))
+    both = vol.join(strengths, list(key), "left")
     raw = {h: F.exp(F.try_divide(F.lit(-float(h)), F.col("vol") * 100)) for h in HORIZONS}
     total = sum(raw.values(), F.lit(0.0))
     score = sum((F.try_divide(raw[h], total) * F.col(f"s_{h}") for h in HORIZONS), F.lit(0.0))
